@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import common, quality, toxicity
+from offerlens.llm import common, language, packing, quality, toxicity
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = language.fit(docs, keep=common.id_fold(F.col("doc_id"), 3) != 1)
+    found = language.identify(docs, model)
+    return found.select("doc_id", (common.id_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +36,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op5_quality_rules": op5_quality_rules,
         "op7_toxicity": op7_toxicity,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
