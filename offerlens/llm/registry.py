@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import common, language, packing, quality, toxicity
+from offerlens.llm import common, language, minhash, packing, pieces, quality, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, model)
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(common.table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), keep=common.id_fold(F.col("doc_id"), 5) != 0)
@@ -40,12 +44,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every text: how many, a hash of their ids, and whether decoding gives the text back."""
+    path = tokenizer("piece_bpe_32k.model")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("was"))
+    encoded = pieces.encode(docs, path, keep=("doc_id", "was"))
+    decoded = pieces.decode(encoded, path, keep=("doc_id", "was", "ids"))
+    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).eqNullSafe(F.col("was")).alias("lossless"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op5_quality_rules": op5_quality_rules,
+        "op6_document_fingerprints": op6_document_fingerprints,
         "op7_toxicity": op7_toxicity,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_sampled_pieces": op10_sampled_pieces,
     }
 
 
