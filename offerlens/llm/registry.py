@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import common, language, minhash, packing, pieces, quality, toxicity
+from offerlens.llm import common, jaccard, language, minhash, packing, pieces, quality, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -40,6 +40,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(common.table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_document_fingerprints": op6_document_fingerprints,
         "op7_toxicity": op7_toxicity,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_sampled_pieces": op10_sampled_pieces,
     }
