@@ -7,6 +7,7 @@ block and the longest document, not the batch.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,15 +48,51 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+_made: dict[str, list[str]] = {}
+_tag = "query"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/offerlens/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _made.setdefault(_tag, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no unfinished query reads, and let Spark drop the shuffles behind them."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_at)
+        for paths in _made.values():
+            if t.stored_at in paths:
+                paths.remove(t.stored_at)
+    if tables:
+        spark = tables[0].sparkSession
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def begin_stage(spark: SparkSession, tag: str = "stage") -> None:
+    """Tables of earlier stages go: their results have been written by now. Later ones bear this tag."""
+    global _tag
+    _tag = tag
+    for path in _made.pop(tag, []):
+        _delete(spark, path)
+    bound_batches(spark)
+
+
+def end_stage() -> None:
+    global _tag
+    _tag = "query"
 
 
 def id_fold(doc_id, mod: int):

@@ -152,9 +152,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     shared = common.materialize(shared, "regions")
     edges = keyed.join(shared, "key").filter("f <> p").select("p", F.col("f").alias("x")).distinct()
     edges = common.materialize(edges, "edges")
+    common.discard(shared)
     used = edges.select(F.col("p").alias("f")).union(edges.select(F.col("x").alias("f"))).distinct()
     ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep").alias("doc_id")), "candidates")
     sets = common.materialize(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words), "sets")
+    common.discard(ids)
     found = None
     while True:
         near = common.materialize(measured(edges, sets, percent), "near")
@@ -166,8 +168,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         fresh = one.join(inner, ["p", "e"]).filter("x <> q").select(F.col("q").alias("p"), "x").distinct()
         fresh = fresh.join(edges.select("p", "x"), ["p", "x"], "left_anti")
         fresh = common.materialize(fresh, "fresh")
+        common.discard(inner)
         if fresh.isEmpty():
-            return found.distinct()
+            return common.materialize(found.distinct(), "links")
         again = edges.join(fresh.select("p").distinct(), "p", "left_semi")
         edges = common.materialize(fresh.unionByName(again.select("p", "x")).distinct(), "edges")
 

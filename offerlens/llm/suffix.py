@@ -344,6 +344,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     several = common.materialize(several, "several")
     wanted = entries.join(several, "h").select("h", (F.col("kinds") > hot).alias("many"), "first.id", "first.at")
     kinds = common.materialize(kinds_of(docs, wanted, length), "kinds")
+    common.discard(several)
     by_array = by_suffix_array(kinds.filter("not many").select("h", "id", "start", "bytes"), length)
     by_hash = by_window_hash(kinds.filter("many").select("id", "start", "bytes"), length)
     return whole.unionByName(by_array).unionByName(by_hash)
@@ -397,7 +398,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     return both.mapInArrow(run, f"{head}, n_bytes long, kept binary, spans array<struct<a:long,b:long>>")
 
 
-def kept_text(kept: bytes) -> str:
-    """The kept bytes as text; a character that lost some of its bytes goes."""
-    return kept.decode("utf-8", "ignore")
+def as_text(result: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in keep and text: the kept bytes as a string, without characters that lost some of their bytes."""
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.select(*keep).schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [text], names=[*keep, "text"])
+
+    return result.select(*keep, "kept").mapInArrow(run, f"{head}, text string")
