@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import common, jaccard, language, minhash, packing, pieces, quality, suffix, toxicity
+from offerlens.llm import common, html_text, jaccard, language, licenses, minhash, packing, pieces, quality, suffix, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (common.id_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(common.table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "title", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(common.table(spark, sf_dir, "documents"))
+    names = F.transform("matches", lambda m: m["license"])
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_sort(F.array_distinct(names)).alias("licenses"), "matches")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
@@ -66,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_language_id": op2_language_id,
+        "op3_html_extraction": op3_html_extraction,
+        "op4_license_scans": op4_license_scans,
         "op5_quality_rules": op5_quality_rules,
         "op6_document_fingerprints": op6_document_fingerprints,
         "op7_toxicity": op7_toxicity,
