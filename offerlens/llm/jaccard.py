@@ -11,11 +11,10 @@ every text, so a few global pivots would leave all texts on every border. Region
 2. Each pivot meets the points of its regions, V(pivot), and their distance is computed exactly. Points within the
    limit link to the pivot and so belong together: none of their mutual distances matter any more.
 3. What is left are links with a point x beyond the limit. Seen from the pivot p, a point is the difference x ^ p,
-   which keeps all distances. By the triangle inequality such a link (x, y) needs |x ^ p| and |y ^ p| to overlap
-   in so many elements that both hold one in the first few of them (those outside p first). Points that share such an
-   element form a smaller region inside V(p), its least outer point is the new pivot, and the regions join recursively.
-
-Every region is strictly smaller than the one that holds it, so this ends; no pair is emitted but (pivot, point).
+   which keeps all distances. By the triangle inequality such a link (x, y) needs |x ^ p| and |y ^ p| to lie in a window
+   and to overlap in so many elements that both hold one in the first few of them (those outside p first). Points that
+   share such an element form a region inside V(p); there outer points meet the points in their window, and their
+   distance comes from the two differences, exactly.
 """
 
 from __future__ import annotations
@@ -135,14 +134,34 @@ def _lists(f: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """p, x, link, and the elements of x ^ p by which a link beyond the pivot must show."""
+    """p, x, size (of x), link, far (the distance), delta (x ^ p: elements outside p first, each part ascending) and
+    first: how many elements of delta a link beyond the pivot must touch one of."""
     both = edges.join(sets.select(F.col("f").alias("x"), F.col("elements").alias("xs")), "x").join(sets.select(F.col("f").alias("p"), F.col("elements").alias("ps")), "p")
-    both = both.select("p", "x", F.size("xs").alias("nx"), F.size("ps").alias("np"), F.array_except("xs", "ps").alias("more"), F.array_except("ps", "xs").alias("less"))
-    shared = F.col("nx") - F.size("more")
-    out = both.withColumn("link", 100 * shared >= percent * (F.col("np") + F.size("more"))).withColumn("a", F.size("more") + F.size("less"))
-    # a link (x, y) with x beyond the limit: overlap > b * percent / (100 + percent) for y, and >= a - (100 - percent) / percent * nx for x
-    first = F.when(F.col("link"), F.col("a") - F.floor(F.col("a") * percent / F.lit(100 + percent) - 1e-9)).otherwise(F.least(F.col("a"), F.floor((100 - percent) * F.col("nx") / F.lit(percent) + 1e-9) + 1))
-    return out.select("p", "x", "link", F.slice(F.concat(F.sort_array("more"), F.sort_array("less")), F.lit(1), first.cast("int")).alias("prefix"))
+    both = both.select("p", "x", F.size("xs").alias("size"), F.size("ps").alias("own"), F.array_except("xs", "ps").alias("more"), F.array_except("ps", "xs").alias("less"))
+    out = both.withColumn("link", 100 * (F.col("size") - F.size("more")) >= percent * (F.col("own") + F.size("more"))).withColumn("far", F.size("more") + F.size("less"))
+    # a link (x, y) with x beyond the limit: overlap > far * percent / (100 + percent) for y, and >= far - (100 - percent) / percent * size for x
+    first = F.when(F.col("link"), F.col("far") - F.floor(F.col("far") * percent / F.lit(100 + percent) - 1e-9)).otherwise(F.least(F.col("far"), F.floor((100 - percent) * F.col("size") / F.lit(percent) + 1e-9) + 1))
+    return out.select("p", "x", "size", "link", "far", F.concat(F.sort_array("more"), F.sort_array("less")).alias("delta"), first.cast("int").alias("first"))
+
+
+def outer_links(near: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links of points beyond a pivot's limit with points of the same V(pivot).
+
+    Candidates share one of the first elements of their differences to the pivot and pass two windows, on sizes and, by
+    the triangle inequality, on distances to the pivot; the overlap of the differences then gives the exact distance.
+    """
+    one = near.select("p", "x", "size", "link", "far", F.explode(F.slice("delta", F.lit(1), F.col("first"))).alias("e"))
+    outer = one.filter("not link").drop("link")
+    other = one.select("p", "e", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"))
+    windows = f"""x <> y and (link_y or x < y) and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)
+        and abs(far - far_y) * {100 + percent} <= {100 - percent} * (size + size_y)"""
+    pairs = outer.join(other, ["p", "e"]).filter(windows).groupBy("x", "y").agg(F.min("p").alias("p"))
+    pairs = common.materialize(pairs, "pairs")
+    left = near.select("p", "x", "size", "far", "delta")
+    right = near.select("p", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("far").alias("far_y"), F.col("delta").alias("delta_y"))
+    apart = F.col("far") + F.col("far_y") - 2 * F.size(F.array_intersect("delta", "delta_y"))
+    exact = pairs.join(left, ["p", "x"]).join(right, ["p", "y"]).filter(apart * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("size_y")))
+    return exact.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -155,24 +174,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     common.discard(shared)
     used = edges.select(F.col("p").alias("f")).union(edges.select(F.col("x").alias("f"))).distinct()
     ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep").alias("doc_id")), "candidates")
-    sets = common.materialize(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words), "sets")
-    common.discard(ids)
-    found = None
-    while True:
-        near = common.materialize(measured(edges, sets, percent), "near")
-        part = near.filter("link").select(F.col("p").alias("u"), F.col("x").alias("v"))
-        found = part if found is None else found.union(part)
-        one = near.select("p", "x", "link", F.explode("prefix").alias("e"))
-        inner = one.groupBy("p", "e").agg(F.count("*").alias("n"), F.min(F.when(~F.col("link"), F.col("x"))).alias("q")).filter("n > 1 and q is not null").select("p", "e", "q")
-        inner = common.materialize(inner, "inner")
-        fresh = one.join(inner, ["p", "e"]).filter("x <> q").select(F.col("q").alias("p"), "x").distinct()
-        fresh = fresh.join(edges.select("p", "x"), ["p", "x"], "left_anti")
-        fresh = common.materialize(fresh, "fresh")
-        common.discard(inner)
-        if fresh.isEmpty():
-            return common.materialize(found.distinct(), "links")
-        again = edges.join(fresh.select("p").distinct(), "p", "left_semi")
-        edges = common.materialize(fresh.unionByName(again.select("p", "x")).distinct(), "edges")
+    sets = common.materialize(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words).dropDuplicates(["f"]), "sets")
+    near = common.materialize(measured(edges, sets, percent), "near")
+    common.discard(ids, edges, sets)
+    inner = near.filter("link").select(F.col("p").alias("u"), F.col("x").alias("v"))
+    return common.materialize(inner.union(outer_links(near, percent)).distinct(), "links")
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
