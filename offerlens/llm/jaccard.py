@@ -4,9 +4,10 @@ Sets live in the metric of the symmetric difference D(A, B) = |A| + |B| - 2 |A n
 p percent is D <= (100 - p) / (100 + p) * (|A| + |B|). Documents taken as pivots lie at distance about 1 from nearly
 every text, so a few global pivots would leave all texts on every border. Regions come from the subspaces instead:
 
-1. The space of shingle hashes is cut into T + 1 parts, T being the largest D that a link may have among sets of that
-   size. D is the sum of its parts, so linked sets agree wholly in one part at least: a set belongs to one region
-   for each part, with everything at distance 0 there (sizes near the border of a size class go to both classes).
+1. The space of shingle hashes is cut into T + 1 + SLACK parts, T being the largest D that a link may have among sets of
+   that size. D is the sum of its parts, so linked sets agree wholly in 1 + SLACK parts at least: a set belongs to one
+   region for each part that isn't empty, with everything at distance 0 there (sizes near the border of a size class go
+   to both classes, and a set with more than SLACK empty parts goes to those as well).
    Equal sets are one point from the start. The least point of a region is its pivot.
 2. Each pivot meets the points of its regions, V(pivot), and their distance is computed exactly. Points within the
    limit link to the pivot and so belong together: none of their mutual distances matter any more.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from offerlens.llm import common
 
 SALT = np.uint64(0xA24BAED4963EE407)
+#: Parts beyond T + 1: linked sets agree in 1 + SLACK parts, so one of them is not empty unless a set has more empty parts.
+SLACK = 2
 
 
 def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +39,8 @@ def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarr
     low, parts = [1], []
     while low[-1] < top:
         low.append(max(low[-1] + 1, int(low[-1] * 1.4)))
-        parts.append((100 - percent) * 2 * (low[-1] - 1) // (100 + percent) + 1)
+        most = (100 - percent) * 2 * (low[-1] - 1) // (100 + percent)
+        parts.append(most + 1 + SLACK if most else 1)
     return np.array(low[:-1], np.int64), np.array(parts, np.int64)
 
 
@@ -51,7 +55,7 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
             yield first + i, s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def _mark(s: np.ndarray) -> int:
+def mark(s: np.ndarray) -> int:
     """Fingerprint of a set."""
     return int((common.mixed(s ^ SALT).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) if len(s) else 0
 
@@ -66,7 +70,7 @@ def points(docs: DataFrame, words: int) -> DataFrame:
             n, f = [], []
             for _, s in _sets(batch, words):
                 n.append(len(s))
-                f.append(_mark(s))
+                f.append(mark(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f, pa.int64())], names=["doc_id", "n", "f"])
 
     return source.mapInArrow(run, f"doc_id {kind}, n long, f long")
@@ -83,7 +87,7 @@ def regions(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for _, s in _sets(batch, words):
                 if not len(s):
                     continue
-                f = _mark(s)
+                f = mark(s)
                 total = np.zeros(len(s) + 1, np.uint64)
                 np.cumsum(common.mixed(s ^ SALT), out=total[1:])
                 own = int(np.searchsorted(low, len(s), "right")) - 1
@@ -94,10 +98,13 @@ def regions(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         continue  # no differing sets link here
                     part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
                     edge = np.searchsorted(part, np.arange(m + 1))
-                    v = (total[edge[1:]] - total[edge[:-1]]) + np.arange(m, dtype=np.uint64) * common.MIX_1 + np.uint64(c * int(common.MIX_2) & 0xFFFFFFFFFFFFFFFF)
+                    use = np.flatnonzero(edge[1:] > edge[:-1])
+                    if m - len(use) > SLACK:
+                        use = np.arange(m)
+                    v = (total[edge[1:]] - total[edge[:-1]])[use] + use.astype(np.uint64) * common.MIX_1 + np.uint64(c * int(common.MIX_2) & 0xFFFFFFFFFFFFFFFF)
                     keys.append(common.mixed(v).astype(np.int64))
-                    marks.append(np.full(m, f, np.int64))
-                    rows += m
+                    marks.append(np.full(len(use), f, np.int64))
+                    rows += len(use)
                 if rows > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(marks))], names=["key", "f"])
                     keys, marks, rows = [], [], 0
@@ -116,7 +123,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
             f, parts, size = [], [], 0
             for _, s in _sets(batch, words):
                 if len(s):
-                    f.append(_mark(s))
+                    f.append(mark(s))
                     parts.append(s.astype(np.int64))
                     size += len(s)
                 if size > 500_000:
@@ -134,14 +141,14 @@ def _lists(f: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """p, x, size (of x), link, far (the distance), delta (x ^ p: elements outside p first, each part ascending) and
-    first: how many elements of delta a link beyond the pivot must touch one of."""
+    """p, x, size (of x), link, far (the distance), delta (x ^ p: the `added` elements outside p first, each part
+    ascending) and first: how many elements of delta a link beyond the pivot must touch one of."""
     both = edges.join(sets.select(F.col("f").alias("x"), F.col("elements").alias("xs")), "x").join(sets.select(F.col("f").alias("p"), F.col("elements").alias("ps")), "p")
     both = both.select("p", "x", F.size("xs").alias("size"), F.size("ps").alias("own"), F.array_except("xs", "ps").alias("more"), F.array_except("ps", "xs").alias("less"))
     out = both.withColumn("link", 100 * (F.col("size") - F.size("more")) >= percent * (F.col("own") + F.size("more"))).withColumn("far", F.size("more") + F.size("less"))
     # a link (x, y) with x beyond the limit: overlap > far * percent / (100 + percent) for y, and >= far - (100 - percent) / percent * size for x
     first = F.when(F.col("link"), F.col("far") - F.floor(F.col("far") * percent / F.lit(100 + percent) - 1e-9)).otherwise(F.least(F.col("far"), F.floor((100 - percent) * F.col("size") / F.lit(percent) + 1e-9) + 1))
-    return out.select("p", "x", "size", "link", "far", F.concat(F.sort_array("more"), F.sort_array("less")).alias("delta"), first.cast("int").alias("first"))
+    return out.select("p", "x", "size", "link", "far", F.size("more").alias("added"), F.concat(F.sort_array("more"), F.sort_array("less")).alias("delta"), first.cast("int").alias("first"))
 
 
 def outer_links(near: DataFrame, percent: int) -> DataFrame:
@@ -149,10 +156,13 @@ def outer_links(near: DataFrame, percent: int) -> DataFrame:
 
     Candidates share one of the first elements of their differences to the pivot and pass two windows, on sizes and, by
     the triangle inequality, on distances to the pivot; the overlap of the differences then gives the exact distance.
+    A point y with at least as many elements outside p as it lacks of p (that is, not smaller than p) must share one of
+    the former with x: the overlap exceeds what y lacks. So what points lack of p, the only thing that copies with
+    unrelated edits have in common, is a key of y only where y is smaller than p.
     """
-    one = near.select("p", "x", "size", "link", "far", F.explode(F.slice("delta", F.lit(1), F.col("first"))).alias("e"))
-    outer = one.filter("not link").drop("link")
-    other = one.select("p", "e", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"))
+    one = near.select("p", "x", "size", "link", "far", "added", F.posexplode(F.slice("delta", F.lit(1), F.col("first"))).alias("i", "e"))
+    outer = one.filter("not link").select("p", "e", "x", "size", "far")
+    other = one.filter("i < added or 2 * added < far").select("p", "e", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"))
     windows = f"""x <> y and (link_y or x < y) and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)
         and abs(far - far_y) * {100 + percent} <= {100 - percent} * (size + size_y)"""
     pairs = outer.join(other, ["p", "e"]).filter(windows).groupBy("x", "y").agg(F.min("p").alias("p"))
@@ -164,9 +174,8 @@ def outer_links(near: DataFrame, percent: int) -> DataFrame:
     return exact.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v) fingerprints of linked points: enough links to connect whatever any links connect."""
-    keyed = regions(docs, words, percent)
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed: DataFrame) -> DataFrame:
+    """(u, v) fingerprints of linked points: enough links to connect whatever links connect among points that share a key of keyed (key, f)."""
     shared = keyed.groupBy("key").agg(F.min("f").alias("p"), F.max("f").alias("q")).filter("p < q").select("key", "p")
     shared = common.materialize(shared, "regions")
     edges = keyed.join(shared, "key").filter("f <> p").select("p", F.col("f").alias("x")).distinct()
@@ -201,6 +210,16 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         now = after.select("f", "label")
 
 
+def classes_of(docs: DataFrame, words: int, percent: int, keyed: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, over links between points that share a key."""
+    docs = docs.select("doc_id", "text")
+    known = common.materialize(points(docs, words), "points")
+    classes = common.materialize(known.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("rep")), "classes")
+    label = components(links(docs, classes, words, percent, keyed), classes)
+    named = common.materialize(classes.join(label, "f", "left").select("f", F.coalesce("label", "rep").alias("component_id")), "named")
+    return known.join(named, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of every document.
 
@@ -209,9 +228,4 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     component of their text; an empty table gives no rows; other columns are left out.
     """
     common.bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    known = common.materialize(points(docs, words), "points")
-    classes = common.materialize(known.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("rep")), "classes")
-    label = components(links(docs, classes, words, percent), classes)
-    named = common.materialize(classes.join(label, "f", "left").select("f", F.coalesce("label", "rep").alias("component_id")), "named")
-    return known.join(named, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return classes_of(docs, words, percent, regions(docs, words, percent))

@@ -21,6 +21,8 @@ from offerlens.llm import common
 PROFILE = 300
 SAMPLE_PER_LANGUAGE = 400
 UNKNOWN = "und"
+#: Stands for the blank; no letter, and not 0, so that grams of different lengths differ.
+BLANK = 1
 _letters: np.ndarray | None = None
 
 
@@ -42,19 +44,18 @@ def letter_table() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """All 1-, 2- and 3-grams as integers of 21 bits a letter; blanks (0) only at a gram's ends. Empty without a letter."""
+    """All 1-, 2- and 3-grams as integers of 21 bits a letter; blanks (BLANK) only at a gram's ends. Empty without a letter."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    cp = np.where(letter_table()[cp], cp, 0)
-    if not len(cp):
-        return cp
+    letter = letter_table()[cp] if len(cp) else np.zeros(0, bool)
+    if not letter.any():
+        return cp[:0]
+    cp = np.where(letter, cp, BLANK)
     keep = np.ones(len(cp), bool)
-    keep[1:] = (cp[1:] != 0) | (cp[:-1] != 0)
+    keep[1:] = letter[1:] | letter[:-1]
     cp = cp[keep]
-    cp = np.concatenate([[0] if cp[0] else [], cp, [0] if cp[-1] else []]).astype(np.int64)
+    cp = np.concatenate([[BLANK] if cp[0] != BLANK else [], cp, [BLANK] if cp[-1] != BLANK else []]).astype(np.int64)
     a, b, c = cp[:-2], cp[1:-1], cp[2:]
-    inner = b != 0
-    two = cp[:-1] << 21 | cp[1:]
-    return np.concatenate([cp[cp != 0], two, (a << 42 | b << 21 | c)[inner]])
+    return np.concatenate([cp[cp != BLANK], cp[:-1] << 21 | cp[1:], (a << 42 | b << 21 | c)[b != BLANK]])
 
 
 def profile(text: str, size: int) -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from offerlens.llm import common
 
 GAP = 2
+JOINED = 4
 
 # Sentences of public licence texts and notices, as identifier: text.
 SENTENCES = {
@@ -147,7 +148,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 a += len(x) + 1
         else:
             cut.append((a, b))
-    return cut
+    return [(a, b) for a, b in cut if normal(text[a:b])]
 
 
 def scan(text: str) -> list[dict]:
@@ -155,10 +156,16 @@ def scan(text: str) -> list[dict]:
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    found = []
-    for i, (a, b) in enumerate(sentences(text)):
-        if b - a <= 3 * LONGEST and (name := identify(text[a:b])):
-            found.append((i, name, a, b))
+    found, parts, i, nth = [], sentences(text), 0, 0
+    while i < len(parts):
+        step = 1
+        for n in range(min(JOINED, len(parts) - i), 0, -1):  # marks inside a known sentence may have cut it
+            a, b = parts[i][0], parts[i + n - 1][1]
+            if b - a <= 3 * LONGEST and (name := identify(text[a:b])):
+                found.append((nth, name, a, b))
+                step = n
+                break
+        i, nth = i + step, nth + 1
     out, used = [], set()
     for size in sorted({len(r[1]) for r in RULES}, reverse=True):
         for k, (_, name, a, _) in enumerate(found):

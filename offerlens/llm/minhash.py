@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm import common
+from offerlens.llm import common, jaccard
 
 PERMUTATIONS = 128
 WORDS = 5
@@ -145,3 +145,39 @@ def edited_fingerprints(docs: DataFrame, part: int = 4, words: int = WORDS, perm
                 held = (own[-1:], ids[-1:], ahead[-1:])
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+BANDS, ROWS = 25, 5
+
+
+def band_keys(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, f): one row for each signature band of every text with a word; f is its shingle set's fingerprint."""
+    source = docs.select(F.col("text").cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in common.text_blocks(batch, "__text"):
+                n = len(at) - 1
+                starts, ends, doc = common.words_of(data, at)
+                h, of = common.shingle_hashes(common.word_hashes(data, starts, ends), doc, n, words)
+                sig = minima(h, of, n, bands * rows).astype(np.uint64).reshape(n, bands, rows)
+                key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * common.MIX_2, (n, bands)).copy()
+                for j in range(rows):
+                    key = common.mixed(key * np.uint64(common.BASE) + sig[:, :, j])
+                edge = np.searchsorted(of, np.arange(n + 1))
+                f = np.array([jaccard.mark(np.unique(h[a:b])) for a, b in zip(edge, edge[1:])], np.int64)
+                has = np.diff(edge) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(key[has].reshape(-1).astype(np.int64)), pa.array(np.repeat(f[has], bands))], names=["key", "f"])
+
+    return source.mapInArrow(run, "key long, f long")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id of its near-duplicate class) of every document.
+
+    Signature bands propose, Spark joins them, and the exact Jaccard similarity of the shingle sets decides. Texts
+    that share a band get one of them as pivot, so a band that very many share costs one row for each, not pairs; the
+    exact step is the Jaccard join's. Nulls, empty texts, repeated rows and empty tables are as in the Jaccard join.
+    """
+    common.bound_batches(docs.sparkSession)
+    return jaccard.classes_of(docs, words, percent, band_keys(docs, words))
