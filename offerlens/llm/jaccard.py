@@ -4,10 +4,10 @@ Sets live in the metric of the symmetric difference D(A, B) = |A| + |B| - 2 |A n
 p percent is D <= (100 - p) / (100 + p) * (|A| + |B|). Documents taken as pivots lie at distance about 1 from nearly
 every text, so a few global pivots would leave all texts on every border. Regions come from the subspaces instead:
 
-1. The space of shingle hashes is cut into T + 1 + SLACK parts, T being the largest D that a link may have among sets of
-   that size. D is the sum of its parts, so linked sets agree wholly in 1 + SLACK parts at least: a set belongs to one
+1. The space of shingle hashes is cut into T + 1 + slack parts, T being the largest D that a link may have among sets of
+   that size. D is the sum of its parts, so linked sets agree wholly in 1 + slack parts at least: a set belongs to one
    region for each part that isn't empty, with everything at distance 0 there (sizes near the border of a size class go
-   to both classes, and a set with more than SLACK empty parts goes to those as well).
+   to both classes, and a set with more than EMPTY empty parts goes to those as well).
    Equal sets are one point from the start. The least point of a region is its pivot.
 2. Each pivot meets the points of its regions, V(pivot), and their distance is computed exactly. Points within the
    limit link to the pivot and so belong together: none of their mutual distances matter any more.
@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from offerlens.llm import common
 
 SALT = np.uint64(0xA24BAED4963EE407)
-#: Parts beyond T + 1: linked sets agree in 1 + SLACK parts, so one of them is not empty unless a set has more empty parts.
-SLACK = 2
+#: Parts beyond T + 1: linked sets agree in 1 + slack parts, of which at most EMPTY are empty (a set with more empty parts
+#: has keys for those too). Classes with T below LARGE have a slack of EMPTY, the others of SLACK.
+EMPTY, SLACK, LARGE = 2, 6, 6
+#: So many keys at least do linked sets of a large class share.
+SHARED = 1 + SLACK - EMPTY
 
 
 def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +43,7 @@ def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarr
     while low[-1] < top:
         low.append(max(low[-1] + 1, int(low[-1] * 1.4)))
         most = (100 - percent) * 2 * (low[-1] - 1) // (100 + percent)
-        parts.append(most + 1 + SLACK if most else 1)
+        parts.append(most + 1 + (SLACK if most >= LARGE else EMPTY) if most else 1)
     return np.array(low[:-1], np.int64), np.array(parts, np.int64)
 
 
@@ -99,7 +102,7 @@ def regions(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
                     edge = np.searchsorted(part, np.arange(m + 1))
                     use = np.flatnonzero(edge[1:] > edge[:-1])
-                    if m - len(use) > SLACK:
+                    if m - len(use) > EMPTY:
                         use = np.arange(m)
                     v = (total[edge[1:]] - total[edge[:-1]])[use] + use.astype(np.uint64) * common.MIX_1 + np.uint64(c * int(common.MIX_2) & 0xFFFFFFFFFFFFFFFF)
                     keys.append(common.mixed(v).astype(np.int64))
@@ -174,12 +177,30 @@ def outer_links(near: DataFrame, percent: int) -> DataFrame:
     return exact.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed: DataFrame) -> DataFrame:
-    """(u, v) fingerprints of linked points: enough links to connect whatever links connect among points that share a key of keyed (key, f)."""
+def needed(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(p, x) whose distance matters, of pivots and points that share c keys.
+
+    Linked points of large classes share SHARED keys at least, so (p, x) can be a link only from there on. Else x is
+    needed in V(p) for its links with others. If fewer than SHARED of x's keys have another pivot, then whatever links
+    with x shares a key of which x is the pivot: x needs no other's V. And of its pivots, those met by a single key don't
+    count if they are at most (SHARED - 1) / 2, as some key that is single for neither end of a link remains.
+    """
+    low, parts = size_classes(percent)
+    first = int(low[np.flatnonzero(parts > LARGE + SLACK)[0]])  # sizes from here on are in large classes
+    of = met.groupBy("x").agg(F.sum("c").alias("foreign"), F.count_if(F.col("c") == 1).alias("single"))
+    of = of.join(classes.select(F.col("f").alias("x"), "n"), "x")
+    keep = (F.col("n") < first) | (F.col("c") >= SHARED) | ((F.col("foreign") >= SHARED) & ((F.col("c") > 1) | (F.col("single") > (SHARED - 1) // 2)))
+    return met.join(common.materialize(of, "foreign"), "x").filter(keep).select("p", "x")
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
+    """(u, v) fingerprints of linked points: enough links to connect whatever links connect among points that share a key of keyed (key, f); parts: the keys are those of regions()."""
     shared = keyed.groupBy("key").agg(F.min("f").alias("p"), F.max("f").alias("q")).filter("p < q").select("key", "p")
     shared = common.materialize(shared, "regions")
-    edges = keyed.join(shared, "key").filter("f <> p").select("p", F.col("f").alias("x")).distinct()
-    edges = common.materialize(edges, "edges")
+    met = keyed.join(shared, "key").filter("f <> p").groupBy("p", F.col("f").alias("x"), "key").agg(F.lit(1).alias("one")).groupBy("p", "x").agg(F.count("*").alias("c"))
+    met = common.materialize(met, "met")
+    edges = common.materialize(needed(met, classes, percent) if parts else met.select("p", "x"), "edges")
+    common.discard(met)
     common.discard(shared)
     used = edges.select(F.col("p").alias("f")).union(edges.select(F.col("x").alias("f"))).distinct()
     ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep").alias("doc_id")), "candidates")
@@ -210,12 +231,12 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         now = after.select("f", "label")
 
 
-def classes_of(docs: DataFrame, words: int, percent: int, keyed: DataFrame) -> DataFrame:
+def classes_of(docs: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, over links between points that share a key."""
     docs = docs.select("doc_id", "text")
     known = common.materialize(points(docs, words), "points")
-    classes = common.materialize(known.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("rep")), "classes")
-    label = components(links(docs, classes, words, percent, keyed), classes)
+    classes = common.materialize(known.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    label = components(links(docs, classes, words, percent, keyed, parts), classes)
     named = common.materialize(classes.join(label, "f", "left").select("f", F.coalesce("label", "rep").alias("component_id")), "named")
     return known.join(named, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -228,4 +249,4 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     component of their text; an empty table gives no rows; other columns are left out.
     """
     common.bound_batches(docs.sparkSession)
-    return classes_of(docs, words, percent, regions(docs, words, percent))
+    return classes_of(docs, words, percent, regions(docs, words, percent), parts=True)

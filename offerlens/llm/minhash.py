@@ -180,4 +180,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     exact step is the Jaccard join's. Nulls, empty texts, repeated rows and empty tables are as in the Jaccard join.
     """
     common.bound_batches(docs.sparkSession)
-    return jaccard.classes_of(docs, words, percent, band_keys(docs, words))
+    return jaccard.classes_of(docs, words, percent, band_keys(docs, words), parts=False)
