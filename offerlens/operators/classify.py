@@ -135,14 +135,21 @@ def classified(title: Column, context: Column | None = None, source: Column | No
 
 def decision(title: Column, context: Column | None = None, source: Column | None = None) -> Column:
     """classified() with the subcategory found again inside the chosen main category, confidences and review reasons."""
-    c = classified(title, context, source)
     t = text.match_title(title)
     others = [text.match_title(x) for x in (context, source) if x is not None]
-    inner = F.lit(None).cast("string")
-    for m, _, subs in TAXONOMY:
-        b = _best([(m, s, p) for s, p in subs], t, others)
-        inner = F.when(c["primary"] == m, F.when((b["score"] >= 2) & (text.match_title(b["sub"]) != text.match_title(F.lit(m))), b["sub"])).otherwise(inner)
-    sub = F.coalesce(inner, F.lit(""))
-    confidence = F.when(sub != "", F.greatest(F.lit(0.45), F.least(F.lit(0.95), c["confidence"] - 0.04))).otherwise(F.least(F.lit(0.35), c["confidence"]))
-    reasons = F.array_compact(F.array(F.when(c["confidence"] < 0.5, "category-low-confidence"), F.when(sub == "", "subcategory-low-confidence")))
-    return F.struct(c["primary"].alias("primary"), sub.alias("secondary"), c["confidence"].alias("category_confidence"), confidence.alias("subcategory_confidence"), ((c["confidence"] < 0.5) | (sub == "")).alias("needs_review"), reasons.alias("reasons"))
+
+    def decide(c: Column) -> Column:
+        inner = F.lit(None).cast("string")
+        for m, _, subs in TAXONOMY:
+            b = _best([(m, s, p) for s, p in subs], t, others)
+            inner = F.when(c["primary"] == m, F.when((b["score"] >= 2) & (text.match_title(b["sub"]) != text.match_title(F.lit(m))), b["sub"])).otherwise(inner)
+        return F.struct(c["primary"].alias("primary"), F.coalesce(inner, F.lit("")).alias("secondary"), c["confidence"].alias("confidence"))
+
+    def review(c: Column) -> Column:
+        none = c["secondary"] == ""
+        confidence = F.when(none, F.least(F.lit(0.35), c["confidence"])).otherwise(F.greatest(F.lit(0.45), F.least(F.lit(0.95), c["confidence"] - 0.04)))
+        reasons = F.array_compact(F.array(F.when(c["confidence"] < 0.5, "category-low-confidence"), F.when(none, "subcategory-low-confidence")))
+        return F.struct(c["primary"].alias("primary"), c["secondary"].alias("secondary"), c["confidence"].alias("category_confidence"), confidence.alias("subcategory_confidence"), ((c["confidence"] < 0.5) | none).alias("needs_review"), reasons.alias("reasons"))
+
+    # each step is a lambda over its input, so that its many references don't copy the expression into the plan
+    return F.transform(F.transform(F.array(classified(title, context, source)), decide), review)[0]

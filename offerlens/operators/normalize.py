@@ -16,6 +16,11 @@ PROMOTION = (
 )
 
 
+def once(c: Column) -> Column:
+    """The same value behind a lambda: later references to its fields don't copy the expression into the plan."""
+    return F.transform(F.array(c), lambda x: x)[0]
+
+
 def evidence(at: Column) -> Column:
     return F.struct(F.col("source_id"), F.col("channel"), F.col("url"), F.col("retailer_key").alias("retailer"), F.lit("offer").alias("kind"), at.alias("observed_at"))
 
@@ -36,11 +41,11 @@ def offers(rows: DataFrame, as_of: Column) -> DataFrame:
     })
     out = out.filter((c("title") != "") & numbers.truthy(c("price"), "number"))
     out = out.withColumns({
-        "base": units.comparable_base(c("quantity"), c("unit"), c("packs"), c("pack_unit"), c("pack_unit_type") == "PACKAGING"), "needs": promotions.requirement(c("title"), c("conditions"), c("tags"), c("minimum"), c("benefit")),
+        "base": once(units.comparable_base(c("quantity"), c("unit"), c("packs"), c("pack_unit"), c("pack_unit_type") == "PACKAGING")), "needs": once(promotions.requirement(c("title"), c("conditions"), c("tags"), c("minimum"), c("benefit"))),
         "category_primary": c("category.primary"), "category_secondary": c("category.secondary"), "is_active": c("status") == "active", "signature": text.signature(c("title"), c("brand")),
     })
     single = (c("needs.required") <= 1) & ~c("needs.mechanic").isin("x-plus-y", "x-for-y", "multi-buy")
-    out = out.withColumns({"unit_price": units.unit_price(c("price"), c("base")), "savings": promotions.savings(c("price"), c("reference"), c("percent"), F.lit(False), c("needs")), "discount_type": promotions.discount_type(c("benefit"), c("program_required"), c("minimum"), c("needs.mechanic"))})
+    out = out.withColumns({"unit_price": once(units.unit_price(c("price"), c("base"))), "savings": once(promotions.savings(c("price"), c("reference"), c("percent"), F.lit(False), c("needs"))), "discount_type": promotions.discount_type(c("benefit"), c("program_required"), c("minimum"), c("needs.mechanic"))})
     out = out.withColumns({
         "comparison_group": units.comparison_group(c("signature"), c("base"), c("unit_price"), single), "category_key": text.slug(F.coalesce(F.nullif("category_secondary", F.lit("")), "category_primary"), "unkategorisiert"),
         "main_category_key": text.slug(c("category_primary"), "unkategorisiert"), "completeness": numbers.share_of(c("price").isNotNull(), c("valid_from").isNotNull(), c("valid_to").isNotNull(), c("category_secondary") != ""),
