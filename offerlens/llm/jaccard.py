@@ -8,7 +8,7 @@ every text, so a few global pivots would leave all texts on every border. Region
    that size. D is the sum of its parts, so linked sets agree wholly in 1 + slack parts at least: a set belongs to one
    region for each part that isn't empty, with everything at distance 0 there (sizes near the border of a size class go
    to both classes, and a set with more than EMPTY empty parts goes to those as well).
-   Equal sets are one point from the start. The least point of a region is its pivot.
+   Equal sets are one point from the start. A region's pivot is its point with the most shared keys, the least on ties.
 2. Each pivot meets the points of its regions, V(pivot), and their distance is computed exactly. Points within the
    limit link to the pivot and so belong together: none of their mutual distances matter any more.
 3. What is left are links with a point x beyond the limit. Seen from the pivot p, a point is the difference x ^ p,
@@ -195,13 +195,16 @@ def needed(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
     """(u, v) fingerprints of linked points: enough links to connect whatever links connect among points that share a key of keyed (key, f); parts: the keys are those of regions()."""
-    shared = keyed.groupBy("key").agg(F.min("f").alias("p"), F.max("f").alias("q")).filter("p < q").select("key", "p")
-    shared = common.materialize(shared, "regions")
-    met = keyed.join(shared, "key").filter("f <> p").groupBy("p", F.col("f").alias("x"), "key").agg(F.lit(1).alias("one")).groupBy("p", "x").agg(F.count("*").alias("c"))
+    several = keyed.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low < high").select("key")
+    several = common.materialize(several, "several")
+    shared = common.materialize(keyed.join(several, "key").distinct(), "shared")
+    # the pivot of a region is its point with the most shared keys: that is the middle of a group of edited copies
+    score = common.materialize(shared.groupBy("f").agg((-F.count("*")).alias("keys")), "score")
+    pivots = common.materialize(shared.join(score, "f").groupBy("key").agg(F.min(F.struct("keys", "f"))["f"].alias("p")), "pivots")
+    met = shared.join(pivots, "key").filter("f <> p").groupBy("p", F.col("f").alias("x")).agg(F.count("*").alias("c"))
     met = common.materialize(met, "met")
     edges = common.materialize(needed(met, classes, percent) if parts else met.select("p", "x"), "edges")
-    common.discard(met)
-    common.discard(shared)
+    common.discard(met, several, shared, score, pivots)
     used = edges.select(F.col("p").alias("f")).union(edges.select(F.col("x").alias("f"))).distinct()
     ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep").alias("doc_id")), "candidates")
     sets = common.materialize(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words).dropDuplicates(["f"]), "sets")
