@@ -63,9 +63,14 @@ def mark(s: np.ndarray) -> int:
     return int((common.mixed(s ^ SALT).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) if len(s) else 0
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with at, a hash of the text where doc_id is null (else null): (doc_id, at) names a row's document, compared null-safe."""
+    return docs.withColumn("at", F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"))))
+
+
 def points(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (the set's size), f (its fingerprint; 0 for the empty set)."""
-    source = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
+    """doc_id, at (see placed), n (the set's size), f (its fingerprint; 0 for the empty set)."""
+    source = placed(docs).select("doc_id", "at", F.col("text").cast("string").alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +79,9 @@ def points(docs: DataFrame, words: int) -> DataFrame:
             for _, s in _sets(batch, words):
                 n.append(len(s))
                 f.append(mark(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f, pa.int64())], names=["doc_id", "n", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), pa.array(n, pa.int64()), pa.array(f, pa.int64())], names=["doc_id", "at", "n", "f"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n long, f long")
+    return source.mapInArrow(run, f"doc_id {kind}, at long, n long, f long")
 
 
 def regions(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -206,8 +211,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed:
     edges = common.materialize(needed(met, classes, percent) if parts else met.select("p", "x"), "edges")
     common.discard(met, several, shared, score, pivots)
     used = edges.select(F.col("p").alias("f")).union(edges.select(F.col("x").alias("f"))).distinct()
-    ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep").alias("doc_id")), "candidates")
-    sets = common.materialize(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words).dropDuplicates(["f"]), "sets")
+    ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.at").alias("rep_at")), "candidates")
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("at").eqNullSafe(F.col("rep_at"))
+    sets = common.materialize(sets_of(placed(docs.select("doc_id", "text")).join(ids, same, "left_semi"), words).dropDuplicates(["f"]), "sets")
     near = common.materialize(measured(edges, sets, percent), "near")
     common.discard(ids, edges, sets)
     inner = near.filter("link").select(F.col("p").alias("u"), F.col("x").alias("v"))
@@ -215,7 +221,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed:
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(f, label): the least label of each point's connected component, for the points that edges (u, v) name.
+    """(f, label): the least rep of each point's connected component, for the points that edges (u, v) name.
 
     Labels sink along edges and then jump to the label of the point that lent theirs, until none changes.
     """
@@ -224,24 +230,34 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     while True:
         seen = both.join(now.select(F.col("f").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         low = now.join(seen.select(F.col("u").alias("f"), "near"), "f").select("f", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        low = common.materialize(low, "low")
-        owner = now.join(labels.select("f", "rep"), "f").select(F.col("rep").alias("label"), F.col("f").alias("owner"))
-        hop = low.select("f", F.col("label").alias("next"))
-        jumped = low.join(owner, "label", "left").join(hop.select(F.col("f").alias("owner"), "next"), "owner", "left")
+        low = common.materialize(low.withColumn("owner", F.col("label.f")), "low")
+        jumped = low.join(low.select(F.col("f").alias("owner"), F.col("label").alias("next")), "owner", "left")
         after = common.materialize(jumped.select("f", "was", F.least("label", "next").alias("label")), "label")
         if after.filter("label < was").isEmpty():
             return after.select("f", "label")
         now = after.select("f", "label")
 
 
-def classes_of(docs: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, over links between points that share a key."""
+def labelled(docs: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
+    """doc_id, at, n and label (null for the empty set) of every document, over links between points that share a key.
+
+    A label is the rep of the component's first point: none (no row of it has an id), the least doc_id, the least at
+    where none, and its fingerprint. So a point without an id has a label too, and comes after those with one.
+    """
     docs = docs.select("doc_id", "text")
     known = common.materialize(points(docs, words), "points")
-    classes = common.materialize(known.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    first = F.min("doc_id")
+    rep = F.struct(first.isNull().alias("none"), first.alias("doc_id"), F.when(first.isNull(), F.min("at")).alias("at"), F.col("f").alias("f"))
+    classes = common.materialize(known.filter("n > 0").groupBy("f").agg(rep.alias("rep"), F.max("n").alias("n")), "classes")
     label = components(links(docs, classes, words, percent, keyed, parts), classes)
-    named = common.materialize(classes.join(label, "f", "left").select("f", F.coalesce("label", "rep").alias("component_id")), "named")
-    return known.join(named, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = common.materialize(classes.join(label, "f", "left").select("f", F.coalesce("label", "rep").alias("label")), "named")
+    return known.join(named, "f", "left").select("doc_id", "at", "n", "label")
+
+
+def classes_of(docs: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, over links between points that share a key."""
+    found = labelled(docs, words, percent, keyed, parts)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("label.doc_id")).alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -249,7 +265,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     Sets of distinct `words`-word shingles over lower-cased words; shorter texts count as one shingle; null texts and
     texts without a word are empty and link with nothing. Rows that repeat a doc_id are each returned, under the
-    component of their text; an empty table gives no rows; other columns are left out.
+    component of their text; an empty table gives no rows; other columns are left out. Rows with a null doc_id link
+    and are measured like others, but lend no id: their component_id is the least doc_id that links reach, and null
+    only where no row of the component has one.
     """
     common.bound_batches(docs.sparkSession)
     return classes_of(docs, words, percent, regions(docs, words, percent), parts=True)
+
+
+def first_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that hold the first document of their component: the one with the least doc_id.
+
+    Components without an id keep one row, with the least hash of its text among the rows of one of their sets (the
+    least row on ties). Texts without a word are all kept.
+    """
+    common.bound_batches(docs.sparkSession)
+    found = labelled(docs, words, percent, regions(docs, words, percent), parts=True)
+    later = ~(F.col("doc_id").eqNullSafe(F.col("label.doc_id")) & F.col("at").eqNullSafe(F.col("label.at")))
+    gone = common.materialize(found.filter(F.col("label").isNotNull() & later).select(F.col("doc_id").alias("gone_id"), F.col("at").alias("gone_at")).distinct(), "gone")
+    named = docs.filter("doc_id is not null").join(gone.filter("gone_id is not null"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    nameless = docs.filter("doc_id is null")
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    single = placed(nameless.filter(worded)).join(gone.filter("gone_id is null"), F.col("at") == F.col("gone_at"), "left_anti").groupBy("at").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return named.unionByName(nameless.filter(~worded)).unionByName(single.select("row.*"))

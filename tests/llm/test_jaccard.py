@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from offerlens.llm import jaccard
+from offerlens.llm import jaccard, minhash
 
 
 def brute(rows, k, percent):
@@ -61,3 +61,38 @@ def test_empty_null_and_repeated_rows(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], schema), 3, 90).count() == 0
     rows = jaccard.jaccard_components(spark.createDataFrame([(2, "a b c"), (2, "a b c"), (1, "a b c"), (None, "a b c"), (5, None)], schema), 3, 90).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 1), (1, 1), (2, 1), (2, 1), (5, 5)]
+
+
+def edited(word, *places):
+    t = [f"{word}{i}" for i in range(150)]
+    for p in places:
+        t[p] = f"{word}new{p}"
+    return " ".join(t)
+
+
+NAMELESS = 10**9
+# around a null id: edits of its text; a chain through it; nothing but null ids; a single text; none
+AROUND_NULL = [(NAMELESS, edited("a")), (11, edited("a", 40)), (12, edited("a", 90))]
+AROUND_NULL += [(21, edited("b")), (NAMELESS + 1, edited("b", 20, 50)), (22, edited("b", 20, 50, 80, 110))]
+AROUND_NULL += [(NAMELESS + 2, edited("c")), (NAMELESS + 3, edited("c", 30)), (NAMELESS + 4, edited("c", 70)), (NAMELESS + 5, edited("c"))]
+AROUND_NULL += [(NAMELESS + 6, edited("d")), (NAMELESS + 7, None), (NAMELESS + 8, " ")]
+
+
+@pytest.fixture
+def around_null(spark):
+    return spark.createDataFrame([(None if i >= NAMELESS else i, t) for i, t in AROUND_NULL], "doc_id long, text string")
+
+
+def test_null_ids_link_like_others(spark, around_null):
+    want = sorted((min(i, NAMELESS), n, min(c, NAMELESS)) for i, (n, c) in brute(AROUND_NULL, 3, 90).items())
+    assert [c for i, _, c in want if i < NAMELESS] == [11, 11, 21, 21]
+    for found in (jaccard.jaccard_components(around_null, 3, 90), minhash.near_duplicates(around_null, 3, 90)):
+        assert sorted((r.doc_id or NAMELESS, r.n_shingles, r.component_id or NAMELESS) for r in found.collect()) == want
+
+
+def test_first_documents_around_null_ids(spark, around_null):
+    kept = [(r.doc_id, r.text) for r in jaccard.first_documents(around_null, 3, 90).collect()]
+    assert sorted(i for i, _ in kept if i) == [11, 21]
+    nameless = [t for i, t in kept if i is None]
+    assert len(nameless) == 4 and {edited("d"), None, " "} < set(nameless)
+    assert ({*nameless} - {edited("d"), None, " "}).pop() in (edited("c"), edited("c", 30), edited("c", 70))
