@@ -24,6 +24,7 @@ SCALE = 40.0
 SEEDS = [np.uint64(x | 1) for x in (0x8F3A1C5D9E2B4710, 0x51ED270B7C14F9A2, 0xC2B2AE3D27D4EB4E, 0x165667B19E3779F8)]
 SHIFT = np.uint64(64 - BITS)
 SAMPLE_PER_CLASS = 1500
+LEAST_PER_CLASS = 5
 #: Documents whose calibrated probability of being good lies under this are rejected.
 MIN_GOOD = 0.5
 MIN_WORDS = 50
@@ -81,7 +82,7 @@ def _sigmoid(x):
 def fit_arrays(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.05, l2: float = 1e-6) -> QualityModel | None:
     """Adagrad on four fifths of the rows, Platt's scaling on the others. None without both classes."""
     y = np.asarray(y, float)
-    if len(set(y.tolist())) < 2 or min((y == 0).sum(), (y == 1).sum()) < 5:
+    if len(set(y.tolist())) < 2 or min((y == 0).sum(), (y == 1).sum()) < LEAST_PER_CLASS:
         return None
     rows = []
     for t in texts:
@@ -134,7 +135,7 @@ def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> QualityModel | None:
     """Fit on at most sample_per_class labelled rows of either class (see sampling.labelled_sample)."""
-    rows = sampling.labelled_sample(docs, labels, "quality", sample_per_class)
+    rows = sampling.labelled_sample(docs, labels, "quality", sample_per_class, least=LEAST_PER_CLASS)
     return fit_arrays(rows.text.tolist(), rows.y.to_numpy()) if len(rows) else None
 
 

@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from offerlens.llm import language, quality, registry, toxicity
+from offerlens.llm import language, quality, registry, sampling, toxicity
 from pyspark.sql import functions as F
 
 r = random.Random(6)
@@ -104,3 +105,18 @@ def test_held_out_accuracy_on_the_tables(spark):
     labels = spark.read.parquet(f"{d}/labels.parquet")
     tox = registry.op7_toxicity(spark, d).filter("held_out").join(labels, "doc_id")
     assert tox.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0] > 0.9
+
+
+def test_long_texts_leave_room_for_others(spark):
+    ids = spark.range(40).orderBy(F.xxhash64("id")).toPandas().id.tolist()
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    # the first by hash is longer than all the bytes, the third than what is left of its label's half
+    long = {ids[0]: 1001, ids[2]: 480, ids[4]: 30}
+    docs = spark.createDataFrame([(i, "x" * long.get(i, 10)) for i in ids], "doc_id long, text string")
+    got = sampling.labelled_sample(docs, labels, "toxic", 100, max_bytes=1000)
+    assert ids[0] not in got.doc_id.tolist() and got.text.str.len().sum() <= 1000
+    assert set(got.doc_id) == {*ids} - {ids[0]}
+    tight = sampling.labelled_sample(docs, labels, "toxic", 100, max_bytes=100)
+    assert tight.groupby("y").size().to_dict() == {0: 3, 1: 5}
+    with pytest.raises(ValueError, match="toxic 1"):
+        sampling.labelled_sample(docs.withColumn("text", F.when(F.col("doc_id").isin(ids[1::2]), F.repeat("text", F.lit(200))).otherwise(F.col("text"))), labels, "toxic", 100, max_bytes=1000)
