@@ -1,7 +1,7 @@
 """Operator 4, licence scans: sentence rules.
 
 A text is cut into sentences, each is normalised (lower case, letters and digits only, years and holders of copyright
-lines cut off) and looked up among known licence sentences. What remains of a text is a sequence of sentence numbers;
+lines cut off, names of holders and programs inside a sentence replaced by the usual ones) and looked up among known licence sentences. What remains of a text is a sequence of sentence numbers;
 licence rules are ordered sequences of them. A rule matches where its sentences follow one another with at most GAP
 other sentences between two; longer rules go first, and a sentence serves one match.
 """
@@ -62,6 +62,49 @@ SENTENCES = {
     "cc-by-4-long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-sa-4-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd-advert-us": "All advertising materials mentioning features or use of this software must display the following acknowledgment",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "apache2-title-at": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gpl2-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl2-only-comma": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License",
+    "gpl3-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    "gpl3-only-comma": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+    "lgpl3-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License",
+    "agpl3-only-version": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation",
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "agpl-see": "See the GNU Affero General Public License for more details",
+    "epl1-title": "Eclipse Public License - v 1.0",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl1-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl2-notice-v": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-v20.html",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "artistic2-title": "The Artistic License 2.0",
+    "artistic2-notice": "Licensed under the Artistic License 2.0",
+    "artistic1-title": 'The "Artistic License"',
+    "artistic1-preamble": "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications",
+    "wtfpl-title": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004",
+    "wtfpl-title-short": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "wtfpl-notice": "You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar",
+    "bsl-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "bsl-notice": "Distributed under the Boost Software License, Version 1.0",
+    "cc-by-nc-nd-4": "Licensed under CC BY-NC-ND 4.0",
+    "cc-by-nc-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nd-4-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-sa-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nc-nd-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
     "rights-reserved": "All rights reserved",
 }
 
@@ -98,6 +141,48 @@ RULES = [
     ("CC-BY-4.0", ("cc-by-4-long",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-long",)),
     ("CC0-1.0", ("cc0",)),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "bsd-as-is")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert-us", "bsd-endorse", "bsd-as-is")),
+    ("ISC", ("isc-grant-and", "isc-as-is")),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("Apache-2.0", ("apache2-title",)),
+    ("Apache-2.0", ("apache2-title-at",)),
+    ("GPL-2.0-only", ("gpl2-title",)),
+    ("GPL-3.0-only", ("gpl3-title",)),
+    ("LGPL-2.1-only", ("lgpl21-title",)),
+    ("LGPL-3.0-only", ("lgpl3-title",)),
+    ("AGPL-3.0-only", ("agpl3-title",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("GPL-2.0-only", ("gpl2-only-comma",)),
+    ("GPL-3.0-only", ("gpl3-only",)),
+    ("GPL-3.0-only", ("gpl3-only-comma",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "gpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-later", "gpl-hope", "agpl-see")),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("AGPL-3.0-only", ("agpl3-only",)),
+    ("AGPL-3.0-only", ("agpl3-only-version",)),
+    ("EPL-1.0", ("epl1-title",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("EPL-1.0", ("epl1-notice",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("EPL-2.0", ("epl2-notice-v",)),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("Artistic-2.0", ("artistic2-title",)),
+    ("Artistic-2.0", ("artistic2-notice",)),
+    ("Artistic-1.0", ("artistic1-title", "artistic1-preamble")),
+    ("WTFPL", ("wtfpl-title",)),
+    ("WTFPL", ("wtfpl-title-short",)),
+    ("WTFPL", ("wtfpl-notice",)),
+    ("BSL-1.0", ("bsl-title",)),
+    ("BSL-1.0", ("bsl-notice",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-long",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4-long",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-long",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-long",)),
     ("LicenseRef-all-rights-reserved", ("rights-reserved",)),
 ]
 
@@ -106,14 +191,34 @@ _BREAK = re.compile(r"\n(?:[ \t]*[#*/;]*[ \t]*\n)+|(?<=[.!?;:])\s+|\s*\n\s*(?=(?
 _OPENING = re.compile(r"^(?:\d+|[a-z]|all copyright .{0,80}?|copyright (?:c )?(?:\d{4} ?)*.{0,80}?)(?= redistribution| neither| all rights)")
 _SPDX = re.compile(r"spdx-license-identifier:\s*([A-Za-z0-9.+\-]+)", re.I)
 #: Every known sentence holds one of these once lower-cased; texts without them need no look.
-HINTS = ("licens", "permi", "redistribut", "as is", "rights reserved", "warrant", "copyright", "free software", "neither the name", "in no event", "you can obtain one", "public domain", "anyone is free", "spdx", "distributed in the hope")
+HINTS = ("licens", "permi", "redistribut", "as is", "rights reserved", "warrant", "copyright", "free software", "neither the name", "in no event", "you can obtain one", "public domain", "anyone is free", "spdx", "distributed in the hope", "public license")
+# Where a normalised sentence names a holder or a program, and the wording of the known sentence.
+HOLDERS = [
+    (r"(?:\d+ |[a-z] )?(?:neither the names? of|the names? of) .{1,200}? (?:be used to|used to) endorse or promote products derived from (?:this|the) software(?: without (?:specific )?(?:prior )?(?:written )?permission(?: (?:of|from) (?:(?!this software).){1,80})?)?$", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (r"this software is provided by .{1,160}? as is and any express(?:ed)? or implied", "this software is provided by the copyright holders and contributors as is and any express or implied"),
+    (r"the software is provided as is and .{1,160}? disclaims? all warranties", "the software is provided as is and the author disclaims all warranties"),
+    (r"in no event shall .{1,160}? be liable for any claim", "in no event shall the authors or copyright holders be liable for any claim"),
+    (r"in no event will .{1,160}? be held liable for any damages", "in no event will the authors be held liable for any damages"),
+    (r"(?:\d+ |[a-z] )(?=all advertising materials)", ""),
+    (r".{1,80}? is free software you can redistribute it and or modify it under the terms", "this program is free software you can redistribute it and or modify it under the terms"),
+    (r".{1,80}? is distributed in the hope that it will be useful", "this program is distributed in the hope that it will be useful"),
+]
+_HOLDERS = [(re.compile(x), y) for x, y in HOLDERS]
 
 
 def normal(sentence: str) -> str:
     return _PLAIN.sub(" ", sentence.lower()).strip()
 
 
-KNOWN = {normal(text): name for name, text in SENTENCES.items()}
+def usual(s: str) -> str:
+    """A normalised sentence with the usual names in place of its holder's or program's."""
+    for pattern, wording in _HOLDERS:
+        if m := pattern.match(s):
+            return wording + s[m.end() :]
+    return s
+
+
+KNOWN = {usual(normal(text)): name for name, text in SENTENCES.items()}
 LONGEST = max(map(len, KNOWN))
 _by_first: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
 for _rule in sorted(RULES, key=lambda r: -len(r[1])):
@@ -127,7 +232,8 @@ def identify(sentence: str) -> str | None:
         return None
     if s in KNOWN:
         return KNOWN[s]
-    return KNOWN.get(_OPENING.sub("", s).strip())
+    s = usual(s)
+    return KNOWN.get(s) or KNOWN.get(usual(_OPENING.sub("", s).strip()))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:

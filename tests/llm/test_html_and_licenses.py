@@ -61,3 +61,26 @@ def test_scan_rows(spark):
     got = {r.doc_id: [m.license for m in r.matches] for r in licenses.license_scan(df).collect()}
     assert got == {1: ["LicenseRef-all-rights-reserved"], 2: [], 3: []}
     assert licenses.license_scan(df.filter("false")).count() == 0
+
+
+def test_holders_and_programs_by_name():
+    s = licenses.SENTENCES
+    binary = [s[k] + e for k, e in (("bsd-grant", ":"), ("bsd-source", "."), ("bsd-binary", "."))]
+    as_is = s["bsd-as-is"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "ACME, INC. AND CONTRIBUTORS")
+    for endorse in (s["bsd-endorse"].replace("the copyright holder", "Acme, Inc."), s["bsd-endorse"].replace("the copyright holder", "the <organization>"), "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"):
+        for end in (s["bsd-as-is"], as_is):
+            assert names("\n\n".join([*binary, "3. " + endorse + ".", end + "."])) == [("BSD-3-Clause", 5)], endorse
+    assert names("\n\n".join([*binary, as_is + "."])) == [("BSD-2-Clause", 4)]
+    advert = "3. " + s["bsd-advert"] + ":\n This product includes software developed by Acme.\n\n4. " + s["bsd-endorse"] + "."
+    assert names("\n\n".join([*binary, advert, as_is + "."])) == [("BSD-4-Clause", 6)]
+    assert names(s["agpl3-later"].replace("This program", "Acme Server") + ".") == [("AGPL-3.0-or-later", 1)]
+    assert names(s["mit-grant"] + ".\n\n" + s["mit-include"] + ".\n\n" + s["mit-as-is"] + ". " + s["mit-liability"].replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME") + ".") == [("MIT", 4)]
+
+
+def test_titles_of_whole_licenses():
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n"
+    assert names(title) == [("GPL-3.0-only", 1)]
+    assert names("   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n") == [("Apache-2.0", 1)]
+    assert names("            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n                    Version 2, December 2004\n\n") == [("WTFPL", 1)]
+    assert all(any(h in licenses.SENTENCES[k].lower() for k in rule for h in licenses.HINTS) for _, rule in licenses.RULES)
+    assert len(licenses.KNOWN) == len(licenses.SENTENCES)
