@@ -1,21 +1,25 @@
 """Operator 8, n-gram Jaccard join: an exact metric-space join of shingle sets, and its connected components.
 
-Sets live in the metric of the symmetric difference D(A, B) = |A| + |B| - 2 |A n B|; Jaccard similarity of at least
-p percent is D <= (100 - p) / (100 + p) * (|A| + |B|). Documents taken as pivots lie at distance about 1 from nearly
-every text, so a few global pivots would leave all texts on every border. Regions come from the subspaces instead:
-
-1. The space of shingle hashes is cut into T + 1 + slack parts, T being the largest D that a link may have among sets of
-   that size. D is the sum of its parts, so linked sets agree wholly in 1 + slack parts at least: a set belongs to one
-   region for each part that isn't empty, with everything at distance 0 there (sizes near the border of a size class go
-   to both classes, and a set with more than EMPTY empty parts goes to those as well).
-   Equal sets are one point from the start. A region's pivot is its point with the most shared keys, the least on ties.
-2. Each pivot meets the points of its regions, V(pivot), and their distance is computed exactly. Points within the
-   limit link to the pivot and so belong together: none of their mutual distances matter any more.
-3. What is left are links with a point x beyond the limit. Seen from the pivot p, a point is the difference x ^ p,
-   which keeps all distances. By the triangle inequality such a link (x, y) needs |x ^ p| and |y ^ p| to lie in a window
-   and to overlap in so many elements that both hold one in the first few of them (those outside p first). Points that
-   share such an element form a region inside V(p); there outer points meet the points in their window, and their
-   distance comes from the two differences, exactly.
+Jaccard distance d is a metric, and linked documents lie within r = 1 - percent/100. Equal sets are one point from the
+start. Most texts lie at distance 1 from each other, so pivots are taken where points are near each other:
+
+1. A set's elements are 64-bit hashes, and all sets are read in ascending order. Linked sets share at least
+   ``least_shared`` elements among the first ``prefix`` of both. Points that share fewer with others altogether link
+   with nothing and are left out; so are, for the most part, texts that have but a passage in common.
+2. Pivots: each shared element names the point of its list with the most shared elements, the middle of a group of
+   copies. Voronoi cells: a point measures its distance to the pivots that most of its elements name (NEAREST at most)
+   and belongs to the nearest.
+3. Windows: a link (x, y) with x of p's cell needs y to share ``least_shared`` elements with p's cell and, by the triangle
+   inequality, d(y, p) <= radius(p) + r, the radius being the greatest distance in the cell. Such points y of other cells
+   are replicated into p's region, so every link lies in the region of both its ends' cells. An element found in more
+   than CELLS cells doesn't replicate: all its points join the region of the pivot that it names.
+4. In a region, points within the limit link to the pivot and so belong together; none of their mutual distances matter
+   any more. Left are links with a point x beyond the limit. Seen from p a point is the difference x ^ p, which keeps all
+   distances D = |x ^ y|. By the triangle inequality a link (x, y) needs |x ^ p| and |y ^ p| to lie in a window and to
+   overlap in so many elements that both hold one in the first few of them (those outside p first). Points that share
+   such an element form a subregion. One of at most SMALL points is joined by itself: its points meet those in their
+   window, and the two differences give the exact distance. A larger one is a region again, with a pivot of its own, and
+   is joined recursively (to DEPTH levels; what is left then is joined by itself).
 """
 
 from __future__ import annotations
@@ -24,27 +28,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.llm import common
 
 SALT = np.uint64(0xA24BAED4963EE407)
-#: Parts beyond T + 1: linked sets agree in 1 + slack parts, of which at most EMPTY are empty (a set with more empty parts
-#: has keys for those too). Classes with T below LARGE have a slack of EMPTY, the others of SLACK.
-EMPTY, SLACK, LARGE = 2, 6, 6
-#: So many keys at least do linked sets of a large class share.
-SHARED = 1 + SLACK - EMPTY
+#: Pivots that a point measures, cells that an element may replicate into, points of a subregion that is joined by itself,
+#: and levels of regions. They bound work, not results.
+NEAREST, CELLS, SMALL, DEPTH = 3, 32, 64, 8
+#: So many sets at most does a task remember so as to send the keys of equal sets once.
+REMEMBERED = 100_000
 
 
-def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of the size classes, and the parts that each is cut into."""
-    low, parts = [1], []
-    while low[-1] < top:
-        low.append(max(low[-1] + 1, int(low[-1] * 1.4)))
-        most = (100 - percent) * 2 * (low[-1] - 1) // (100 + percent)
-        parts.append(most + 1 + (SLACK if most >= LARGE else EMPTY) if most else 1)
-    return np.array(low[:-1], np.int64), np.array(parts, np.int64)
+def least_shared(n: int, percent: int) -> int:
+    """So many elements among the first of both do linked sets share, whose smaller one has n."""
+    return max(1, min(-(-percent * n // 100), -((percent - 100) * n // 200)))
+
+
+def prefix(n: int, percent: int) -> int:
+    """The first elements of a set of n that are compared: all but percent of n, and least_shared more.
+
+    Be x the one of two linked sets whose prefix ends first, at element w. The sets share percent of the larger one's size
+    at least, and x has only `percent of n, less least_shared` elements behind w: the others that they share lie up to w,
+    so in both prefixes.
+    """
+    return n - -(-percent * n // 100) + least_shared(n, percent)
+
+
+def _needed(n, percent: int):
+    """least_shared as a column, for the smallest set that may link with one of n elements."""
+    least = F.ceil(percent * n / F.lit(100) - 1e-9)
+    return F.greatest(F.lit(1), F.least(F.ceil(percent * least / F.lit(100) - 1e-9), F.ceil((100 - percent) * least / F.lit(200) - 1e-9)))
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,35 +99,26 @@ def points(docs: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, at long, n long, f long")
 
 
-def regions(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, f): one row for each part of each point's set, in its size class and in the next where a link may reach."""
+def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, f): the first elements of each point's set, unless it is too small to link with another one."""
     source = docs.select(F.col("text").cast("string").alias("__text"))
-    low, parts = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             keys, marks, rows = [], [], 0
             for _, s in _sets(batch, words):
-                if not len(s):
+                n = len(s)
+                if not n or 100 + percent > (100 - percent) * (n + 100 * n // percent):
                     continue
                 f = mark(s)
-                total = np.zeros(len(s) + 1, np.uint64)
-                np.cumsum(common.mixed(s ^ SALT), out=total[1:])
-                own = int(np.searchsorted(low, len(s), "right")) - 1
-                reach = int(np.searchsorted(low, 100 * len(s) // percent, "right")) - 1
-                for c in range(own, reach + 1):
-                    m = int(parts[c])
-                    if m == 1:
-                        continue  # no differing sets link here
-                    part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-                    edge = np.searchsorted(part, np.arange(m + 1))
-                    use = np.flatnonzero(edge[1:] > edge[:-1])
-                    if m - len(use) > EMPTY:
-                        use = np.arange(m)
-                    v = (total[edge[1:]] - total[edge[:-1]])[use] + use.astype(np.uint64) * common.MIX_1 + np.uint64(c * int(common.MIX_2) & 0xFFFFFFFFFFFFFFFF)
-                    keys.append(common.mixed(v).astype(np.int64))
-                    marks.append(np.full(len(use), f, np.int64))
-                    rows += len(use)
+                if f in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(f)
+                keys.append(s[: prefix(n, percent)].astype(np.int64))
+                marks.append(np.full(len(keys[-1]), f, np.int64))
+                rows += len(keys[-1])
                 if rows > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(marks))], names=["key", "f"])
                     keys, marks, rows = [], [], 0
@@ -149,75 +155,126 @@ def _lists(f: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """p, x, size (of x), link, far (the distance), delta (x ^ p: the `added` elements outside p first, each part
-    ascending) and first: how many elements of delta a link beyond the pivot must touch one of."""
+    """The columns of edges (p, x and others), size (of x), far and d (the distances D and d), link (d <= r), delta (x ^ p:
+    the `added` elements outside p first, each part ascending) and first: how many elements of delta a link beyond the
+    pivot must touch one of."""
     both = edges.join(sets.select(F.col("f").alias("x"), F.col("elements").alias("xs")), "x").join(sets.select(F.col("f").alias("p"), F.col("elements").alias("ps")), "p")
-    both = both.select("p", "x", F.size("xs").alias("size"), F.size("ps").alias("own"), F.array_except("xs", "ps").alias("more"), F.array_except("ps", "xs").alias("less"))
-    out = both.withColumn("link", 100 * (F.col("size") - F.size("more")) >= percent * (F.col("own") + F.size("more"))).withColumn("far", F.size("more") + F.size("less"))
+    both = both.select(*edges.columns, F.size("xs").alias("size"), F.size("ps").alias("own_size"), F.array_except("xs", "ps").alias("more"), F.array_except("ps", "xs").alias("less"))
+    union = F.col("own_size") + F.size("more")
+    out = both.withColumn("far", F.size("more") + F.size("less")).withColumn("d", F.col("far") / union).withColumn("link", 100 * (F.col("size") - F.size("more")) >= percent * union)
     # a link (x, y) with x beyond the limit: overlap > far * percent / (100 + percent) for y, and >= far - (100 - percent) / percent * size for x
     first = F.when(F.col("link"), F.col("far") - F.floor(F.col("far") * percent / F.lit(100 + percent) - 1e-9)).otherwise(F.least(F.col("far"), F.floor((100 - percent) * F.col("size") / F.lit(percent) + 1e-9) + 1))
-    return out.select("p", "x", "size", "link", "far", F.size("more").alias("added"), F.concat(F.sort_array("more"), F.sort_array("less")).alias("delta"), first.cast("int").alias("first"))
+    return out.select(*edges.columns, "size", "far", "d", "link", F.size("more").alias("added"), F.concat(F.sort_array("more"), F.sort_array("less")).alias("delta"), first.cast("int").alias("first"))
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The distinct (key, f) whose key several points have; one shuffle serves both the count and the rows."""
+    dealt = keyed.repartition("key")
+    several = dealt.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low < high").select("key")
+    return dealt.join(several, "key").distinct()
 
 
-def outer_links(near: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links of points beyond a pivot's limit with points of the same V(pivot).
+def named_pivots(shared: DataFrame) -> DataFrame:
+    """(key, p): of each key's points (key, f, keys) the one with the most shared keys, the least on ties."""
+    return shared.groupBy("key").agg(F.min(F.struct(-F.col("keys"), "f"))["f"].alias("p"))
+
+
+def sets_needed(docs: DataFrame, classes: DataFrame, used: DataFrame, words: int) -> DataFrame:
+    """(f, elements) of the points in used (f)."""
+    ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.at").alias("rep_at")), "candidates")
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("at").eqNullSafe(F.col("rep_at"))
+    return common.materialize(sets_of(placed(docs.select("doc_id", "text")).join(ids, same, "left_semi"), words).dropDuplicates(["f"]), "sets")
+
+
+def subregions(near: DataFrame) -> DataFrame:
+    """(g, e, x, size, far, link, own, other, n, outer): points of region g by a first element e of their differences, where
+    such a list has n > 1 points and `outer` > 0 beyond the limit. other: may be the far end of an outer point's link.
 
-    Candidates share one of the first elements of their differences to the pivot and pass two windows, on sizes and, by
-    the triangle inequality, on distances to the pivot; the overlap of the differences then gives the exact distance.
     A point y with at least as many elements outside p as it lacks of p (that is, not smaller than p) must share one of
     the former with x: the overlap exceeds what y lacks. So what points lack of p, the only thing that copies with
     unrelated edits have in common, is a key of y only where y is smaller than p.
     """
-    one = near.select("p", "x", "size", "link", "far", "added", F.posexplode(F.slice("delta", F.lit(1), F.col("first"))).alias("i", "e"))
-    outer = one.filter("not link").select("p", "e", "x", "size", "far")
-    other = one.filter("i < added or 2 * added < far").select("p", "e", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"))
-    windows = f"""x <> y and (link_y or x < y) and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)
+    one = near.select("g", "x", "size", "far", "link", "own", "added", F.posexplode(F.slice("delta", F.lit(1), F.col("first"))).alias("i", "e"))
+    one = one.withColumn("other", (F.col("i") < F.col("added")) | (2 * F.col("added") < F.col("far"))).filter("other or not link").drop("i", "added").repartition("g", "e")
+    lists = one.groupBy("g", "e").agg(F.count("*").alias("n"), F.count_if(~F.col("link")).alias("outer"), F.max("own").alias("any")).filter("n > 1 and outer > 0 and any")
+    return one.join(lists.drop("any"), ["g", "e"])
+
+
+def joined(busy: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the links with a point beyond the limit in the subregions of busy, each of few points."""
+    x = busy.filter("not link").select("g", "e", "x", "size", "far", "own")
+    y = busy.filter("other").select("g", "e", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"), F.col("own").alias("own_y"))
+    windows = f"""x <> y and (link_y or x < y) and (own or own_y) and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)
         and abs(far - far_y) * {100 + percent} <= {100 - percent} * (size + size_y)"""
-    pairs = outer.join(other, ["p", "e"]).filter(windows).groupBy("x", "y").agg(F.min("p").alias("p"))
-    pairs = common.materialize(pairs, "pairs")
-    left = near.select("p", "x", "size", "far", "delta")
-    right = near.select("p", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("far").alias("far_y"), F.col("delta").alias("delta_y"))
+    pairs = common.materialize(x.join(y, ["g", "e"]).filter(windows).groupBy("x", "y").agg(F.min("g").alias("g")), "pairs")
+    left = near.select("g", "x", "size", "far", "delta")
+    right = near.select("g", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("far").alias("far_y"), F.col("delta").alias("delta_y"))
     apart = F.col("far") + F.col("far_y") - 2 * F.size(F.array_intersect("delta", "delta_y"))
-    exact = pairs.join(left, ["p", "x"]).join(right, ["p", "y"]).filter(apart * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("size_y")))
+    exact = pairs.join(left, ["g", "x"]).join(right, ["g", "y"]).filter(apart * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("size_y")))
     return exact.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def needed(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(p, x) whose distance matters, of pivots and points that share c keys.
-
-    Linked points of large classes share SHARED keys at least, so (p, x) can be a link only from there on. Else x is
-    needed in V(p) for its links with others. If fewer than SHARED of x's keys have another pivot, then whatever links
-    with x shares a key of which x is the pivot: x needs no other's V. And of its pivots, those met by a single key don't
-    count if they are at most (SHARED - 1) / 2, as some key that is single for neither end of a link remains.
-    """
-    low, parts = size_classes(percent)
-    first = int(low[np.flatnonzero(parts > LARGE + SLACK)[0]])  # sizes from here on are in large classes
-    of = met.groupBy("x").agg(F.sum("c").alias("foreign"), F.count_if(F.col("c") == 1).alias("single"))
-    of = of.join(classes.select(F.col("f").alias("x"), "n"), "x")
-    keep = (F.col("n") < first) | (F.col("c") >= SHARED) | ((F.col("foreign") >= SHARED) & ((F.col("c") > 1) | (F.col("single") > (SHARED - 1) // 2)))
-    return met.join(common.materialize(of, "foreign"), "x").filter(keep).select("p", "x")
-
-
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
-    """(u, v) fingerprints of linked points: enough links to connect whatever links connect among points that share a key of keyed (key, f); parts: the keys are those of regions()."""
-    several = keyed.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low < high").select("key")
-    several = common.materialize(several, "several")
-    shared = common.materialize(keyed.join(several, "key").distinct(), "shared")
-    # the pivot of a region is its point with the most shared keys: that is the middle of a group of edited copies
-    score = common.materialize(shared.groupBy("f").agg((-F.count("*")).alias("keys")), "score")
-    pivots = common.materialize(shared.join(score, "f").groupBy("key").agg(F.min(F.struct("keys", "f"))["f"].alias("p")), "pivots")
-    met = shared.join(pivots, "key").filter("f <> p").groupBy("p", F.col("f").alias("x")).agg(F.count("*").alias("c"))
-    met = common.materialize(met, "met")
-    edges = common.materialize(needed(met, classes, percent) if parts else met.select("p", "x"), "edges")
-    common.discard(met, several, shared, score, pivots)
-    used = edges.select(F.col("p").alias("f")).union(edges.select(F.col("x").alias("f"))).distinct()
-    ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.at").alias("rep_at")), "candidates")
-    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("at").eqNullSafe(F.col("rep_at"))
-    sets = common.materialize(sets_of(placed(docs.select("doc_id", "text")).join(ids, same, "left_semi"), words).dropDuplicates(["f"]), "sets")
-    near = common.materialize(measured(edges, sets, percent), "near")
-    common.discard(ids, edges, sets)
-    inner = near.filter("link").select(F.col("p").alias("u"), F.col("x").alias("v"))
-    return common.materialize(inner.union(outer_links(near, percent)).distinct(), "links")
+def settled(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links enough to connect whatever links connect in the regions of near: measured points (g, p, x, own), where
+    g names the region and one end of a link at least must be its own."""
+    found = near.filter("link and p <> x").select(F.col("p").alias("u"), F.col("x").alias("v"))
+    for level in range(1, DEPTH + 1):
+        busy = common.materialize(subregions(near), "busy")
+        small = F.lit(True) if level == DEPTH else F.col("n") * F.col("outer") <= SMALL * SMALL
+        found = found.union(joined(busy.filter(small), near, percent))
+        large = busy.filter(~small)
+        if level == DEPTH or large.isEmpty():
+            break
+        score = large.groupBy("g", "x").agg(F.count("*").alias("keys"))
+        pivots = large.join(score, ["g", "x"]).groupBy("g", "e").agg(F.min(F.struct(-F.col("keys"), "x"))["x"].alias("p"))
+        edges = large.join(pivots, ["g", "e"]).select(F.xxhash64("g", "p").alias("g"), "p", "x", (~F.col("link")).alias("own")).distinct()
+        near = common.materialize(measured(common.materialize(edges, "edges"), sets, percent), "near")
+        found = found.union(near.filter("link and p <> x").select(F.col("p").alias("u"), F.col("x").alias("v")))
+    return common.materialize(found.distinct(), "links")
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v) fingerprints of linked points: links enough to connect whatever links connect."""
+    shared = common.materialize(shared_keys(prefixes(docs, words, percent)), "shared")
+    alive = shared.groupBy("f").agg(F.count("*").alias("keys")).join(classes.select("f", "n"), "f")
+    alive = common.materialize(alive.filter(F.col("keys") >= _needed(F.col("n"), percent)), "alive")
+    mine = common.materialize(shared.join(alive, "f"), "mine")
+    common.discard(shared)
+    pivots = common.materialize(named_pivots(mine), "pivots")
+    met = mine.join(pivots, "key").groupBy(F.col("f").alias("x"), "p").agg(F.count("*").alias("c"), F.first("keys").alias("keys"))
+    met = met.filter("p <> x or 2 * c >= keys").withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "p"))).filter(F.col("rank") <= NEAREST)
+    met = common.materialize(met.select("p", "x"), "met")
+    sets = sets_needed(docs, classes, alive.select("f"), words)
+    tried = common.materialize(measured(met, sets, percent), "tried")
+    home = common.materialize(tried.groupBy("x").agg(F.min(F.struct("d", "p")).alias("home")).select("x", F.col("home.p").alias("p"), F.col("home.d").alias("d")), "home")
+    radius = home.groupBy("p").agg(F.max("d").alias("radius"))
+    placed_keys = common.materialize(mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home")), "f").select("key", F.col("f").alias("x"), "n", "home"), "placed")
+    cells = common.materialize(placed_keys.select("key", F.col("home").alias("p")).distinct(), "cells")
+    crowded = common.materialize(cells.groupBy("key").count().filter(F.col("count") > CELLS).select("key"), "crowded")
+    common.discard(mine)
+    met_cells = placed_keys.join(cells.join(crowded, "key", "left_anti"), "key").filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    in_crowds = placed_keys.join(crowded, "key", "left_semi")
+    near_cells = met_cells.join(in_crowds.groupBy("x").agg(F.count("*").alias("more")), "x", "left").filter(F.col("c") + F.coalesce("more", F.lit(0)) >= _needed(F.col("n"), percent)).select("p", "x")
+    near_cells = common.materialize(near_cells, "near_cells")
+    crowds = in_crowds.join(pivots, "key").select("p", "x").distinct()
+    fresh = near_cells.select("p", "x", F.lit(False).alias("own")).union(crowds.select("p", "x", F.lit(True).alias("own"))).groupBy("p", "x").agg(F.max("own").alias("own"))
+    own = tried.join(home.select("p", "x"), ["p", "x"], "left_semi").withColumn("own", F.lit(True))
+    edges = common.materialize(fresh.join(home.select("p", "x"), ["p", "x"], "left_anti"), "edges")
+    others = measured(edges, sets, percent).join(radius, "p", "left").filter(F.col("own") | (F.col("d") <= F.col("radius") + (100 - percent) / 100 + 1e-9)).drop("radius")
+    near = common.materialize(own.unionByName(others).withColumn("g", F.col("p")), "near")
+    common.discard(tried, placed_keys, cells)
+    return settled(near, sets, percent)
+
+
+def links_by_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed: DataFrame) -> DataFrame:
+    """(u, v) fingerprints of linked points, enough to connect whatever links connect points that share a key of keyed (key, f)."""
+    shared = common.materialize(shared_keys(keyed), "shared")
+    score = shared.groupBy("f").agg(F.count("*").alias("keys"))
+    pivots = named_pivots(shared.join(score, "f"))
+    edges = shared.join(pivots, "key").select(F.col("p").alias("g"), "p", F.col("f").alias("x"), F.lit(True).alias("own")).filter("p <> x").distinct()
+    edges = common.materialize(edges, "edges")
+    sets = sets_needed(docs, classes, shared.select("f"), words)
+    return settled(common.materialize(measured(edges, sets, percent), "near"), sets, percent)
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,8 +295,8 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         now = after.select("f", "label")
 
 
-def labelled(docs: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
-    """doc_id, at, n and label (null for the empty set) of every document, over links between points that share a key.
+def labelled(docs: DataFrame, words: int, percent: int, keyed: DataFrame | None = None) -> DataFrame:
+    """doc_id, at, n and label (null for the empty set) of every document, over all links, or those between points that share a key of keyed.
 
     A label is the rep of the component's first point: none (no row of it has an id), the least doc_id, the least at
     where none, and its fingerprint. So a point without an id has a label too, and comes after those with one.
@@ -249,14 +306,15 @@ def labelled(docs: DataFrame, words: int, percent: int, keyed: DataFrame, parts:
     first = F.min("doc_id")
     rep = F.struct(first.isNull().alias("none"), first.alias("doc_id"), F.when(first.isNull(), F.min("at")).alias("at"), F.col("f").alias("f"))
     classes = common.materialize(known.filter("n > 0").groupBy("f").agg(rep.alias("rep"), F.max("n").alias("n")), "classes")
-    label = components(links(docs, classes, words, percent, keyed, parts), classes)
+    linked = links(docs, classes, words, percent) if keyed is None else links_by_keys(docs, classes, words, percent, keyed)
+    label = components(linked, classes)
     named = common.materialize(classes.join(label, "f", "left").select("f", F.coalesce("label", "rep").alias("label")), "named")
     return known.join(named, "f", "left").select("doc_id", "at", "n", "label")
 
 
-def classes_of(docs: DataFrame, words: int, percent: int, keyed: DataFrame, parts: bool) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, over links between points that share a key."""
-    found = labelled(docs, words, percent, keyed, parts)
+def classes_of(docs: DataFrame, words: int, percent: int, keyed: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, over all links, or those between points that share a key of keyed."""
+    found = labelled(docs, words, percent, keyed)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("label.doc_id")).alias("component_id"))
 
 
@@ -270,7 +328,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     only where no row of the component has one.
     """
     common.bound_batches(docs.sparkSession)
-    return classes_of(docs, words, percent, regions(docs, words, percent), parts=True)
+    return classes_of(docs, words, percent)
 
 
 def first_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -280,7 +338,7 @@ def first_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least row on ties). Texts without a word are all kept.
     """
     common.bound_batches(docs.sparkSession)
-    found = labelled(docs, words, percent, regions(docs, words, percent), parts=True)
+    found = labelled(docs, words, percent)
     later = ~(F.col("doc_id").eqNullSafe(F.col("label.doc_id")) & F.col("at").eqNullSafe(F.col("label.at")))
     gone = common.materialize(found.filter(F.col("label").isNotNull() & later).select(F.col("doc_id").alias("gone_id"), F.col("at").alias("gone_at")).distinct(), "gone")
     named = docs.filter("doc_id is not null").join(gone.filter("gone_id is not null"), F.col("doc_id") == F.col("gone_id"), "left_anti")

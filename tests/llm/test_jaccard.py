@@ -56,6 +56,51 @@ def test_components_against_brute_force(spark, words, percent):
     assert got == brute(rows, words, percent)
 
 
+@pytest.mark.parametrize("nearest, cells, small, depth", [(1, 1, 2, 3), (3, 2, 3, 8)])
+def test_recursion_and_crowded_elements_lose_no_link(spark, monkeypatch, nearest, cells, small, depth):
+    """With tiny bounds every way through the regions is taken; half of the texts also hold one long passage."""
+    for name, value in (("NEAREST", nearest), ("CELLS", cells), ("SMALL", small), ("DEPTH", depth)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(5)
+    passage = " ".join(f"pass{i}" for i in range(60))
+    rows = [(i, t if not t or r.random() < 0.5 else f"{t} {passage}") for i, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(df, 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+
+
+def test_links_at_the_limit_beside_others(spark):
+    """Two texts at exactly 90 percent, one of which shares a third of its words with another linked pair."""
+    r = random.Random(6)
+    rows = []
+    for k in range(60):
+        a = [f"a{k}x{i}" for i in range(74)]
+        z = a[:26] + [f"z{k}x{i}" for i in range(48)]
+        texts = [a, a + [f"b{r.random()}" for _ in range(8)], z, z[:-1] + [f"w{k}"]]
+        rows += [(10 * k + j, " ".join(t)) for j, t in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99])
+def test_linked_sets_share_the_first_elements(percent):
+    """Sets as alike as links allow share least_shared elements of their prefixes, wherever their own elements fall."""
+    r = random.Random(percent)
+    for _ in range(3000):
+        both = r.randrange(1, 120)
+        apart = both * 100 // percent - both
+        extra = r.randrange(apart + 1)
+        order = r.sample(range(1000), both + apart)
+        if r.random() < 0.5:
+            order.sort()  # what only one has comes last, or first
+        common_, mine, yours = order[:both], order[both : both + extra], order[both + extra :]
+        if r.random() < 0.5:
+            common_, mine, yours = order[apart:], order[:extra], order[extra:apart]
+        x, y = sorted(common_ + mine), sorted(common_ + yours)
+        met = len(set(x[: jaccard.prefix(len(x), percent)]) & set(y[: jaccard.prefix(len(y), percent)]))
+        assert met >= jaccard.least_shared(min(len(x), len(y)), percent)
+
+
 def test_empty_null_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert jaccard.jaccard_components(spark.createDataFrame([], schema), 3, 90).count() == 0
