@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -227,36 +228,53 @@ class Flow:
 
 
 def grid_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of (lines, column span, row span) as text columns that line up."""
-    placed: dict[tuple[int, int], list[str]] = {}
-    taken: set[tuple[int, int]] = set()
-    wide: list[tuple[int, int, int]] = []
+    """Rows of (lines, column span, row span) as text columns that line up.
+
+    Columns that a cell above still reaches into are kept as ranges, and only columns where a cell begins or ends have
+    a width, so the work follows the cells and not the spans.
+    """
+    placed: list[list[tuple[int, list[str]]]] = []
+    wide: list[tuple[int, int, list[str]]] = []
+    taken: list[tuple[int, int, int]] = []  # from, to, the row that is free again; by from
+    width: dict[int, int] = {}
     for r, row in enumerate(rows):
-        c = 0
+        taken = [t for t in taken if t[2] > r]
+        cells, fresh, c, i = [], [], 0, 0
         for lines, across, down in row:
-            while (r, c) in taken:
-                c += 1
-            placed[r, c] = lines
-            taken.update((r + i, c + j) for i in range(min(down, len(rows) - r)) for j in range(across))
+            while i < len(taken) and taken[i][0] <= c:
+                c = max(c, taken[i][1])
+                i += 1
+            cells.append((c, lines))
             if across > 1:
-                wide.append((r, c, across))
+                wide.append((c, across, lines))
+                width.setdefault(c, 0)
+                width.setdefault(c + across - 1, 0)
+            else:
+                width[c] = max([width.get(c, 0), *map(len, lines)])
+            if down > 1:
+                fresh.append((c, c + across, min(r + down, len(rows))))
             c += across
-    columns = max((c for _, c in taken), default=-1) + 1
-    width = [0] * columns
-    spanning = {(r, c) for r, c, _ in wide}
-    for (r, c), lines in placed.items():
-        if (r, c) not in spanning:
-            width[c] = max([width[c], *map(len, lines)])
-    for r, c, across in wide:
-        need = max(map(len, placed[r, c]), default=0) - sum(width[c : c + across]) - 2 * (across - 1)
+        placed.append(cells)
+        if fresh:
+            fresh, taken = sorted(taken + fresh), []
+            for t in fresh:
+                if taken and taken[-1][2] == t[2] and taken[-1][1] >= t[0]:
+                    taken[-1] = (taken[-1][0], max(taken[-1][1], t[1]), t[2])
+                else:
+                    taken.append(t)
+    columns = sorted(width)
+    sizes = [width[c] for c in columns]
+    for c, across, lines in wide:
+        a, b = bisect_left(columns, c), bisect_left(columns, c + across)
+        need = max(map(len, lines), default=0) - sum(sizes[a:b]) - 2 * (across - 1)
         if need > 0:
-            width[min(c + across, columns) - 1] += need
-    start = [0] * columns
-    for c in range(1, columns):
-        start[c] = start[c - 1] + width[c - 1] + (2 if width[c - 1] else 0)
+            sizes[b - 1] += need
+    start, at = {}, 0
+    for c, size in zip(columns, sizes):
+        start[c] = at
+        at += size + 2 if size else 0
     out = []
-    for r in range(len(rows)):
-        cells = sorted((c, lines) for (q, c), lines in placed.items() if q == r and lines)
+    for cells in placed:
         for i in range(max((len(lines) for _, lines in cells), default=0)):
             s = ""
             for c, lines in cells:

@@ -190,8 +190,9 @@ _PLAIN = re.compile(r"[^a-z0-9]+")
 _BREAK = re.compile(r"\n(?:[ \t]*[#*/;]*[ \t]*\n)+|(?<=[.!?;:])\s+|\s*\n\s*(?=(?:[-*#/]+\s*)?(?:copyright|\(c\)|spdx-license|\d+[.)]\s))|,\s+(?=you may not use this file)|(?<=[a-z]{4})\.(?=\s|$)", re.I)
 _OPENING = re.compile(r"^(?:\d+|[a-z]|all copyright .{0,80}?|copyright (?:c )?(?:\d{4} ?)*.{0,80}?)(?= redistribution| neither| all rights)")
 _SPDX = re.compile(r"spdx-license-identifier:\s*([A-Za-z0-9.+\-]+)", re.I)
-#: Every known sentence holds one of these once lower-cased; texts without them need no look.
-HINTS = ("licens", "permi", "redistribut", "as is", "rights reserved", "warrant", "copyright", "free software", "neither the name", "in no event", "you can obtain one", "public domain", "anyone is free", "spdx", "distributed in the hope", "public license")
+#: Every known sentence, and every wording that `usual` turns into one, holds one of these once normalised (tested);
+#: texts whose normalised form has none need no look.
+HINTS = ("licens", "permission", "redistribut", "rights reserved", "copyright", "free software", "endorse or promote", "in no event", "warrant", "mpl was not", "public domain", "anyone is free", "all advertising materials", "in the hope that", "restrictions", "artistic")
 # Where a normalised sentence names a holder or a program, and the wording of the known sentence.
 HOLDERS = [
     (r"(?:\d+ |[a-z] )?(?:neither the names? of|the names? of) .{1,200}? (?:be used to|used to) endorse or promote products derived from (?:this|the) software(?: without (?:specific )?(?:prior )?(?:written )?permission(?: (?:of|from) (?:(?!this software).){1,80})?)?$", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
@@ -219,16 +220,17 @@ def usual(s: str) -> str:
 
 
 KNOWN = {usual(normal(text)): name for name, text in SENTENCES.items()}
-LONGEST = max(map(len, KNOWN))
+#: Known sentences up to the end of any word, and the length that a normalised one may have: names take NAMES more.
+NAMES = 500
+BEGINNINGS = {s[:i] for s in KNOWN for i in [*(m.start() for m in re.finditer(" ", s)), len(s)]}
+LONGEST = max(map(len, KNOWN)) + NAMES
 _by_first: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
 for _rule in sorted(RULES, key=lambda r: -len(r[1])):
     _by_first.setdefault(_rule[1][0], []).append(_rule)
 
 
-def identify(sentence: str) -> str | None:
-    """The known sentence's identifier, or None."""
-    s = normal(sentence)
-    if not s:
+def _known(s: str) -> str | None:
+    if not s or len(s) > LONGEST:
         return None
     if s in KNOWN:
         return KNOWN[s]
@@ -236,8 +238,13 @@ def identify(sentence: str) -> str | None:
     return KNOWN.get(s) or KNOWN.get(usual(_OPENING.sub("", s).strip()))
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(from, to) of the sentences of a text; lines that are sentences of their own are also cut from wrapped ones."""
+def identify(sentence: str) -> str | None:
+    """The known sentence's identifier, or None."""
+    return _known(normal(sentence))
+
+
+def sentences(text: str) -> list[tuple[int, int, str]]:
+    """(from, to, normalised) of the sentences of a text; lines that are sentences of their own are also cut from wrapped ones."""
     out, at = [], 0
     for m in _BREAK.finditer(text):
         if m.end() > at:
@@ -247,44 +254,66 @@ def sentences(text: str) -> list[tuple[int, int]]:
         out.append((at, len(text)))
     cut = []
     for a, b in out:
+        whole = normal(text[a:b])
         lines = text[a:b].split("\n")
-        if len(lines) > 1 and any(identify(x) for x in lines) and identify(text[a:b]) is None:
+        if len(lines) > 1 and _known(whole) is None and any(identify(x) for x in lines):
             for x in lines:
-                cut.append((a, a + len(x)))
+                cut.append((a, a + len(x), normal(x)))
                 a += len(x) + 1
         else:
-            cut.append((a, b))
-    return [(a, b) for a, b in cut if normal(text[a:b])]
+            cut.append((a, b, whole))
+    return [x for x in cut if x[2]]
 
 
-def scan(text: str) -> list[dict]:
-    """Matches by place: license, rule (its sentences), start and stop (characters)."""
-    low = text.lower()
-    if not any(h in low for h in HINTS):
-        return []
+def _goes_on(s: str) -> bool:
+    """A known sentence may begin like this."""
+    return s in BEGINNINGS or _OPENING.sub("", s).strip() in BEGINNINGS
+
+
+def _numbered(text: str) -> list[tuple[int, str, int, int]]:
+    """(number among all sentences, identifier, from, to) of the known sentences. Marks inside a known sentence may have
+    cut it: as many neighbours are joined as still begin like one, and JOINED at least; the longest known one counts."""
     found, parts, i, nth = [], sentences(text), 0, 0
     while i < len(parts):
-        step = 1
-        for n in range(min(JOINED, len(parts) - i), 0, -1):  # marks inside a known sentence may have cut it
-            a, b = parts[i][0], parts[i + n - 1][1]
-            if b - a <= 3 * LONGEST and (name := identify(text[a:b])):
-                found.append((nth, name, a, b))
-                step = n
+        joined, best, n = "", None, 0
+        while i + n < len(parts):
+            joined = f"{joined} {parts[i + n][2]}" if n else parts[i][2]
+            n += 1
+            if len(joined) > LONGEST or n > JOINED and not _goes_on(joined):
                 break
-        i, nth = i + step, nth + 1
+            name = _known(joined)
+            if name and not (n > 1 and _known(" ".join(x[2] for x in parts[i + 1 : i + n])) == name):  # else the first one is no part of it
+                best = (nth, name, parts[i][0], parts[i + n - 1][1]), n
+        if best:
+            found.append(best[0])
+        i, nth = i + (best[1] if best else 1), nth + 1
+    return found
+
+
+def _chain(found: list[tuple[int, str, int, int]], used: set[int], k: int, rule: tuple[str, ...]) -> list[int] | None:
+    """Where the rule's sentences follow one another from the k-th known sentence on."""
+    chain = [k]
+    for want in rule[1:]:
+        j = chain[-1] + 1
+        while j < len(found) and found[j][0] - found[chain[-1]][0] <= GAP + 1 and (j in used or found[j][1] != want):
+            j += 1
+        if j == len(found) or found[j][0] - found[chain[-1]][0] > GAP + 1:
+            return None
+        chain.append(j)
+    return chain
+
+
+def scan(text: str) -> list[dict]:
+    """Matches by place: license, rule (its sentences), start and stop (characters)."""
+    whole = normal(text)
+    if not any(h in whole for h in HINTS):
+        return []
+    found = _numbered(text)
     out, used = [], set()
     for size in sorted({len(r[1]) for r in RULES}, reverse=True):
         for k, (_, name, a, _) in enumerate(found):
             for license_, rule in _by_first.get(name, ()):
-                if len(rule) != size or k in used:
-                    continue
-                chain, j = [k], k
-                for want in rule[1:]:
-                    j = next((q for q in range(j + 1, len(found)) if found[q][0] - found[j][0] <= GAP + 1 and q not in used and found[q][1] == want), -1)
-                    if j < 0:
-                        break
-                    chain.append(j)
-                if j >= 0:
+                if len(rule) == size and k not in used and (chain := _chain(found, used, k, rule)):
                     used.update(chain)
                     out.append({"license": license_, "rule": list(rule), "start": a, "stop": found[chain[-1]][3]})
                     break

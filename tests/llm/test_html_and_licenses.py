@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from offerlens.llm import html_text, licenses
 
 
@@ -19,6 +23,52 @@ def test_tables_line_up():
     assert text("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
 
 
+def plain_grid(rows):
+    """Cell by cell, as the layout is defined: every place that a span covers is marked."""
+    placed, taken, wide = {}, set(), []
+    for r, row in enumerate(rows):
+        c = 0
+        for lines, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            placed[r, c] = lines
+            taken |= {(r + i, c + j) for i in range(min(down, len(rows) - r)) for j in range(across)}
+            if across > 1:
+                wide.append((r, c, across))
+            c += across
+    width = [0] * (max((c for _, c in taken), default=-1) + 1)
+    for (r, c), lines in placed.items():
+        if (r, c) not in {(r, c) for r, c, _ in wide}:
+            width[c] = max([width[c], *map(len, lines)])
+    for r, c, across in wide:
+        width[c + across - 1] += max(0, max(map(len, placed[r, c]), default=0) - sum(width[c : c + across]) - 2 * (across - 1))
+    out = []
+    for r in range(len(rows)):
+        cells = sorted((c, lines) for (q, c), lines in placed.items() if q == r)
+        for i in range(max((len(lines) for _, lines in cells), default=0)):
+            s = ""
+            for c, lines in cells:
+                if i < len(lines) and lines[i]:
+                    s = s.ljust(sum(w + 2 for w in width[:c] if w)) + lines[i]
+            out.append(s.rstrip())
+    return out
+
+
+def test_tables_against_brute_force():
+    r = random.Random(1)
+    for _ in range(1500):
+        rows = [[(["x" * r.randrange(6) for _ in range(r.randrange(3))], r.choice([1, 1, 2, 3]), r.choice([1, 1, 2, 4])) for _ in range(r.randrange(5))] for _ in range(r.randrange(7))]
+        assert html_text.grid_lines(rows) == plain_grid(rows), rows
+
+
+def test_large_tables_and_hostile_spans_take_linear_time():
+    began = time.process_time()
+    out = text("<table>" + "<tr><td>a<td>bb<td>c" * 20_000 + "</table>")
+    assert out == "\n".join(["a  bb  c"] * 20_000)
+    text("<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 5000 + "</table>")
+    assert time.process_time() - began < 60
+
+
 def test_broken_and_deep_markup():
     assert [text(x) for x in ("", "<", "a < b", "</p></td>x", "<b", "<!-- open", "&#0;&bogus;")][:4] == ["", "<", "a < b", "x"]
     assert text("<div>" * 3000 + "x") == "x"
@@ -82,5 +132,72 @@ def test_titles_of_whole_licenses():
     assert names(title) == [("GPL-3.0-only", 1)]
     assert names("   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n") == [("Apache-2.0", 1)]
     assert names("            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n                    Version 2, December 2004\n\n") == [("WTFPL", 1)]
-    assert all(any(h in licenses.SENTENCES[k].lower() for k in rule for h in licenses.HINTS) for _, rule in licenses.RULES)
     assert len(licenses.KNOWN) == len(licenses.SENTENCES)
+
+
+def test_every_known_sentence_passes_the_hints():
+    assert all(any(h in s for h in licenses.HINTS) for s in licenses.KNOWN)
+    for pattern, wording in licenses.HOLDERS:
+        plain = re.sub(r"\\.\{\d+,\d+\}\??", "acme", re.sub(r"\(\?:[^()]*\)\?|\(\?:(?:[^()]|\([^()]*\))*\)", " ", pattern))
+        assert any(h in wording or h in plain for h in licenses.HINTS) or not wording, pattern
+
+
+def test_wrapped_spaced_and_cut_sentences():
+    for key, sentence in licenses.SENTENCES.items():
+        words = sentence.split(" ")
+        for joint in ("\n", "  ", " \n * ", " " * 40):
+            assert licenses.identify(joint.join(words)) == key, (key, joint)
+        rule = next((r for r in licenses.RULES if r[1] == (key,)), None)
+        if rule:
+            for joint in ("\n", "  ", " " * 40):
+                assert (rule[0], 1) in names("Some words before.\n\n" + joint.join(words) + ".\n\nMore."), (key, joint)
+    for s in ("All rights\nreserved.", "All  rights  reserved", "This is free\nand unencumbered software released into the public\ndomain"):
+        assert len(names(s)) == 1, s
+    grant = licenses.SENTENCES["zlib-grant"].replace("purpose,", "purpose.").replace("applications,", "applications.").replace("alter it", "alter it.").replace("and to", "and. to").replace("redistribute", "redistribute!")
+    assert names(grant) == [("Zlib", 1)]
+
+
+def plain_matches(ids):
+    """The definition, place by place: longer rules first, then by place; None is an unknown sentence."""
+    used, out = set(), []
+    for size in range(9, 0, -1):
+        for k, name in enumerate(ids):
+            for license_, rule in licenses.RULES:
+                if len(rule) != size or k in used or name != rule[0]:
+                    continue
+                chain = [k]
+                for want in rule[1:]:
+                    near = [q for q in range(chain[-1] + 1, min(len(ids), chain[-1] + licenses.GAP + 2)) if ids[q] == want and q not in used]
+                    if not near:
+                        break
+                    chain.append(near[0])
+                if len(chain) == size:
+                    used |= set(chain)
+                    out.append((k, license_, size))
+                    break
+    return sorted(out)
+
+
+def test_rules_against_brute_force():
+    r = random.Random(3)
+    few = ["mit-title", "mit-grant", "mit-include", "mit-as-is", "mit-liability", "gpl3-later", "gpl-hope", "gpl-see", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "rights-reserved"]
+    for _ in range(300):
+        ids, at = [], r.randrange(len(few))
+        for _ in range(r.randrange(1, 25)):
+            at = at + 1 if r.random() < 0.7 else r.randrange(len(few))
+            ids.append(None if r.random() < 0.2 else few[at % len(few)])
+        places, body = {}, ""
+        for k, name in enumerate(ids):
+            places[len(body)] = k
+            body += (licenses.SENTENCES[name] if name else "Nothing of note here") + ".\n\n"
+        got = sorted((places[m["start"]], m["license"], len(m["rule"])) for m in licenses.scan(body))
+        assert got == plain_matches(ids), ids
+
+
+def test_many_known_sentences_and_repeated_rows(spark):
+    began = time.process_time()
+    body = (licenses.SENTENCES["mit-grant"] + ".\n\n" + licenses.SENTENCES["rights-reserved"] + ".\n\n") * 3000
+    assert len(licenses.scan(body)) == 3000
+    assert time.process_time() - began < 30
+    df = spark.createDataFrame([(1, "All rights reserved"), (1, "All rights reserved"), (None, "All rights reserved")], "doc_id long, text string")
+    assert [len(x.matches) for x in licenses.license_scan(df).collect()] == [1, 1, 1]
