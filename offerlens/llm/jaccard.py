@@ -4,11 +4,12 @@ Jaccard distance d is a metric, and linked documents lie within r = 1 - percent/
 start. Most texts lie at distance 1 from each other, so pivots are taken where points are near each other:
 
 1. A set's elements are 64-bit hashes, and all sets are read in ascending order. Linked sets share at least
-   ``least_shared`` elements among the first ``prefix`` of both. Points that share fewer with others altogether link
-   with nothing and are left out; so are, for the most part, texts that have but a passage in common.
-2. Pivots: each shared element names the point of its list with the most shared elements, the middle of a group of
-   copies. Voronoi cells: a point measures its distance to the pivots that most of its elements name (NEAREST at most)
-   and belongs to the nearest.
+   ``least_shared`` elements among the first ``prefix`` of both, and their sizes lie in the same size class or in
+   neighbouring ones. Points that share fewer with points of such sizes altogether link with nothing and are left out;
+   so are, for the most part, texts that have but a passage in common.
+2. Pivots: in each size class a shared element names the point of its list whose elements have the longest lists (their
+   logarithms summed), the middle of a group of copies. Voronoi cells: a point measures its distance to the pivots that most of its elements name (NEAREST
+   at most) and belongs to the nearest, pivots left out that FEW times fewer points measure than another one within CLOSE.
 3. Windows: a link (x, y) with x of p's cell needs y to share ``least_shared`` elements with p's cell and, by the triangle
    inequality, d(y, p) <= radius(p) + r, the radius being the greatest distance in the cell. Such points y of other cells
    are replicated into p's region, so every link lies in the region of both its ends' cells. An element found in more
@@ -24,6 +25,7 @@ start. Most texts lie at distance 1 from each other, so pivots are taken where p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,9 @@ from offerlens.llm import common
 SALT = np.uint64(0xA24BAED4963EE407)
 #: Pivots that a point measures, cells that an element may replicate into, points of a subregion that is joined by itself,
 #: and levels of regions. They bound work, not results.
-NEAREST, CELLS, SMALL, DEPTH = 3, 32, 64, 8
+NEAREST, CELLS, SMALL, DEPTH = 3, 32, 64, 5
+#: Pivots that few measure would split a group of copies into cells that replicate each other.
+FEW, CLOSE = 8, 0.7
 #: So many sets at most does a task remember so as to send the keys of equal sets once.
 REMEMBERED = 100_000
 
@@ -56,6 +60,16 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + least_shared(n, percent)
 
 
+def _size_class(n, percent: int):
+    """Number of the size class as a column: linked sets lie in one class or in neighbouring ones."""
+    return F.floor(F.log(n) / F.lit(1.000001 * math.log(100 / percent))).cast("int") if percent < 100 else F.lit(0)
+
+
+def _around(c: str):
+    """A size class and its neighbours, a row for each."""
+    return F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+
+
 def _needed(n, percent: int):
     """least_shared as a column, for the smallest set that may link with one of n elements."""
     least = F.ceil(percent * n / F.lit(100) - 1e-9)
@@ -174,9 +188,20 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return dealt.join(several, "key").distinct()
 
 
-def named_pivots(shared: DataFrame) -> DataFrame:
-    """(key, p): of each key's points (key, f, keys) the one with the most shared keys, the least on ties."""
-    return shared.groupBy("key").agg(F.min(F.struct(-F.col("keys"), "f"))["f"].alias("p"))
+def named_pivots(shared: DataFrame, *by: str) -> DataFrame:
+    """(*by, p): of the points (f, score) that have the same `by` the one with the greatest score, the least on ties."""
+    return shared.groupBy(*by).agg(F.min(F.struct(-F.col("score"), "f"))["f"].alias("p"))
+
+
+def near_keys(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(key, c, f, n, keys, score) of the shared keys that other points of about f's size have, for points that have enough
+    of them: c is the size class, n the size, keys their number, score how long their lists are."""
+    sized = common.materialize(shared.join(classes.select("f", "n", _size_class(F.col("n"), percent).alias("c")), "f"), "sized")
+    lists = sized.groupBy("key", "c").count().select("key", _around("c").alias("c"), "count").groupBy("key", "c").agg(F.sum("count").alias("met"))
+    useful = common.materialize(sized.join(lists.filter("met > 1"), ["key", "c"]), "useful")
+    enough = useful.groupBy("f").agg(F.count("*").alias("keys"), F.sum(F.floor(16 * F.log2("met"))).alias("score"), F.first("n").alias("n"))
+    enough = enough.filter(F.col("keys") >= _needed(F.col("n"), percent)).select("f", "keys", "score")
+    return common.materialize(useful.join(enough, "f").select("key", "c", "f", "n", "keys", "score"), "near_keys")
 
 
 def sets_needed(docs: DataFrame, classes: DataFrame, used: DataFrame, words: int) -> DataFrame:
@@ -225,8 +250,9 @@ def settled(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         large = busy.filter(~small)
         if level == DEPTH or large.isEmpty():
             break
-        score = large.groupBy("g", "x").agg(F.count("*").alias("keys"))
-        pivots = large.join(score, ["g", "x"]).groupBy("g", "e").agg(F.min(F.struct(-F.col("keys"), "x"))["x"].alias("p"))
+        # the middle differs from the pivot in what most points differ from it in, and in little else
+        score = large.groupBy("g", "x").agg((F.sum(F.log2("n")) / F.first("far")).cast("float").alias("score"))
+        pivots = named_pivots(large.join(score, ["g", "x"]).withColumnRenamed("x", "f"), "g", "e")
         edges = large.join(pivots, ["g", "e"]).select(F.xxhash64("g", "p").alias("g"), "p", "x", (~F.col("link")).alias("own")).distinct()
         near = common.materialize(measured(common.materialize(edges, "edges"), sets, percent), "near")
         found = found.union(near.filter("link and p <> x").select(F.col("p").alias("u"), F.col("x").alias("v")))
@@ -236,41 +262,45 @@ def settled(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v) fingerprints of linked points: links enough to connect whatever links connect."""
     shared = common.materialize(shared_keys(prefixes(docs, words, percent)), "shared")
-    alive = shared.groupBy("f").agg(F.count("*").alias("keys")).join(classes.select("f", "n"), "f")
-    alive = common.materialize(alive.filter(F.col("keys") >= _needed(F.col("n"), percent)), "alive")
-    mine = common.materialize(shared.join(alive, "f"), "mine")
-    common.discard(shared)
-    pivots = common.materialize(named_pivots(mine), "pivots")
-    met = mine.join(pivots, "key").groupBy(F.col("f").alias("x"), "p").agg(F.count("*").alias("c"), F.first("keys").alias("keys"))
-    met = met.filter("p <> x or 2 * c >= keys").withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "p"))).filter(F.col("rank") <= NEAREST)
+    mine = near_keys(shared, classes, percent)
+    pivots = common.materialize(named_pivots(mine, "key", "c"), "pivots")
+    sets = sets_needed(docs, classes, mine.select("f").distinct(), words)
+
+    # cells
+    met = mine.join(pivots, ["key", "c"]).groupBy(F.col("f").alias("x"), "p").agg(F.count("*").alias("named"), F.first("keys").alias("keys"))
+    met = met.filter("p <> x or 2 * named >= keys").withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("named"), "p"))).filter(F.col("rank") <= NEAREST)
     met = common.materialize(met.select("p", "x"), "met")
-    sets = sets_needed(docs, classes, alive.select("f"), words)
     tried = common.materialize(measured(met, sets, percent), "tried")
-    home = common.materialize(tried.groupBy("x").agg(F.min(F.struct("d", "p")).alias("home")).select("x", F.col("home.p").alias("p"), F.col("home.d").alias("d")), "home")
-    radius = home.groupBy("p").agg(F.max("d").alias("radius"))
-    placed_keys = common.materialize(mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home")), "f").select("key", F.col("f").alias("x"), "n", "home"), "placed")
-    cells = common.materialize(placed_keys.select("key", F.col("home").alias("p")).distinct(), "cells")
-    crowded = common.materialize(cells.groupBy("key").count().filter(F.col("count") > CELLS).select("key"), "crowded")
-    common.discard(mine)
-    met_cells = placed_keys.join(cells.join(crowded, "key", "left_anti"), "key").filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    in_crowds = placed_keys.join(crowded, "key", "left_semi")
-    near_cells = met_cells.join(in_crowds.groupBy("x").agg(F.count("*").alias("more")), "x", "left").filter(F.col("c") + F.coalesce("more", F.lit(0)) >= _needed(F.col("n"), percent)).select("p", "x")
-    near_cells = common.materialize(near_cells, "near_cells")
-    crowds = in_crowds.join(pivots, "key").select("p", "x").distinct()
-    fresh = near_cells.select("p", "x", F.lit(False).alias("own")).union(crowds.select("p", "x", F.lit(True).alias("own"))).groupBy("p", "x").agg(F.max("own").alias("own"))
+    others = Window.partitionBy("x")
+    ranked = tried.join(met.groupBy("p").agg(F.count("*").alias("named")), "p").select("x", "p", "d", F.when(F.col("d") <= CLOSE, F.col("named")).otherwise(0).alias("named"))
+    ranked = ranked.withColumn("few", FEW * F.col("named") < F.max("named").over(others))
+    home = ranked.groupBy("x").agg(F.min(F.struct("few", "d", "p")).alias("home")).select("x", F.col("home.p").alias("p"), F.col("home.d").alias("d"))
+    home = common.materialize(home, "home")
     own = tried.join(home.select("p", "x"), ["p", "x"], "left_semi").withColumn("own", F.lit(True))
-    edges = common.materialize(fresh.join(home.select("p", "x"), ["p", "x"], "left_anti"), "edges")
-    others = measured(edges, sets, percent).join(radius, "p", "left").filter(F.col("own") | (F.col("d") <= F.col("radius") + (100 - percent) / 100 + 1e-9)).drop("radius")
+
+    # borders: who shares enough elements with another cell
+    at = common.materialize(mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home")), "f").select("key", "c", F.col("f").alias("x"), "n", "home"), "at")
+    cells = common.materialize(at.select("key", _around("c").alias("c"), F.col("home").alias("p")).distinct(), "cells")
+    crowded = common.materialize(cells.groupBy("key", "c").count().filter(F.col("count") > CELLS).select("key").distinct(), "crowded")
+    across = at.join(cells.join(crowded, "key", "left_anti"), ["key", "c"]).filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+    in_crowds = at.join(crowded, "key", "left_semi")
+    more = in_crowds.groupBy("x").agg(F.count("*").alias("more"))
+    border = across.join(more, "x", "left").filter(F.col("met") + F.coalesce("more", F.lit(0)) >= _needed(F.col("n"), percent)).select("p", "x", F.lit(False).alias("own"))
+    crowds = in_crowds.select("key", _around("c").alias("c"), "x").join(pivots, ["key", "c"]).select("p", "x", F.lit(True).alias("own")).distinct()
+    edges = border.union(crowds).groupBy("p", "x").agg(F.max("own").alias("own")).join(home.select("p", "x"), ["p", "x"], "left_anti")
+    radius = home.groupBy("p").agg(F.max("d").alias("radius"))
+    others = measured(common.materialize(edges, "edges"), sets, percent).join(radius, "p", "left")
+    others = others.filter(F.col("own") | (F.col("d") <= F.col("radius") + (100 - percent) / 100 + 1e-9)).drop("radius")
     near = common.materialize(own.unionByName(others).withColumn("g", F.col("p")), "near")
-    common.discard(tried, placed_keys, cells)
+    common.discard(shared, tried, at, cells)
     return settled(near, sets, percent)
 
 
 def links_by_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed: DataFrame) -> DataFrame:
     """(u, v) fingerprints of linked points, enough to connect whatever links connect points that share a key of keyed (key, f)."""
     shared = common.materialize(shared_keys(keyed), "shared")
-    score = shared.groupBy("f").agg(F.count("*").alias("keys"))
-    pivots = named_pivots(shared.join(score, "f"))
+    score = shared.groupBy("f").agg(F.count("*").alias("score"))
+    pivots = named_pivots(shared.join(score, "f"), "key")
     edges = shared.join(pivots, "key").select(F.col("p").alias("g"), "p", F.col("f").alias("x"), F.lit(True).alias("own")).filter("p <> x").distinct()
     edges = common.materialize(edges, "edges")
     sets = sets_needed(docs, classes, shared.select("f"), words)
