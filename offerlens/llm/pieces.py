@@ -33,11 +33,30 @@ _MARK = "▁"
 _MARKS = ".,!?;:*$%&#|"
 
 
+def _cut(x):
+    """A probability in units of 2**-32, at most one less than one."""
+    return np.minimum(np.floor(np.asarray(x) * 2.0**32), 2.0**32 - 1).astype(np.int64)
+
+
+def _sums_within(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums of p within the groups that begin at first, each group by itself."""
+    out, stop = p.copy(), np.append(first[1:], len(p))
+    at = first + 1
+    while True:
+        on = at < stop
+        at, stop = at[on], stop[on]
+        if not len(at):
+            return out
+        out[at] += out[at - 1]
+        at = at + 1
+
+
 class Pieces:
     """The vocabulary, and the sampling tables of stretches met so far.
 
-    Node base + i stands for position i of a stretch. Its incoming edges are neighbours in `key` (node plus the
-    cumulative probability), with the node they come from and the piece they bring; the node -1 is the start.
+    Node base + i stands for position i of a stretch. Its incoming edges are neighbours in `key`, with the node they come
+    from and the piece they bring; the node -1 is the start. A key is the node in the upper 32 bits and the cumulative
+    probability, summed within the node, in units of 2**-32: the same stretch has the same cuts whatever was learnt before.
     """
 
     def __init__(self, path: str, alpha: float):
@@ -77,7 +96,7 @@ class Pieces:
     def forget(self) -> None:
         self.end: dict[str, int] = {}
         self.nodes, self.n_edges = 0, 0
-        self.key, self.prev, self.piece = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.key, self.prev, self.piece = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _store(self, key: np.ndarray, prev: np.ndarray, piece: np.ndarray, nodes: int) -> None:
         m = self.n_edges + len(key)
@@ -168,11 +187,9 @@ class Pieces:
             forward[end[e][first]] = np.add.reduceat(v, first)
         p = np.where(head, 1.0, forward[before]) * w / forward[end]
         first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-        total = np.cumsum(p)
-        inner = total - np.repeat((total - p)[first], np.diff(np.append(first, len(p))))
-        key = self.nodes + end + np.minimum(inner, 1.0)
         last = np.append(first[1:], len(p)) - 1
-        key[last] = self.nodes + end[last] + 1.0
+        key = ((self.nodes + end) << 32) + _cut(_sums_within(p, first))
+        key[last] = (self.nodes + end[last] + 1) << 32
         nodes = self.nodes
         self._store(key, np.where(head, -1, nodes + before), self.hashed_ids[i], nodes + len(cp))
         self.end.update(zip(short, (nodes + stop - 1).tolist()))
@@ -195,17 +212,17 @@ class Pieces:
                     data, at = s[i - 1].encode("utf-8", "replace"), place[i - 1]
                     total += forward[i - 1] * rare
                     for b in data[:-1]:
-                        key.append(node + 1.0)
+                        key.append((node + 1) << 32)
                         prev.append(at)
                         piece.append(self.byte_id[b])
                         at = node
                         node += 1
                     inward.append((total, at, self.byte_id[data[-1]]))
                 for t, p, k in inward[:-1]:
-                    key.append(node + t / total)
+                    key.append((node << 32) + min(int(t / total * 2.0**32), 2**32 - 1))
                     prev.append(p)
                     piece.append(k)
-                key.append(node + 1.0)
+                key.append((node + 1) << 32)
                 prev.append(inward[-1][1])
                 piece.append(inward[-1][2])
                 place.append(node)
@@ -214,7 +231,7 @@ class Pieces:
                 if total < 1e-200:
                     forward[-longest:] = [x * 1e200 for x in forward[-longest:]]
             self.end[s] = node - 1
-        self._store(np.array(key), np.array(prev, np.int64), np.array(piece, np.int64), node)
+        self._store(np.array(key, np.int64), np.array(prev, np.int64), np.array(piece, np.int64), node)
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled ids of all texts in a row, and n+1 offsets."""
@@ -234,8 +251,8 @@ class Pieces:
         live, steps, taken, step = np.arange(len(at)), [], np.zeros(len(at), np.int64), 0
         while len(live):
             state = state + common.MIX_2
-            u = (common.mixed(state) >> np.uint64(12)).astype(np.float64) * 2.0**-52
-            edge = np.searchsorted(key, np.minimum(at + u, np.nextafter(at + 1.0, 0)), "right")
+            u = (common.mixed(state) >> np.uint64(32)).astype(np.int64)
+            edge = np.searchsorted(key, (at.astype(np.int64) << 32) + u, "right")
             steps.append((live, self.piece[edge]))
             step += 1
             at = self.prev[edge]

@@ -68,3 +68,19 @@ def test_side_by_side_equals_one_by_one():
 
     for w in words:
         assert chances(a, w) == chances(b, w), w
+
+
+def test_cuts_do_not_hang_on_what_was_learnt_before():
+    words = ["".join(np.random.default_rng(i).choice(list("abcdeghilmnorst"), 3 + i % 9)) for i in range(4000)]
+    alone, among = pieces.Pieces(PATH, 1.0), pieces.Pieces(PATH, 1.0)
+    among.learn([" " + w for w in words])
+    few = [" weekly", " international", "é😀x", " " + "supermarket" * 9]
+    among.learn(few)
+    for s in few:
+        alone.forget()
+        alone.learn([s])
+        a, b = ((t.key[: t.n_edges], t.end[s]) for t in (alone, among))
+        n = alone.nodes
+        own = b[0][(b[0] - 1) >> 32 > b[1] - n]
+        own = own[(own - 1) >> 32 <= b[1]]
+        assert (own - ((b[1] - n + 1) << 32)).tolist() == a[0].tolist(), s
