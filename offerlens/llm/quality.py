@@ -1,8 +1,9 @@
 """Operator 5, quality rules: text statistics with fixed limits, then a calibrated n-gram classifier.
 
-The classifier is a logistic regression over hashed word 1- and 2-grams and byte 3- and 5-grams (each
+The classifier is a logistic regression over hashed word 1- and 2-grams and character 3- and 5-grams (each
 family's relative frequencies), fitted on a bounded labelled sample and calibrated on the part of it
-that the fit didn't see. Texts are scored whole, in Arrow batches.
+that the fit didn't see, weighed to the shares that the labels have among all labelled rows. Texts are
+scored whole, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -49,8 +50,14 @@ def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     out = [((w * SEEDS[0]) >> SHIFT, doc)]
     pair = doc[:-1] == doc[1:]
     out.append((((w[:-1] * np.uint64(common.BASE) + w[1:])[pair] * SEEDS[1]) >> SHIFT, doc[:-1][pair]))
-    of = np.repeat(np.arange(n), np.diff(at))
-    b = data.astype(np.uint64)
+    raw = data.tobytes()
+    chars = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(chars) == len(data):
+        edge = at
+    else:
+        edge = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+    of = np.repeat(np.arange(n), np.diff(edge))
+    b = chars.astype(np.uint64)
     for k, seed in ((3, SEEDS[2]), (5, SEEDS[3])):
         m = len(b) - k + 1
         if m < 1:
@@ -58,7 +65,8 @@ def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndar
             continue
         g = b[:m].copy()
         for j in range(1, k):
-            g |= b[j : m + j] << np.uint64(8 * j)
+            g *= np.uint64(common.BASE)
+            g += b[j : m + j]
         g *= seed
         g >>= SHIFT
         inside = of[:m] == of[k - 1 :]
@@ -79,8 +87,11 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_arrays(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.05, l2: float = 1e-6) -> QualityModel | None:
-    """Adagrad on four fifths of the rows, Platt's scaling on the others. None without both classes."""
+def fit_arrays(texts: list[str], y: np.ndarray, shares: tuple[int, int] | None = None, epochs: int = 12, rate: float = 0.05, l2: float = 1e-6) -> QualityModel | None:
+    """Adagrad on four fifths of the rows, Platt's scaling on the others. None without both classes.
+
+    shares: how many rows have label 0 and 1 where y is a sample of them; the scaling weighs its rows accordingly.
+    """
     y = np.asarray(y, float)
     if len(set(y.tolist())) < 2 or min((y == 0).sum(), (y == 1).sum()) < LEAST_PER_CLASS:
         return None
@@ -112,19 +123,21 @@ def fit_arrays(texts: list[str], y: np.ndarray, epochs: int = 12, rate: float =
             b2 += err.sum() ** 2
             bias -= rate * err.sum() / np.sqrt(b2)
     s = np.array([w[rows[i][0]] @ rows[i][1] + bias for i in rest])
-    slope, shift = _platt(s, y[rest])
+    of = shares or ((y == 0).sum(), (y == 1).sum())
+    weighed = np.where(y == 1, of[1] / (y == 1).sum(), of[0] / (y == 0).sum()) * len(y) / sum(of)
+    slope, shift = _platt(s, y[rest], weighed[rest])
     return QualityModel(w.reshape(FAMILIES, -1).astype(np.float32), bias, slope, shift)
 
 
-def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    pos, neg = (y == 1).sum(), (y == 0).sum()
+def _platt(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    pos, neg = weight[y == 1].sum(), weight[y == 0].sum()
     if not pos or not neg:
         return 1.0, 0.0
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b, ridge = 1.0, 0.0, 1.0  # the ridge towards slope 1 and shift 0 keeps separable samples from a step function
     for _ in range(100):
         p = _sigmoid(a * s + b)
-        d, v = p - target, np.maximum(p * (1 - p), 1e-9)
+        d, v = (p - target) * weight, np.maximum(p * (1 - p), 1e-9) * weight
         h = np.array([[(v * s * s).sum() + ridge, (v * s).sum()], [(v * s).sum(), v.sum() + ridge]])
         step = np.linalg.solve(h, [(d * s).sum() + ridge * (a - 1), d.sum() + ridge * b])
         a, b = a - float(step[0]), b - float(step[1])
@@ -134,9 +147,10 @@ def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> QualityModel | None:
-    """Fit on at most sample_per_class labelled rows of either class (see sampling.labelled_sample)."""
+    """Fit on at most sample_per_class labelled rows of either class (see sampling.labelled_sample), calibrated to the
+    shares of all of them."""
     rows = sampling.labelled_sample(docs, labels, "quality", sample_per_class, least=LEAST_PER_CLASS)
-    return fit_arrays(rows.text.tolist(), rows.y.to_numpy()) if len(rows) else None
+    return fit_arrays(rows.text.tolist(), rows.y.to_numpy(), sampling.shares(labels, "quality")) if len(rows) else None
 
 
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"

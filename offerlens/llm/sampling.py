@@ -23,17 +23,25 @@ def fitting(sizes: list[int], y: list[int], max_bytes: int) -> np.ndarray:
     return taken
 
 
+def _labelled(labels: DataFrame, label: str, keep: Column | None) -> DataFrame:
+    want = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
+    return (want if keep is None else want.filter(keep)).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def shares(labels: DataFrame, label: str, keep: Column | None = None) -> tuple[int, int]:
+    """How many documents have label 0 and 1."""
+    n = _labelled(labels, label, keep).agg(F.count_if(F.col("y") == 0).alias("no"), F.count_if(F.col("y") == 1).alias("yes")).first()
+    return n["no"], n["yes"]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, keep: Column | None = None, max_bytes: int = 48 << 20, least: int = 1) -> pd.DataFrame:
     """(doc_id, text, y) of at most per_class rows of each label 0 and 1, those with the smallest hash of the id.
 
     Both bounds are parameters: per_class bounds the rows, max_bytes the whole texts; texts that don't fit (see
-    fitting) are left out of the fit (never cut), and the next ones follow. ValueError if that leaves fewer than least
+    fitting) are left out of the fit (never cut), and the next ones follow. Of rows that share an id the least text counts. ValueError if that leaves fewer than least
     texts of a label that has as many. Null ids, labels and texts don't take part. Repeated label rows count once.
     """
-    want = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
-    if keep is not None:
-        want = want.filter(keep)
-    want = want.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    want = _labelled(labels, label, keep).withColumn("h", F.xxhash64("doc_id"))
     chosen = None
     for y in (0, 1):
         part = want.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class)
@@ -43,9 +51,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         return pd.DataFrame({"doc_id": [], "text": [], "y": []})
     spark = docs.sparkSession
     picked = F.broadcast(spark.createDataFrame(ids[["doc_id", "y"]]))  # at most 2 * per_class rows
-    text = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(picked, "doc_id")
+    text = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     sized = text.select("doc_id", "y", F.octet_length("text").alias("b")).toPandas()
-    sized = sized.drop_duplicates("doc_id").merge(ids[["doc_id", "h"]], on="doc_id").sort_values(["h", "doc_id"])
+    sized = sized.merge(ids[["doc_id", "h"]], on="doc_id").sort_values(["h", "doc_id"])
     if sized.empty:
         return pd.DataFrame({"doc_id": [], "text": [], "y": []})
     taken = fitting(sized.b.tolist(), sized.y.tolist(), max_bytes)
@@ -55,4 +63,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
             raise ValueError(f"{label} {y}: only {(of & taken).sum()} of {of.sum()} labelled texts fit in {max_bytes} bytes, {least} are needed; raise max_bytes")
     sized = sized[taken]
     few = F.broadcast(spark.createDataFrame(sized[["doc_id"]]))
-    return text.join(few, "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
+    return text.join(few, "doc_id").toPandas().sort_values("doc_id").reset_index(drop=True)
