@@ -17,10 +17,10 @@ start. Most texts lie at distance 1 from each other, so pivots are taken where p
 4. In a region, points within the limit link to the pivot and so belong together; none of their mutual distances matter
    any more. Left are links with a point x beyond the limit. Seen from p a point is the difference x ^ p, which keeps all
    distances D = |x ^ y|. By the triangle inequality a link (x, y) needs |x ^ p| and |y ^ p| to lie in a window and to
-   overlap in so many elements that both hold one in the first few of them (those outside p first). Points that share
-   such an element form a subregion. One of at most SMALL points is joined by itself: its points meet those in their
-   window, and the two differences give the exact distance. A larger one is a region again, with a pivot of its own, and
-   is joined recursively (to DEPTH levels; what is left then is joined by itself).
+   overlap so much that the first few elements of both (those outside p first) have some in common. Points that share
+   such an element form a subregion. One of few points (SMALL) is joined by itself: its points meet those in their
+   window, and pairs that share enough are measured. A larger one is a region again, with a pivot of its own, and is
+   joined recursively (to DEPTH levels; what is left then is joined by itself).
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from offerlens.llm import common
 SALT = np.uint64(0xA24BAED4963EE407)
 #: Pivots that a point measures, cells that an element may replicate into, points of a subregion that is joined by itself,
 #: and levels of regions. They bound work, not results.
-NEAREST, CELLS, SMALL, DEPTH = 3, 32, 64, 5
+NEAREST, CELLS, SMALL, DEPTH = 2, 32, 64, 5
 #: Pivots that few measure would split a group of copies into cells that replicate each other.
 FEW, CLOSE = 8, 0.7
 #: So many sets at most does a task remember so as to send the keys of equal sets once.
@@ -169,16 +169,22 @@ def _lists(f: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The columns of edges (p, x and others), size (of x), far and d (the distances D and d), link (d <= r), delta (x ^ p:
-    the `added` elements outside p first, each part ascending) and first: how many elements of delta a link beyond the
-    pivot must touch one of."""
+    """The columns of edges (p, x and others), size (of x), far and d (the distances D and d), link (d <= r), added (how many
+    elements x has outside p), head and least: of the elements of x ^ p, those outside p first and each part ascending,
+    so many that a link beyond the pivot shares `least` of them with the head of x's partner (the lesser of both counts)."""
     both = edges.join(sets.select(F.col("f").alias("x"), F.col("elements").alias("xs")), "x").join(sets.select(F.col("f").alias("p"), F.col("elements").alias("ps")), "p")
     both = both.select(*edges.columns, F.size("xs").alias("size"), F.size("ps").alias("own_size"), F.array_except("xs", "ps").alias("more"), F.array_except("ps", "xs").alias("less"))
     union = F.col("own_size") + F.size("more")
-    out = both.withColumn("far", F.size("more") + F.size("less")).withColumn("d", F.col("far") / union).withColumn("link", 100 * (F.col("size") - F.size("more")) >= percent * union)
-    # a link (x, y) with x beyond the limit: overlap > far * percent / (100 + percent) for y, and >= far - (100 - percent) / percent * size for x
-    first = F.when(F.col("link"), F.col("far") - F.floor(F.col("far") * percent / F.lit(100 + percent) - 1e-9)).otherwise(F.least(F.col("far"), F.floor((100 - percent) * F.col("size") / F.lit(percent) + 1e-9) + 1))
-    return out.select(*edges.columns, "size", "far", "d", "link", F.size("more").alias("added"), F.concat(F.sort_array("more"), F.sort_array("less")).alias("delta"), first.cast("int").alias("first"))
+    out = both.withColumn("added", F.size("more")).withColumn("far", F.col("added") + F.size("less")).withColumn("d", F.col("far") / union).withColumn("link", 100 * (F.col("size") - F.col("added")) >= percent * union)
+    # Partners overlap outside p in all of x's elements there but `apart` of them: that is most of them where x is far from p.
+    apart = F.floor((100 - percent) * F.col("size") / F.lit(percent) + 1e-9)
+    distant = F.col("added") > apart
+    least = F.when(distant, F.least(F.col("added") - apart, F.greatest(F.lit(1), F.ceil((100 - percent) * F.col("size") / F.lit(200))))).otherwise(1)
+    # Else one shared element will do. A link (x, y) with x beyond the limit: overlap > far * percent / (100 + percent) for y, and >= far - apart for x.
+    near = F.when(F.col("link"), F.col("far") - F.floor(F.col("far") * percent / F.lit(100 + percent) - 1e-9)).otherwise(F.least(F.col("far"), apart + 1))
+    first = F.when(distant, apart + least).otherwise(near).cast("int")
+    head = F.slice(F.concat(F.sort_array("more"), F.sort_array("less")), F.lit(1), first)
+    return out.select(*edges.columns, "size", "far", "d", "link", "added", head.alias("head"), least.cast("int").alias("least"))
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -212,51 +218,55 @@ def sets_needed(docs: DataFrame, classes: DataFrame, used: DataFrame, words: int
 
 
 def subregions(near: DataFrame) -> DataFrame:
-    """(g, e, x, size, far, link, own, other, n, outer): points of region g by a first element e of their differences, where
-    such a list has n > 1 points and `outer` > 0 beyond the limit. other: may be the far end of an outer point's link.
+    """(g, e, x, size, far, link, own, least, other, n, outer): points of region g by an element e of their heads, where such
+    a list has n > 1 points and `outer` > 0 beyond the limit. other: may be the far end of an outer point's link.
 
     A point y with at least as many elements outside p as it lacks of p (that is, not smaller than p) must share one of
     the former with x: the overlap exceeds what y lacks. So what points lack of p, the only thing that copies with
     unrelated edits have in common, is a key of y only where y is smaller than p.
     """
-    one = near.select("g", "x", "size", "far", "link", "own", "added", F.posexplode(F.slice("delta", F.lit(1), F.col("first"))).alias("i", "e"))
+    one = near.select("g", "x", "size", "far", "link", "own", "added", "least", F.posexplode("head").alias("i", "e"))
     one = one.withColumn("other", (F.col("i") < F.col("added")) | (2 * F.col("added") < F.col("far"))).filter("other or not link").drop("i", "added").repartition("g", "e")
     lists = one.groupBy("g", "e").agg(F.count("*").alias("n"), F.count_if(~F.col("link")).alias("outer"), F.max("own").alias("any")).filter("n > 1 and outer > 0 and any")
     return one.join(lists.drop("any"), ["g", "e"])
 
 
-def joined(busy: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the links with a point beyond the limit in the subregions of busy, each of few points."""
-    x = busy.filter("not link").select("g", "e", "x", "size", "far", "own")
-    y = busy.filter("other").select("g", "e", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"), F.col("own").alias("own_y"))
+def joined(small: DataFrame, large: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the links with a point beyond the limit in the subregions of small, each of few points. Elements in
+    large subregions count as shared here; pairs that share no others meet there."""
+    if large is not None:
+        small = small.join(large.groupBy("g", "x").agg(F.count("*").alias("besides")), ["g", "x"], "left").withColumn("least", F.col("least") - F.coalesce("besides", F.lit(0)))
+    x = small.filter("not link").select("g", "e", "x", "size", "far", "own", "least")
+    y = small.filter("other").select("g", "e", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"), F.col("own").alias("own_y"), F.col("least").alias("least_y"))
     windows = f"""x <> y and (link_y or x < y) and (own or own_y) and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)
         and abs(far - far_y) * {100 + percent} <= {100 - percent} * (size + size_y)"""
-    pairs = common.materialize(x.join(y, ["g", "e"]).filter(windows).groupBy("x", "y").agg(F.min("g").alias("g")), "pairs")
-    left = near.select("g", "x", "size", "far", "delta")
-    right = near.select("g", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("far").alias("far_y"), F.col("delta").alias("delta_y"))
-    apart = F.col("far") + F.col("far_y") - 2 * F.size(F.array_intersect("delta", "delta_y"))
-    exact = pairs.join(left, ["g", "x"]).join(right, ["g", "y"]).filter(apart * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("size_y")))
-    return exact.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    pairs = x.join(y, ["g", "e"]).filter(windows).groupBy("g", "x", "y").agg(F.count("*").alias("met"), F.min(F.least("least", "least_y")).alias("least"))
+    pairs = common.materialize(pairs.filter("met >= least").select("x", "y").distinct(), "pairs")
+    both = pairs.join(sets.select(F.col("f").alias("x"), F.col("elements").alias("xs")), "x").join(sets.select(F.col("f").alias("y"), F.col("elements").alias("ys")), "y")
+    shared = F.size(F.array_intersect("xs", "ys"))
+    return both.filter(100 * shared >= percent * (F.size("xs") + F.size("ys") - shared)).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 def settled(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): links enough to connect whatever links connect in the regions of near: measured points (g, p, x, own), where
     g names the region and one end of a link at least must be its own."""
-    found = near.filter("link and p <> x").select(F.col("p").alias("u"), F.col("x").alias("v"))
+    found = None
     for level in range(1, DEPTH + 1):
+        direct = near.filter("link and p <> x").select(F.col("p").alias("u"), F.col("x").alias("v"))
         busy = common.materialize(subregions(near), "busy")
         small = F.lit(True) if level == DEPTH else F.col("n") * F.col("outer") <= SMALL * SMALL
-        found = found.union(joined(busy.filter(small), near, percent))
         large = busy.filter(~small)
-        if level == DEPTH or large.isEmpty():
-            break
+        last = level == DEPTH or large.isEmpty()
+        met = common.materialize(direct.union(joined(busy.filter(small), None if last else large, sets, percent)).distinct(), "met")
+        found = met if found is None else found.union(met)
+        if last:
+            return found
         # the middle differs from the pivot in what most points differ from it in, and in little else
         score = large.groupBy("g", "x").agg((F.sum(F.log2("n")) / F.first("far")).cast("float").alias("score"))
         pivots = named_pivots(large.join(score, ["g", "x"]).withColumnRenamed("x", "f"), "g", "e")
         edges = large.join(pivots, ["g", "e"]).select(F.xxhash64("g", "p").alias("g"), "p", "x", (~F.col("link")).alias("own")).distinct()
         near = common.materialize(measured(common.materialize(edges, "edges"), sets, percent), "near")
-        found = found.union(near.filter("link and p <> x").select(F.col("p").alias("u"), F.col("x").alias("v")))
-    return common.materialize(found.distinct(), "links")
+        common.discard(busy)
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
