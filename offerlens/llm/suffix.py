@@ -30,7 +30,8 @@ GRAM = 32
 HOT = 2000
 INDEX_BITS = 24
 SLICE = 1 << 22
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 20
+FIRST_ID = -(1 << 63)
 
 
 # ---- anchors
@@ -103,8 +104,17 @@ BLOOM_BITS = 26
 OTHER_BASE = 0xD1342543DE82EF95
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col("text").cast("string").alias("__text"))
+def numbered(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The columns in keep, __text and a document's number: __id, and __v, a hash of the text where rows share an id (else 0);
+    and the same with each number once."""
+    rows = docs.select(*keep, F.coalesce(F.expr("try_cast(doc_id as bigint)"), F.lit(FIRST_ID)).alias("__id"), F.col("text").cast("string").alias("__text"))
+    again = common.materialize(rows.groupBy("__id").count().filter("count > 1").select(F.col("__id").alias("__again")), "again")
+    if again.isEmpty():
+        rows = rows.withColumn("__v", F.lit(0).cast("long"))
+        return rows, rows
+    known = rows.join(again, F.col("__id") == F.col("__again"), "left")
+    known = known.withColumn("__v", F.when(F.col("__again").isNull(), F.lit(0)).otherwise(F.xxhash64("__text"))).drop("__again")
+    return known, known.dropDuplicates(["__id", "__v"])
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -117,7 +127,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(found[3].astype(np.int64))], names=["h"])
 
-    return _source(docs).select("__text").mapInArrow(run, "h long")
+    return docs.select("__text").mapInArrow(run, "h long")
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,13 +157,13 @@ def repeated_filter(docs: DataFrame, length: int, gram: int) -> np.ndarray:
 
 
 def repeated_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, k, id, at) of segments whose anchor passes the filter; at holds the first window << 8 | windows."""
+    """(h, k, id, v, at) of segments whose anchor passes the filter; at holds the first window << 8 | windows."""
     passing = docs.sparkSession.sparkContext.broadcast(repeated_filter(docs, length, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = passing.value
         for batch in batches:
-            ids = batch.column("__id").to_numpy(zero_copy_only=False)
+            ids, vs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__id", "__v"))
             for first, _, data, at in common.text_blocks(batch, "__text"):
                 found = _joined(data, at, length, gram)
                 if not found:
@@ -162,11 +172,11 @@ def repeated_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 one, two = _bits(h)
                 on = ((seen[one >> 6] >> (one & 63).astype(np.uint64)) & (seen[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[on].astype(np.int64)), pa.array(k[on].astype(np.int64)), pa.array(ids[first + text[on]]), pa.array(start[on] << 8 | count[on])],
-                    names=["h", "k", "id", "at"],
+                    [pa.array(h[on].astype(np.int64)), pa.array(k[on].astype(np.int64)), pa.array(ids[first + text[on]]), pa.array(vs[first + text[on]]), pa.array(start[on] << 8 | count[on])],
+                    names=["h", "k", "id", "v", "at"],
                 )
 
-    return _source(docs).mapInArrow(run, "h long, k long, id long, at long")
+    return docs.select("__id", "__v", "__text").mapInArrow(run, "h long, k long, id long, v long, at long")
 
 
 # ---- suffix arrays
@@ -185,13 +195,14 @@ def buckets(data: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(8) | padded[j : n + j]
     order = np.argsort(key, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    pointer = np.empty(n, np.int64)
-    pointer[order] = np.repeat(head, np.diff(np.append(head, n)))
-    size = np.repeat(np.diff(np.append(head, n)), np.diff(np.append(head, n)))
-    open_ = order[size > 1]  # in suffix order, buckets of more than one
+    size = np.diff(np.append(head, n)).astype(np.int32)
+    pointer = np.empty(n, np.int32)
+    pointer[order] = np.repeat(head.astype(np.int32), size)
+    open_ = order[np.repeat(size, size) > 1].astype(np.int32)  # in suffix order, buckets of more than one
+    del key, order
     while known < depth and len(open_):
         step = min(known, depth - known)
-        later = np.where(open_ + step < n, pointer[np.minimum(open_ + step, n - 1)], -1)
+        later = np.where(open_ + step < n, pointer[np.minimum(open_ + step, n - 1)], np.int32(-1))
         own = pointer[open_]
         order = np.lexsort((later, own))
         open_, own, later = open_[order], own[order], later[order]
@@ -206,52 +217,52 @@ def buckets(data: np.ndarray, depth: int) -> np.ndarray:
     return pointer
 
 
-def later_windows(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, from, to) of runs of windows in the given segments that equal a window of an earlier place in them."""
+def later_windows(texts: list[bytes], ids: np.ndarray, vs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(id, v, from, to) of runs of windows in the given segments that equal a window of an earlier place in them."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
     windows = size - length + 1
-    of = np.repeat(np.arange(len(texts)), windows)
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), windows)
     inner = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     bucket = buckets(data, length)[begin[of] + inner]
     where = starts[of] + inner
-    order = np.lexsort((where, ids[of], bucket))
+    order = np.lexsort((where, vs[of], ids[of], bucket))
     b = bucket[order]
     later = np.zeros(len(of), bool)
     later[order[1:]] = b[1:] == b[:-1]
     hit = np.flatnonzero(later)
     if not len(hit):
         z = np.zeros(0, np.int64)
-        return z, z, z
+        return z, z, z, z
     new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(hit)) - 1
-    return ids[of[hit[first]]], where[hit[first]], where[hit[last]] + length
+    return ids[of[hit[first]]], vs[of[hit[first]]], where[hit[first]], where[hit[last]] + length
 
 
 def by_suffix_array(kinds: DataFrame, length: int) -> DataFrame:
-    """(id, a, b) of repeated runs among segments (h, id, start, bytes); whole anchors share a task and an array."""
+    """(id, v, a, b) of repeated runs among segments (h, id, v, start, bytes); whole anchors share a task and an array."""
     dealt = kinds.repartition("h").sortWithinPartitions("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def solve(rows):
-            a, b, c = later_windows([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["id", "a", "b"])
+            ids, vs, starts = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in later_windows([r[4] for r in rows], ids, vs, starts, length)], names=["id", "v", "a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "start", "bytes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "v", "start", "bytes"))):
                 if size > ARRAY_BYTES and held[-1][0] != row[0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield solve(held)
 
-    return dealt.mapInArrow(run, "id long, a long, b long")
+    return dealt.mapInArrow(run, "id long, v long, a long, b long")
 
 
 def _hash_with(data: np.ndarray, base: int, length: int) -> np.ndarray:
@@ -268,9 +279,9 @@ def by_window_hash(kinds: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, texts = (batch.column(c).to_pylist() for c in ("id", "start", "bytes"))
-            for lo in range(0, len(texts), 4096):
-                part = texts[lo : lo + 4096]
+            ids, vs, starts, texts = (batch.column(c).to_pylist() for c in ("id", "v", "start", "bytes"))
+            for lo in range(0, len(texts), 2048):
+                part = texts[lo : lo + 2048]
                 size = np.array([len(t) for t in part], np.int64)
                 data = np.frombuffer(b"".join(part), np.uint8)
                 windows = size - length + 1
@@ -278,23 +289,23 @@ def by_window_hash(kinds: DataFrame, length: int) -> DataFrame:
                 at = np.repeat(np.cumsum(size) - size, windows) + inner
                 one, two = (_hash_with(data, base, length)[at].astype(np.int64) for base in (common.BASE, OTHER_BASE))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), pa.array(np.repeat(np.array(ids[lo : lo + 4096], np.int64), windows)), pa.array(np.repeat(np.array(starts[lo : lo + 4096], np.int64), windows) + inner)],
-                    names=["one", "two", "id", "a"],
+                    [pa.array(one), pa.array(two)] + [pa.array(np.repeat(np.array(x[lo : lo + 2048], np.int64), windows) + (inner if x is starts else 0)) for x in (ids, vs, starts)],
+                    names=["one", "two", "id", "v", "a"],
                 )
 
-    rows = kinds.mapInArrow(run, "one long, two long, id long, a long")
-    first = rows.groupBy("one", "two").agg(F.min(F.struct("id", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("one", "two", "first")
+    rows = kinds.mapInArrow(run, "one long, two long, id long, v long, a long")
+    first = rows.groupBy("one", "two").agg(F.min(F.struct("id", "v", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("one", "two", "first")
     first = common.materialize(first, "windows")
-    met = rows.join(first, ["one", "two"]).filter("first <> struct(id, a)")
-    return met.select("id", "a", (F.col("a") + length).alias("b"))
+    met = rows.join(first, ["one", "two"]).filter("first <> struct(id, v, a)")
+    return met.select("id", "v", "a", (F.col("a") + length).alias("b"))
 
 
 # ---- the whole
 
 
 def packed_texts(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The columns in keep, __id and the text as zstandard bytes, which make half the shuffle that strings make."""
-    source = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col("text").cast("string").alias("__text"))
+    """The columns in keep, __id, __v and the text as zstandard bytes, which make half the shuffle that strings make."""
+    source = docs.select(*keep, "__id", "__v", "__text")
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,16 +314,16 @@ def packed_texts(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             out = [squeeze((t or "").encode()) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*keep, "__id")] + [pa.array(out, pa.binary())], names=[*keep, "__id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*keep, "__id", "__v")] + [pa.array(out, pa.binary())], names=[*keep, "__id", "__v", "z"])
 
-    return source.mapInArrow(run, f"{head}__id long, z binary")
+    return source.mapInArrow(run, f"{head}__id long, __v long, z binary")
 
 
 def kinds_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, many, id, start, bytes) of the wanted segments (h, many, id, at)."""
-    asked = wanted.groupBy("id").agg(F.collect_list(F.struct("h", "many", "at")).alias("asked"))
+    """(h, many, id, v, start, bytes) of the wanted segments (h, many, id, v, at)."""
+    asked = wanted.groupBy("id", "v").agg(F.collect_list(F.struct("h", "many", "at")).alias("asked"))
     asked = common.materialize(asked, "asked")
-    both = packed_texts(docs, ()).join(asked, F.col("__id") == F.col("id")).select("id", "z", F.col("asked.h").alias("h"), F.col("asked.many").alias("many"), F.col("asked.at").alias("at"))
+    both = packed_texts(docs, ()).join(asked, (F.col("__id") == F.col("id")) & (F.col("__v") == F.col("v"))).select("id", "v", "z", F.col("asked.h").alias("h"), F.col("asked.many").alias("many"), F.col("asked.at").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -326,27 +337,27 @@ def kinds_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 parts = [text[a : a + b] for a, b in zip(start.tolist(), size.tolist())]
                 fit = np.array([len(p) == b for p, b in zip(parts, size.tolist())], bool)
                 yield pa.RecordBatch.from_arrays(
-                    [h.filter(pa.array(fit)), many.filter(pa.array(fit)), pa.array([batch.column("id")[row].as_py()] * int(fit.sum()), pa.int64()), pa.array(start[fit]), pa.array([p for p, ok in zip(parts, fit) if ok], pa.binary())],
-                    names=["h", "many", "id", "start", "bytes"],
+                    [h.filter(pa.array(fit)), many.filter(pa.array(fit)), *(pa.array([batch.column(c)[row].as_py()] * int(fit.sum()), pa.int64()) for c in ("id", "v")), pa.array(start[fit]), pa.array([p for p, ok in zip(parts, fit) if ok], pa.binary())],
+                    names=["h", "many", "id", "v", "start", "bytes"],
                 )
 
-    return both.mapInArrow(run, "h long, many boolean, id long, start long, bytes binary")
+    return both.mapInArrow(run, "h long, many boolean, id long, v long, start long, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, a, b): byte ranges that repeat earlier strings; they may overlap."""
+    """(id, v, a, b): byte ranges of numbered documents that repeat earlier strings; they may overlap."""
     met = common.materialize(repeated_segments(docs, length, gram), "segments")
-    entries = common.materialize(met.groupBy("h", "k").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")), "entries")
+    entries = common.materialize(met.groupBy("h", "k").agg(F.min(F.struct("id", "v", "at")).alias("first"), F.count("*").alias("n")), "entries")
     twice = entries.filter("n > 1").select("h", "k", "first")
-    whole = met.join(common.materialize(twice, "twice"), ["h", "k"]).filter("first <> struct(id, at)")
-    whole = whole.select("id", F.shiftright("at", 8).alias("a"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + (length - 1)).alias("b"))
+    whole = met.join(common.materialize(twice, "twice"), ["h", "k"]).filter("first <> struct(id, v, at)")
+    whole = whole.select("id", "v", F.shiftright("at", 8).alias("a"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + (length - 1)).alias("b"))
     several = entries.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     several = common.materialize(several, "several")
-    wanted = entries.join(several, "h").select("h", (F.col("kinds") > hot).alias("many"), "first.id", "first.at")
+    wanted = entries.join(several, "h").select("h", (F.col("kinds") > hot).alias("many"), "first.id", "first.v", "first.at")
     kinds = common.materialize(kinds_of(docs, wanted, length), "kinds")
     common.discard(several)
-    by_array = by_suffix_array(kinds.filter("not many").select("h", "id", "start", "bytes"), length)
-    by_hash = by_window_hash(kinds.filter("many").select("id", "start", "bytes"), length)
+    by_array = by_suffix_array(kinds.filter("not many").select("h", "id", "v", "start", "bytes"), length)
+    by_hash = by_window_hash(kinds.filter("many").select("id", "v", "start", "bytes"), length)
     return whole.unionByName(by_array).unionByName(by_hash)
 
 
@@ -354,14 +365,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     """The columns in keep, n_bytes (long), kept (binary: the bytes that stay) and spans (array<struct<a long, b long>>:
     the maximal removed ranges) of every document.
 
-    Null and empty texts keep nothing and lose nothing. A null doc_id comes before all others. Rows that repeat a
-    doc_id count as versions of one document: they don't repeat each other, and spans found in one apply to each as
-    far as it reaches. An empty table gives no rows; columns not in keep are left out.
+    Null and empty texts keep nothing and lose nothing. A null doc_id (or one that is no whole number) comes before all
+    others. Rows that share a doc_id are documents of their own, in order of a hash of their texts; only rows alike in
+    id and text count as one document, which doesn't repeat itself. An empty table gives no rows; columns not in keep
+    are left out. A segment's windows, length - gram + 1 at most, must be fewer than 256.
     """
+    if not 8 <= gram <= length or length - gram > 254:
+        raise ValueError("gram must be 8 to length, and length - gram at most 254")
     common.bound_batches(docs.sparkSession)
-    spans = repeated_spans(docs, length, gram, hot).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    spans = common.materialize(spans, "spans")
-    both = packed_texts(docs, keep).join(spans, F.col("__id") == F.col("id"), "left").select(*keep, "z", F.col("found.a").alias("a"), F.col("found.b").alias("b"))
+    docs, once = numbered(docs, keep)
+    spans = repeated_spans(once, length, gram, hot).groupBy("id", "v").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    spans = common.materialize(spans.withColumnsRenamed({"id": "__sid", "v": "__sv"}), "spans")
+    both = packed_texts(docs, keep).join(spans, (F.col("__id") == F.col("__sid")) & (F.col("__v") == F.col("__sv")), "left").select(*(F.col(f"`{c}`") for c in keep), F.col("z").alias("__z"), F.col("found.a").alias("__a"), F.col("found.b").alias("__b"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +386,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 size, kept, removed = [], [], []
-                for z, a, b in zip(part.column("z").to_pylist(), part.column("a"), part.column("b")):
+                for z, a, b in zip(part.column("__z").to_pylist(), part.column("__a"), part.column("__b")):
                     text = zstandard.ZstdDecompressor().decompress(z)
                     size.append(len(text))
                     if not a.is_valid:

@@ -49,6 +49,23 @@ def test_empty_table_and_repeated_rows(spark):
     assert len(kept) == 1
 
 
+def test_documents_that_share_an_id(spark):
+    """Null and repeated ids: each text by itself, in the order of ids and of its number."""
+    r = random.Random(4)
+    a, b, c = ("".join(r.choice("abcdefgh") for _ in range(343)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, "q" * 30 + c), (3, b + "tail"), (4, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.n_bytes, x.kept.decode()) for x in suffix.without_repeats(df).collect()}
+    first = {(None, 343, c), (None, 373, "q" * 30)}, {(None, 343, ""), (None, 373, "q" * 30 + c)}
+    rest = {(1, 343, a), (2, 343, ""), (2, 343, b), (3, 347, "tail"), (4, 343, "")}
+    assert got in [rest | x for x in first]
+
+
+def test_windows_must_fit(spark):
+    with pytest.raises(ValueError):
+        suffix.without_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=400, gram=32)
+
+
 def test_bucket_pointers_tell_prefixes_apart():
     r = random.Random(1)
     data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(3000)), np.uint8)
