@@ -3,17 +3,20 @@
 Jaccard distance d is a metric, and linked documents lie within r = 1 - percent/100. Equal sets are one point from the
 start. Most texts lie at distance 1 from each other, so pivots are taken where points are near each other:
 
-1. A set's elements are 64-bit hashes, and all sets are read in ascending order. Linked sets share at least
-   ``least_shared`` elements among the first ``prefix`` of both, and their sizes lie in the same size class or in
-   neighbouring ones. Points that share fewer with points of such sizes altogether link with nothing and are left out;
-   so are, for the most part, texts that have but a passage in common.
-2. Pivots: in each size class a shared element names the point of its list whose elements have the longest lists (their
-   logarithms summed), the middle of a group of copies. Voronoi cells: a point measures its distance to the pivots that most of its elements name (NEAREST
-   at most) and belongs to the nearest, pivots left out that FEW times fewer points measure than another one within CLOSE.
-3. Windows: a link (x, y) with x of p's cell needs y to share ``least_shared`` elements with p's cell and, by the triangle
+1. The space of element hashes is cut into T + 1 + slack parts, T being the largest D = |x ^ y| that a link may have among
+   sets of that size. D is the sum of its parts, so linked sets agree wholly in 1 + slack parts at least (sizes near the
+   border of a size class go to both classes; a set with very many empty parts has keys for those as well). A part
+   that several points hold alike is an element below. Points that share fewer than linked sets do with all others
+   together link with nothing and are left out; so are texts that have but a passage in common.
+2. Pivots: a shared element names the point of its list whose elements have the longest lists (their logarithms summed),
+   the middle of a group of copies. Voronoi cells: a point measures its distance to the pivots that most of its elements
+   name (NEAREST at most) and belongs to the nearest, pivots left out that FEW times fewer points measure than another
+   one within CLOSE.
+3. Windows: a link (x, y) with x of p's cell needs y to share as many elements with p's cell as links do and, by the triangle
    inequality, d(y, p) <= radius(p) + r, the radius being the greatest distance in the cell. Such points y of other cells
    are replicated into p's region, so every link lies in the region of both its ends' cells. An element found in more
-   than CELLS cells doesn't replicate: all its points join the region of the pivot that it names.
+   than CELLS cells doesn't replicate: its points join the region of the pivot that it names if such elements are all
+   that they may share with some.
 4. In a region, points within the limit link to the pivot and so belong together; none of their mutual distances matter
    any more. Left are links with a point x beyond the limit. Seen from p a point is the difference x ^ p, which keeps all
    distances D = |x ^ y|. By the triangle inequality a link (x, y) needs |x ^ p| and |y ^ p| to lie in a window and to
@@ -25,7 +28,6 @@ start. Most texts lie at distance 1 from each other, so pivots are taken where p
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,37 +45,30 @@ NEAREST, CELLS, SMALL, DEPTH = 2, 32, 64, 5
 FEW, CLOSE = 8, 0.7
 #: So many sets at most does a task remember so as to send the keys of equal sets once.
 REMEMBERED = 100_000
+#: Classes with T from LARGE on have SLACK parts and one for SPREAD of T beyond T + 1, the others FEW_PARTS. Linked sets
+#: agree in one more than that, and share SHARED keys at least, in small classes one: so many of the parts that they agree
+#: in may be empty. A set with more empty parts has keys for those too.
+LARGE, SLACK, SPREAD, FEW_PARTS, SHARED = 6, 10, 20, 2, 5
 
 
-def least_shared(n: int, percent: int) -> int:
-    """So many elements among the first of both do linked sets share, whose smaller one has n."""
-    return max(1, min(-(-percent * n // 100), -((percent - 100) * n // 200)))
-
-
-def prefix(n: int, percent: int) -> int:
-    """The first elements of a set of n that are compared: all but percent of n, and least_shared more.
-
-    Be x the one of two linked sets whose prefix ends first, at element w. The sets share percent of the larger one's size
-    at least, and x has only `percent of n, less least_shared` elements behind w: the others that they share lie up to w,
-    so in both prefixes.
-    """
-    return n - -(-percent * n // 100) + least_shared(n, percent)
-
-
-def _size_class(n, percent: int):
-    """Number of the size class as a column: linked sets lie in one class or in neighbouring ones."""
-    return F.floor(F.log(n) / F.lit(1.000001 * math.log(100 / percent))).cast("int") if percent < 100 else F.lit(0)
-
-
-def _around(c: str):
-    """A size class and its neighbours, a row for each."""
-    return F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower bounds of the size classes, the parts that each is cut into, how many may be empty, and the keys shared at least."""
+    low, parts, empty, least = [1], [], [], []
+    while low[-1] < top:
+        low.append(max(low[-1] + 1, int(low[-1] * 1.4)))
+        most = (100 - percent) * 2 * (low[-1] - 1) // (100 + percent)
+        slack = SLACK + most // SPREAD if most >= LARGE else FEW_PARTS
+        least.append(SHARED if most >= LARGE else 1)
+        empty.append(slack + 1 - least[-1])
+        parts.append(most + 1 + slack if most else 1)
+    return tuple(np.array(x, np.int64) for x in (low[:-1], parts, empty, least))
 
 
 def _needed(n, percent: int):
-    """least_shared as a column, for the smallest set that may link with one of n elements."""
-    least = F.ceil(percent * n / F.lit(100) - 1e-9)
-    return F.greatest(F.lit(1), F.least(F.ceil(percent * least / F.lit(100) - 1e-9), F.ceil((100 - percent) * least / F.lit(200) - 1e-9)))
+    """So many keys at least does a point of n elements share with one that it links with."""
+    low, _, _, least = size_classes(percent)
+    large = np.flatnonzero(least == SHARED)
+    return F.when(n >= int(low[large[0]]), SHARED).otherwise(1) if len(large) else F.lit(1)
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -113,26 +108,40 @@ def points(docs: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, at long, n long, f long")
 
 
-def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, f): the first elements of each point's set, unless it is too small to link with another one."""
+def agreements(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, f): one row for each part of each point's set, in its size class and in the next where a link may reach."""
     source = docs.select(F.col("text").cast("string").alias("__text"))
+    low, parts, empty, _ = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             keys, marks, rows = [], [], 0
             for _, s in _sets(batch, words):
-                n = len(s)
-                if not n or 100 + percent > (100 - percent) * (n + 100 * n // percent):
+                if not len(s):
                     continue
                 f = mark(s)
                 if f in seen:
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(f)
-                keys.append(s[: prefix(n, percent)].astype(np.int64))
-                marks.append(np.full(len(keys[-1]), f, np.int64))
-                rows += len(keys[-1])
+                total = np.zeros(len(s) + 1, np.uint64)
+                np.cumsum(common.mixed(s ^ SALT), out=total[1:])
+                own = int(np.searchsorted(low, len(s), "right")) - 1
+                reach = int(np.searchsorted(low, 100 * len(s) // percent, "right")) - 1
+                for c in range(own, reach + 1):
+                    m = int(parts[c])
+                    if m == 1:
+                        continue  # no differing sets link here
+                    part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+                    edge = np.searchsorted(part, np.arange(m + 1))
+                    use = np.flatnonzero(edge[1:] > edge[:-1])
+                    if m - len(use) > empty[c]:
+                        use = np.arange(m)
+                    v = (total[edge[1:]] - total[edge[:-1]])[use] + use.astype(np.uint64) * common.MIX_1 + np.uint64(c * int(common.MIX_2) & 0xFFFFFFFFFFFFFFFF)
+                    keys.append(common.mixed(v).astype(np.int64))
+                    marks.append(np.full(len(use), f, np.int64))
+                    rows += len(use)
                 if rows > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(marks))], names=["key", "f"])
                     keys, marks, rows = [], [], 0
@@ -200,14 +209,12 @@ def named_pivots(shared: DataFrame, *by: str) -> DataFrame:
 
 
 def near_keys(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(key, c, f, n, keys, score) of the shared keys that other points of about f's size have, for points that have enough
-    of them: c is the size class, n the size, keys their number, score how long their lists are."""
-    sized = common.materialize(shared.join(classes.select("f", "n", _size_class(F.col("n"), percent).alias("c")), "f"), "sized")
-    lists = sized.groupBy("key", "c").count().select("key", _around("c").alias("c"), "count").groupBy("key", "c").agg(F.sum("count").alias("met"))
-    useful = common.materialize(sized.join(lists.filter("met > 1"), ["key", "c"]), "useful")
-    enough = useful.groupBy("f").agg(F.count("*").alias("keys"), F.sum(F.floor(16 * F.log2("met"))).alias("score"), F.first("n").alias("n"))
-    enough = enough.filter(F.col("keys") >= _needed(F.col("n"), percent)).select("f", "keys", "score")
-    return common.materialize(useful.join(enough, "f").select("key", "c", "f", "n", "keys", "score"), "near_keys")
+    """(key, f, n, keys, score) of the shared keys, for points that have enough of them: n is the size, keys their number,
+    score how long their lists are."""
+    lists = shared.groupBy("key").agg(F.count("*").alias("met"))
+    enough = shared.join(lists, "key").groupBy("f").agg(F.count("*").alias("keys"), F.sum(F.floor(16 * F.log2("met"))).alias("score"))
+    enough = enough.join(classes.select("f", "n"), "f").filter(F.col("keys") >= _needed(F.col("n"), percent))
+    return common.materialize(shared.join(common.materialize(enough, "enough"), "f").select("key", "f", "n", "keys", "score"), "near_keys")
 
 
 def sets_needed(docs: DataFrame, classes: DataFrame, used: DataFrame, words: int) -> DataFrame:
@@ -271,13 +278,13 @@ def settled(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v) fingerprints of linked points: links enough to connect whatever links connect."""
-    shared = common.materialize(shared_keys(prefixes(docs, words, percent)), "shared")
+    shared = common.materialize(shared_keys(agreements(docs, words, percent)), "shared")
     mine = near_keys(shared, classes, percent)
-    pivots = common.materialize(named_pivots(mine, "key", "c"), "pivots")
+    pivots = common.materialize(named_pivots(mine, "key"), "pivots")
     sets = sets_needed(docs, classes, mine.select("f").distinct(), words)
 
     # cells
-    met = mine.join(pivots, ["key", "c"]).groupBy(F.col("f").alias("x"), "p").agg(F.count("*").alias("named"), F.first("keys").alias("keys"))
+    met = mine.join(pivots, "key").groupBy(F.col("f").alias("x"), "p").agg(F.count("*").alias("named"), F.first("keys").alias("keys"))
     met = met.filter("p <> x or 2 * named >= keys").withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("named"), "p"))).filter(F.col("rank") <= NEAREST)
     met = common.materialize(met.select("p", "x"), "met")
     tried = common.materialize(measured(met, sets, percent), "tried")
@@ -289,14 +296,15 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     own = tried.join(home.select("p", "x"), ["p", "x"], "left_semi").withColumn("own", F.lit(True))
 
     # borders: who shares enough elements with another cell
-    at = common.materialize(mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home")), "f").select("key", "c", F.col("f").alias("x"), "n", "home"), "at")
-    cells = common.materialize(at.select("key", _around("c").alias("c"), F.col("home").alias("p")).distinct(), "cells")
-    crowded = common.materialize(cells.groupBy("key", "c").count().filter(F.col("count") > CELLS).select("key").distinct(), "crowded")
-    across = at.join(cells.join(crowded, "key", "left_anti"), ["key", "c"]).filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+    at = common.materialize(mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home")), "f").select("key", F.col("f").alias("x"), "n", "home"), "at")
+    cells = common.materialize(at.select("key", F.col("home").alias("p")).distinct(), "cells")
+    crowded = common.materialize(cells.groupBy("key").count().filter(F.col("count") > CELLS).select("key"), "crowded")
+    across = at.join(cells.join(crowded, "key", "left_anti"), "key").filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("met"), F.first("n").alias("n"))
     in_crowds = at.join(crowded, "key", "left_semi")
     more = in_crowds.groupBy("x").agg(F.count("*").alias("more"))
     border = across.join(more, "x", "left").filter(F.col("met") + F.coalesce("more", F.lit(0)) >= _needed(F.col("n"), percent)).select("p", "x", F.lit(False).alias("own"))
-    crowds = in_crowds.select("key", _around("c").alias("c"), "x").join(pivots, ["key", "c"]).select("p", "x", F.lit(True).alias("own")).distinct()
+    # pairs of which one has fewer crowded elements than links share have others in common, and meet at a border
+    crowds = in_crowds.join(more, "x").filter(F.col("more") >= _needed(F.col("n"), percent)).select("key", "x").join(pivots, "key").select("p", "x", F.lit(True).alias("own")).distinct()
     edges = border.union(crowds).groupBy("p", "x").agg(F.max("own").alias("own")).join(home.select("p", "x"), ["p", "x"], "left_anti")
     radius = home.groupBy("p").agg(F.max("d").alias("radius"))
     others = measured(common.materialize(edges, "edges"), sets, percent).join(radius, "p", "left")

@@ -82,25 +82,6 @@ def test_links_at_the_limit_beside_others(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
-@pytest.mark.parametrize("percent", [50, 80, 90, 99])
-def test_linked_sets_share_the_first_elements(percent):
-    """Sets as alike as links allow share least_shared elements of their prefixes, wherever their own elements fall."""
-    r = random.Random(percent)
-    for _ in range(3000):
-        both = r.randrange(1, 120)
-        apart = both * 100 // percent - both
-        extra = r.randrange(apart + 1)
-        order = r.sample(range(1000), both + apart)
-        if r.random() < 0.5:
-            order.sort()  # what only one has comes last, or first
-        common_, mine, yours = order[:both], order[both : both + extra], order[both + extra :]
-        if r.random() < 0.5:
-            common_, mine, yours = order[apart:], order[:extra], order[extra:apart]
-        x, y = sorted(common_ + mine), sorted(common_ + yours)
-        met = len(set(x[: jaccard.prefix(len(x), percent)]) & set(y[: jaccard.prefix(len(y), percent)]))
-        assert met >= jaccard.least_shared(min(len(x), len(y)), percent)
-
-
 def test_empty_null_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert jaccard.jaccard_components(spark.createDataFrame([], schema), 3, 90).count() == 0
