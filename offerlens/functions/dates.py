@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOON = "interval 12 hours"
+# Date ranges as leaflets print them.
+FULL_RANGE = r"(\d{2})\.(\d{2})\.(\d{4})\s*-\s*(\d{2})\.(\d{2})\.(\d{4})"
+SHORT_RANGE = r"(\d{2})\.(\d{2})\.\s*-\s*(\d{2})\.(\d{2})\."
 
 
 def date_in_text(c: Column) -> Column:
@@ -15,7 +18,7 @@ def date_in_text(c: Column) -> Column:
 
 def all_dates(c: Column) -> Column:
     found = F.regexp_extract_all(c, F.lit(r"(\d{2}\.\d{2}\.\d{4})"), 1)
-    return F.array_compact(F.transform(found, lambda d: F.try_to_timestamp(d, F.lit("dd.MM.yyyy"))))
+    return F.array_compact(F.transform(found, lambda d: F.try_to_timestamp(d, F.lit("dd.MM.yyyy")) + F.expr(NOON)))
 
 
 def earliest_date(c: Column) -> Column:
@@ -32,8 +35,8 @@ def date_in_url(c: Column) -> Column:
 
 
 def leaflet_dates(c: Column) -> tuple[Column, Column]:
-    """-dd-mm-yyyy-dd-mm-yyyy/"""
-    part = lambda k: F.try_to_timestamp(F.nullif(F.regexp_extract(c, r"-(\d{2}-\d{2}-\d{4})-(\d{2}-\d{2}-\d{4})/", k), F.lit("")), F.lit("dd-MM-yyyy"))
+    """-dd-mm-yyyy-dd-mm-yyyy/, at noon UTC"""
+    part = lambda k: F.try_to_timestamp(F.nullif(F.regexp_extract(c, r"-(\d{2}-\d{2}-\d{4})-(\d{2}-\d{2}-\d{4})/", k), F.lit("")), F.lit("dd-MM-yyyy")) + F.expr(NOON)
     return part(1), part(2)
 
 
@@ -42,11 +45,13 @@ def iso_prefix(c: Column) -> Column:
 
 
 def date_range(c: Column, as_of: Column) -> tuple[Column, Column]:
-    """dd.mm.yyyy - dd.mm.yyyy, or dd.mm. - dd.mm. in the year of as_of, ending in the next where the months say so."""
-    full = r"(\d{1,2})\.(\d{1,2})\.(\d{4})\s*-\s*(\d{1,2})\.(\d{1,2})\.(\d{4})"
-    short = r"(\d{1,2})\.(\d{1,2})\.\s*-\s*(\d{1,2})\.(\d{1,2})\."
+    """dd.mm.yyyy - dd.mm.yyyy, or dd.mm. - dd.mm. in the year of as_of, ending in the next where the months say so.
+
+    Both at noon UTC. Days and months have two digits; what a month or year has too many of runs on into the next.
+    """
+    full, short = FULL_RANGE, SHORT_RANGE
     number = lambda pattern, k: F.nullif(F.regexp_extract(c, pattern, k), F.lit("")).try_cast("int")
-    stamp = lambda y, m, d: F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd"))
+    stamp = lambda y, m, d: F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(12), F.lit(0), F.lit(0)) + F.make_interval(months=m - 1) + F.make_interval(days=d - 1)
     year = F.year(as_of)
     is_full, is_short = c.rlike(full), c.rlike(short)
     begin = F.when(is_full, stamp(number(full, 3), number(full, 2), number(full, 1))).when(is_short, stamp(year, number(short, 2), number(short, 1)))

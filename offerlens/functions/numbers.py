@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +20,41 @@ def amount(c: Column, variant: str = "promotion") -> Column:
     return F.when(c.isNull() | (digits == ""), None).otherwise(value)
 
 
+def _units(x: Column, factor: int) -> Column:
+    """The whole number next to the exact value of x * factor, the larger of two as near; x >= 0.
+
+    The product is rounded, so one that seems to lie halfway may come from either side: its error term, exact by
+    splitting x into halves of 26 bits, tells.
+    """
+    product, wide = x * factor, x * 134217729.0
+    upper = wide - (wide - x)
+    error = (upper * factor - product) + (x - upper) * factor
+    down = F.floor(product)
+    rest = product - down
+    return down + F.when((rest > 0.5) | ((rest == 0.5) & (error >= 0)), 1).otherwise(0)
+
+
+def fixed(c: Column, places: int) -> Column:
+    """c with so many decimals, as its exact binary value rounds: 0.015 is 0.01. Halves go away from zero.
+
+    The argument occurs several times in the result: where it is more than a few columns, use once(c, money).
+    """
+    x = c.cast("double")
+    return F.signum(x) * _units(F.abs(x), 10**places) / 10**places
+
+
+def once(c: Column, f: Callable[[Column], Column] = lambda x: x) -> Column:
+    """f of c with c behind a lambda: f's many references to it don't copy the expression into the plan."""
+    return F.transform(F.array(c), f)[0]
+
+
 def money(c: Column) -> Column:
-    """Two decimals, halves up."""
-    return F.floor(c * 100 + 0.5) / 100
+    return fixed(c, 2)
 
 
 def cents(c: Column) -> Column:
-    return F.floor(c * 100 + 0.5).cast("long")
+    x = c.cast("double")
+    return (F.signum(x) * _units(F.abs(x), 100)).cast("long")
 
 
 def half_up(c: Column) -> Column:

@@ -7,28 +7,36 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import numbers, text
 
+# Words of estimated references, and the wordings of promotions.
 ESTIMATED = "estimated|history|historisch|product-search|produktseite|reference"
 
 
+TAG = r"(?i)\b(?:pt-)?(\d+)plus(\d+)\b"
+PLUS = r"\b(\d+)\s*\+\s*(\d+)\b"
+FOR_RAW = r"(?i)\b(\d+)\s*(?:fur|fuer|für)\s*(\d+)\b"
+FOR = r"\b(\d+)\s*(?:fur|fuer)\s*(\d+)\b"
+FROM = r"\bab\s+(\d+)\s*(?:stk|stueck|stuck|dosen|flaschen|packungen|rollen|beutel|glaser|glaeser)\b"
+
+
 def _requirement(required, payable, mechanic: str) -> Column:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(as_col(required).cast("int").alias("required"), as_col(payable).cast("int").alias("payable"), F.lit(mechanic).alias("mechanic"))
 
 
-def requirement(title: Column, conditions: Column, tags: Column, minimum: Column, benefit: Column) -> Column:
+def requirement(title: Column, conditions: Column, tags: Column, minimum: Column, benefit: Column, loyalty_tags: Column | None = None) -> Column:
     """struct(required, payable, mechanic) by the first rule that holds: minimum, tag NplusM, N + M, N für M, ab N pieces, multi-buy."""
     said = F.concat_ws(" ", title, conditions)
-    low = text.ascii_lower(said)
-    tagged = F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")
+    words = text.match_title(said)
+    none = F.array().cast("array<string>")
+    tagged = F.array_join(F.concat(F.coalesce(tags, none), F.coalesce(loyalty_tags, none) if loyalty_tags is not None else none), " ")
     number = lambda c, pattern, k: F.nullif(F.regexp_extract(c, pattern, k), F.lit("")).try_cast("int")
-    tag, plus, for_ = r"\b(?:pt-)?(\d+)plus(\d+)\b", r"\b(\d+)\s*\+\s*(\d+)\b", r"\b(\d+)\s*(?:fur|fuer|für)\s*(\d+)\b"
-    from_ = r"\bab (\d+) (?:stk|stueck|stuck|dosen|flaschen|packungen|rollen|beutel|glaser|glaeser)\b"
     return (
         F.when(minimum > 1, _requirement(minimum, None, "threshold"))
-        .when(tagged.rlike(tag), _requirement(number(tagged, tag, 1) + number(tagged, tag, 2), number(tagged, tag, 1), "x-plus-y"))
-        .when(said.rlike(plus), _requirement(number(said, plus, 1) + number(said, plus, 2), number(said, plus, 1), "x-plus-y"))
-        .when(low.rlike(for_), _requirement(number(low, for_, 1), number(low, for_, 2), "x-for-y"))
-        .when(low.rlike(from_), _requirement(number(low, from_, 1), None, "threshold"))
+        .when(tagged.rlike(TAG), _requirement(number(tagged, TAG, 1) + number(tagged, TAG, 2), number(tagged, TAG, 1), "x-plus-y"))
+        .when(said.rlike(PLUS), _requirement(number(said, PLUS, 1) + number(said, PLUS, 2), number(said, PLUS, 1), "x-plus-y"))
+        .when(said.rlike(FOR_RAW), _requirement(number(said, FOR_RAW, 1), number(said, FOR_RAW, 2), "x-for-y"))
+        .when(words.rlike(FOR), _requirement(number(words, FOR, 1), number(words, FOR, 2), "x-for-y"))
+        .when(words.rlike(FROM), _requirement(number(words, FROM, 1), None, "threshold"))
         .when(benefit == "multi-buy", _requirement(2, None, "multi-buy"))
         .otherwise(_requirement(1, None, "single"))
     )
@@ -40,13 +48,18 @@ def savings(current: Column, reference: Column, percent: Column, estimated: Colu
     An estimated reference is no reference; without one, a percentage strictly between 0 and 100 gives it.
     """
     given = F.when(~F.coalesce(estimated, F.lit(False)) & (reference > 0), reference)
-    from_percent = F.when((percent > 0) & (percent < 100), numbers.money(current / (1 - percent / 100)))
-    ref = F.coalesce(given, from_percent)
-    total_ref = numbers.money(ref * needs["required"])
-    pays_less = needs["payable"].isNotNull() & (given.isNull() | (current >= ref))
-    total_now = numbers.money(F.when(pays_less, ref * needs["payable"]).otherwise(current * needs["required"]))
-    saved = numbers.money(total_ref - total_now)
-    return F.struct(total_ref.alias("reference_total"), total_now.alias("current_total"), F.when(saved > 0, saved).alias("amount"), F.when(saved > 0, numbers.money(saved / total_ref * 100)).alias("percent"))
+    from_percent = F.when((percent > 0) & (percent < 100), numbers.once(current / (1 - percent / 100), numbers.money))
+    pays_less = lambda ref: needs["payable"].isNotNull() & (given.isNull() | (current >= ref))
+    totals = lambda ref: F.struct(
+        numbers.once(ref * needs["required"], numbers.money).alias("before"), numbers.once(F.when(pays_less(ref), ref * needs["payable"]).otherwise(current * needs["required"]), numbers.money).alias("now")
+    )
+
+    def result(t: Column) -> Column:
+        percent_of = lambda saved: F.when(saved > 0, numbers.once(saved / t["before"] * 100, numbers.money))
+        shape = lambda saved: F.struct(t["before"].alias("reference_total"), t["now"].alias("current_total"), F.when(saved > 0, saved).alias("amount"), percent_of(saved).alias("percent"))
+        return numbers.once(numbers.once(t["before"] - t["now"], numbers.money), shape)
+
+    return numbers.once(numbers.once(F.coalesce(given, from_percent), totals), result)
 
 
 def is_estimated(display_type: Column, flag: Column, source: Column) -> Column:

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and what a compatibility decomposition without marks leaves of them.
-ACCENTED = "äàáâãåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _decomposed() -> tuple[str, str, str]:
+    """By the compatibility decomposition without marks: lower-case characters that leave one other character, these, and
+    those of them that bore marks."""
+    one, plain, marked = [], [], []
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x20000)]):
+        full = unicodedata.normalize("NFKD", c)
+        bare = "".join(x for x in full if not "\u0300" <= x <= "\u036f")
+        if c.lower() != c or bare == c or not re.search("[a-z0-9]", bare):
+            continue
+        if len(bare) == 1:
+            one.append(c)
+            plain.append(bare)
+            if len(full) > 1:
+                marked.append(c)
+    return "".join(one), "".join(plain), "".join(marked)
+
+
+ACCENTED, PLAIN, MARKED = _decomposed()
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 # Words that say nothing about a product.
 SIGNATURE_STOPWORDS = (
     "adeg", "bipa", "billa", "hofer", "lidl", "dm", "pagro", "penny", "spar", "plus", "diskont", "aktion", "sorten", "versch", "oder",
@@ -23,8 +44,9 @@ def squeezed(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Lower case without marks: ä is a, é is e; ß stays."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case in compatibility form without marks: ä is a, é is e, full-width letters are plain ones; ß stays.
+    Ligatures, squared units and other signs that stand for several characters stay, too."""
+    return F.translate(F.lower(c), ACCENTED + MARKS, PLAIN)
 
 
 def match_title(c: Column) -> Column:
@@ -41,8 +63,9 @@ def ascii_lower(c: Column) -> Column:
 
 
 def search_words(c: Column) -> Column:
-    """Words of a search text, after ae/oe/ue/ss; letters with other marks end a word."""
-    return F.trim(F.regexp_replace(ascii_lower(c), "[^a-z0-9]+", " "))
+    """Words of a search text, after ae/oe/ue/ss; other marks part words: Crème is cre me."""
+    apart = F.regexp_replace(ascii_lower(c), f"([{MARKED}])", "$1 ")
+    return F.trim(F.regexp_replace(F.translate(apart, ACCENTED, PLAIN), "[^a-z0-9]+", " "))
 
 
 def tokens(c: Column) -> Column:

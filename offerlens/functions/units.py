@@ -34,7 +34,7 @@ def comparable_base(quantity: Column, unit: Column, packs: Column, pack_unit: Co
     """The comparable quantity times the number of packs, or the pieces of the pack where there is no quantity."""
     one = comparable(quantity, unit)
     times = F.when(numbers.truthy(packs, "number") & F.coalesce(is_packaging, F.lit(False)), packs).otherwise(1)
-    total = F.floor(one["quantity"] * times * 1000 + 0.5) / 1000
+    total = numbers.once(one["quantity"] * times, lambda x: numbers.fixed(x, 3))
     pieces = numbers.truthy(packs, "number") & (pack_unit == "Stk")
     shape = lambda q, u, ok: F.struct(q.cast("double").alias("quantity"), u.alias("unit"), ok.alias("comparable"))
     return F.when(numbers.truthy(quantity, "number") & numbers.truthy(unit, "string"), shape(total, one["unit"], one["comparable"])).when(pieces, shape(packs, F.lit("Stk"), F.lit(True))).otherwise(shape(F.lit(None), F.lit(""), F.lit(False)))

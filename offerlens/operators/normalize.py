@@ -16,9 +16,7 @@ PROMOTION = (
 )
 
 
-def once(c: Column) -> Column:
-    """The same value behind a lambda: later references to its fields don't copy the expression into the plan."""
-    return F.transform(F.array(c), lambda x: x)[0]
+once = numbers.once
 
 
 def evidence(at: Column) -> Column:
@@ -125,4 +123,4 @@ def from_cards(landed: DataFrame) -> DataFrame:
     ))
 
 
-registry.CONNECTORS.update({"aktionsfinder": from_promotions, "marktguru": from_aggregator_json, "search": from_search_hits, "official": from_flyer_products, "wogibtswas": from_cards})
+registry.CONNECTORS.update({"aktionsfinder": from_promotions, "marktguru": from_aggregator_json, "search": from_search_hits, "official": from_flyer_products, "wogibtswas": from_cards, "cards": from_cards})

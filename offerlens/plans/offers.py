@@ -39,13 +39,23 @@ def offer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def money_sql(x: str) -> str:
+    """Two decimals of x >= 0 as SQL: printing rounds the exact value, and only eighths can lie halfway between two cents."""
+    return f"(CASE WHEN ({x}) * 8 = floor(({x}) * 8) THEN floor(({x}) * 100 + 0.5) / 100 ELSE CAST(printf('%.2f', CAST({x} AS DOUBLE)) AS DOUBLE) END)"
+
+
+def cents_sql(x: str) -> str:
+    return f"CAST(round({money_sql(x)} * 100) AS BIGINT)"
+
+
+_PRICE = "l_extendedprice * (1 - l_discount) / l_quantity"
 #: The same view for an SQL engine with LIST types.
 OFFERS_SQL = f"""offers AS (
   SELECT l_orderkey * 10 + l_linenumber AS offer_id, l_suppkey AS source_id, s_name AS retailer_key, n_name AS region, p_name AS title, p_brand AS brand, p_type AS category_primary,
     string_split(p_name, ' ')[-1] AS category_secondary, lower(p_type) AS main_key, lower(string_split(p_name, ' ')[-1]) AS sub_key, lower(string_split(p_name, ' ')[-1]) AS category_key,
-    p_size AS size, floor(l_extendedprice * (1 - l_discount) / l_quantity * 100 + 0.5) / 100 AS price, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS reference,
-    floor(l_extendedprice * (1 - l_discount) / l_quantity / p_size * 100 + 0.5) / 100 AS unit_price, 'kg' AS unit, l_discount AS discount, l_quantity AS quantity, o_orderdate AS valid_from, l_shipdate AS valid_to,
+    p_size AS size, {money_sql(_PRICE)} AS price, {money_sql('l_extendedprice / l_quantity')} AS reference,
+    {money_sql(f'{_PRICE} / p_size')} AS unit_price, 'kg' AS unit, l_discount AS discount, l_quantity AS quantity, o_orderdate AS valid_from, l_shipdate AS valid_to,
     CASE WHEN o_orderdate > TIMESTAMP '{AS_OF}' THEN 'upcoming' WHEN l_shipdate < TIMESTAMP '{AS_OF}' THEN 'expired' WHEN o_orderdate IS NOT NULL OR l_shipdate IS NOT NULL THEN 'active' ELSE 'unknown' END AS status,
     status = 'active' AS is_active, l_returnflag = 'R' AS program_required, l_linestatus = 'F' AS comparison_safe, 1 - l_tax AS confidence, l_linenumber % 3 AS channel_no,
-    s_name || '::' || p_name || '::' || p_brand || '::' || CAST(CAST(floor(l_extendedprice * (1 - l_discount) / l_quantity * 100 + 0.5) AS BIGINT) AS VARCHAR) AS dedupe_key
+    s_name || '::' || p_name || '::' || p_brand || '::' || CAST({cents_sql(_PRICE)} AS VARCHAR) AS dedupe_key
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""

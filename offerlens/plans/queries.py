@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from offerlens.functions import dates, numbers, promotions, text, units
 from offerlens.operators import classify, compare, dedupe, metadata, overrides, ranking
-from offerlens.plans.offers import AS_OF, OFFERS_SQL, as_of, offer_view, table
+from offerlens.plans.offers import AS_OF, OFFERS_SQL, as_of, cents_sql, money_sql, offer_view, table
 from offerlens.sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ def q_group_count(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS sum_cents, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sum_quantity,
+@query(f"""SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum({cents_sql('l_extendedprice')}) AS BIGINT) AS sum_cents, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sum_quantity,
 max(l_shipdate) AS last_ship, count(*) FILTER (l_discount > 0.05) AS n_discounted FROM lineitem GROUP BY 1, 2""")
 def q_multi_agg(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
@@ -376,8 +376,8 @@ def q_conversation_digest(spark, d):
     return g.select("conv_id", "turns", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("digest"))
 
 
-@query(f"""WITH {OFFERS_SQL} SELECT retailer_key, count(*) AS n, CAST(sum(CAST(floor(price * 100 + 0.5) AS BIGINT)) AS BIGINT) AS total_cents, count(*) FILTER (program_required) AS n_program,
-max(greatest(0, CAST(floor((reference - price) * 100 + 0.5) AS BIGINT))) AS strongest_saving_cents FROM offers WHERE is_active GROUP BY retailer_key""")
+@query(f"""WITH {OFFERS_SQL} SELECT retailer_key, count(*) AS n, CAST(sum({cents_sql('price')}) AS BIGINT) AS total_cents, count(*) FILTER (program_required) AS n_program,
+max(greatest(0, {cents_sql('greatest(0, reference - price)')})) AS strongest_saving_cents FROM offers WHERE is_active GROUP BY retailer_key""")
 def q_wishlist_summary(spark, d):
     saving = F.greatest(F.lit(0), numbers.cents(F.col("reference") - F.col("price")))
     return offer_view(spark, d).filter("is_active").groupBy("retailer_key").agg(F.count("*").alias("n"), F.sum(numbers.cents(F.col("price"))).alias("total_cents"), F.count_if("program_required").alias("n_program"), F.max(saving).cast("long").alias("strongest_saving_cents"))
@@ -386,7 +386,7 @@ def q_wishlist_summary(spark, d):
 # ---- text, numbers, units, promotions
 
 
-_FOLD_SQL = f"translate(lower(trim(regexp_replace(p, '\\s+', ' ', 'g'))), '{text.ACCENTED}', '{text.PLAIN}')"
+_FOLD_SQL = "strip_accents(lower(trim(regexp_replace(p, '\\s+', ' ', 'g'))))"
 
 
 @query(f"WITH t AS (SELECT doc_id, left(text, 400) AS p FROM documents) SELECT doc_id, trim(regexp_replace({_FOLD_SQL}, '[^a-z0-9]+', ' ', 'g')) AS match_title, trim(regexp_replace({_FOLD_SQL}, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM t".replace("left(text, 400)", "text"))
@@ -394,6 +394,33 @@ def q_text_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", text.match_title(F.col("text")).alias("match_title"), text.slug(F.col("text")).alias("slug"))
 
 
+@query("""WITH l AS (SELECT doc_id, replace(replace(replace(replace(lower(coalesce(text, '')), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') AS p FROM documents),
+c AS (SELECT doc_id, array_to_string(list_transform(string_split(p, ''), lambda x: CASE WHEN strip_accents(x) <> x THEN strip_accents(x) || ' ' ELSE x END), '') AS p FROM l), w AS (SELECT doc_id, trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')) AS words FROM c)
+SELECT doc_id, len(words) AS n_chars, sha256(words) AS words_sha256, contains(' ' || words || ' ', ' cafe ') AS has_cafe FROM w""")
+def q_search_marks(spark, d):
+    words = table(spark, d, "documents").select("doc_id", text.search_words(F.col("text")).alias("words"))
+    return words.select("doc_id", F.length("words").cast("long").alias("n_chars"), text.digest(F.col("words")).alias("words_sha256"), text.has_phrase(F.col("words"), F.lit("cafe")).alias("has_cafe"))
+
+
+@query(f"WITH v AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 10 + l_linenumber) / 1000 AS exact FROM lineitem) SELECT l_orderkey, l_linenumber, {money_sql('exact')} AS rounded, {cents_sql('exact * 3')} AS cents FROM v")
+def q_round_money(spark, d):
+    exact = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) / 1000
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numbers.money(exact).alias("rounded"), numbers.cents(exact * 3).alias("cents"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 13 AS b FROM orders), y AS (SELECT *, year(TIMESTAMP '{AS_OF}') AS y FROM o),
+r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(a AS TIMESTAMP) ELSE make_timestamp(y, month(a), 1, 0, 0, 0) + to_days(CAST(day(a) - 1 AS INTEGER)) END AS f,
+ CASE WHEN o_orderkey % 2 = 0 THEN CAST(b AS TIMESTAMP) ELSE make_timestamp(CASE WHEN month(b) < month(a) THEN y + 1 ELSE y END, month(b), 1, 0, 0, 0) + to_days(CAST(day(b) - 1 AS INTEGER)) END AS t FROM y)
+SELECT o_orderkey, strftime(f + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M') AS valid_from, strftime(t + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M') AS valid_to FROM r""")
+def q_date_range(spark, d):
+    begin, end = F.col("o_orderdate").cast("date"), F.date_add(F.col("o_orderdate").cast("date"), 13)
+    said = lambda pattern: F.concat(F.lit("Gültig "), F.date_format(begin, pattern), F.lit(" - "), F.date_format(end, pattern))
+    printed = F.when(F.col("o_orderkey") % 2 == 0, said("dd.MM.yyyy")).otherwise(said("dd.MM."))
+    a, b = dates.date_range(printed, as_of())
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return table(spark, d, "orders").select("o_orderkey", shown(a).alias("valid_from"), shown(b).alias("valid_to"))
+
+
 _STOP_SQL = ", ".join(f"'{w}'" for w in text.SIGNATURE_STOPWORDS)
 
 
@@ -421,9 +448,9 @@ def q_parse_amount(spark, d):
     return table(spark, d, "part").select("p_partkey", numbers.amount(said).alias("amount"))
 
 
-@query("""WITH u AS (SELECT p_partkey, p_retailprice, p_size, CASE p_partkey % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' WHEN 2 THEN 'kg' ELSE 'Bund' END AS unit FROM part),
+@query(f"""WITH u AS (SELECT p_partkey, p_retailprice, p_size, CASE p_partkey % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' WHEN 2 THEN 'kg' ELSE 'Bund' END AS unit FROM part),
 b AS (SELECT *, CASE WHEN unit IN ('g', 'ml') THEN p_size * 50 / 1000 ELSE CAST(p_size * 50 AS DOUBLE) END AS q, CASE unit WHEN 'g' THEN 'kg' WHEN 'ml' THEN 'l' ELSE unit END AS base_unit FROM u)
-SELECT p_partkey, q AS quantity, base_unit AS base_unit, base_unit IN ('kg', 'l', 'Stk') AS comparable, CASE WHEN base_unit IN ('kg', 'l', 'Stk') THEN floor(p_retailprice / q * 100 + 0.5) / 100 END AS unit_price FROM b""")
+SELECT p_partkey, q AS quantity, base_unit AS base_unit, base_unit IN ('kg', 'l', 'Stk') AS comparable, CASE WHEN base_unit IN ('kg', 'l', 'Stk') THEN {money_sql('p_retailprice / q')} END AS unit_price FROM b""")
 def q_unit_price(spark, d):
     unit = F.when(F.col("p_partkey") % 4 == 0, "g").when(F.col("p_partkey") % 4 == 1, "ml").when(F.col("p_partkey") % 4 == 2, "kg").otherwise("Bund")
     base = units.comparable((F.col("p_size") * 50).cast("double"), unit)
@@ -437,9 +464,9 @@ def q_qty_from_text(spark, d):
     return table(spark, d, "part").withColumn("q", q).select("p_partkey", F.col("q")[0]["quantity"].alias("quantity"), F.col("q")[0]["unit"].alias("unit"), F.col("q")[1]["quantity"].alias("packs"))
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS ref, floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 AS cur, CASE l_linenumber % 3 WHEN 0 THEN 3 ELSE 1 END AS req, CASE l_linenumber % 3 WHEN 0 THEN 2 END AS pay FROM lineitem),
-t AS (SELECT *, floor(ref * req * 100 + 0.5) / 100 AS tr, floor((CASE WHEN pay IS NOT NULL AND cur >= ref THEN ref * pay ELSE cur * req END) * 100 + 0.5) / 100 AS tc FROM b), s AS (SELECT *, floor((tr - tc) * 100 + 0.5) / 100 AS saved FROM t)
-SELECT l_orderkey, l_linenumber, tr AS reference_total, tc AS current_total, CASE WHEN saved > 0 THEN saved END AS savings_amount, CASE WHEN saved > 0 THEN floor(saved / tr * 100 * 100 + 0.5) / 100 END AS savings_percent FROM s""")
+@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS ref, {money_sql('l_extendedprice * (1 - l_discount)')} AS cur, CASE l_linenumber % 3 WHEN 0 THEN 3 ELSE 1 END AS req, CASE l_linenumber % 3 WHEN 0 THEN 2 END AS pay FROM lineitem),
+t AS (SELECT *, {money_sql('ref * req')} AS tr, {money_sql('CASE WHEN pay IS NOT NULL AND cur >= ref THEN ref * pay ELSE cur * req END')} AS tc FROM b), s AS (SELECT *, {money_sql('greatest(0, tr - tc)')} AS saved FROM t)
+SELECT l_orderkey, l_linenumber, tr AS reference_total, tc AS current_total, CASE WHEN saved > 0 THEN saved END AS savings_amount, CASE WHEN saved > 0 THEN {money_sql('saved / tr * 100')} END AS savings_percent FROM s""")
 def q_promo_savings(spark, d):
     title = F.when(F.col("l_linenumber") % 3 == 0, "Aktion 2+1").otherwise("Aktion")
     none = F.lit(None)

@@ -76,8 +76,17 @@ CONNECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def connector_of(channel: str, url: str) -> str:
-    """Which connector reads a source: by the aggregator's address, else the official one."""
-    for name in ("aktionsfinder", "marktguru", "wogibtswas"):
-        if channel == "aggregator" and f"{name}." in url:
-            return name
+    """Which connector reads a source: an aggregator by its address, and of official ones sites by their cards, dm's by its
+    search index, leaflets by their flyers."""
+    if channel == "aggregator":
+        return "marktguru" if "marktguru.at/" in url else "wogibtswas" if "wogibtswas.at/" in url else "aktionsfinder"
+    if channel == "official-site":
+        return "search" if "dm.at/" in url else "cards"
     return "official"
+
+
+def offers_of(landed: DataFrame, connector: str) -> DataFrame:
+    """Landed rows of one connector as promotion records."""
+    from offerlens.operators import normalize  # fills CONNECTORS
+
+    return (CONNECTORS or normalize.registry.CONNECTORS)[connector](landed)

@@ -21,14 +21,22 @@ def publish(tables: dict[str, DataFrame], root: str) -> str:
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/versions/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+    # a rising number says which one is the last, whatever the files' times
+    spark.createDataFrame([(_last(spark, root)["n"] + 1, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{root}/pointer")
     return version
 
 
+def _last(spark: SparkSession, root: str) -> dict:
+    """The pointer with the greatest number; number 0 without a version where nothing was published yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return {"n": 0, "version": None}
+    return spark.read.schema("n long, version string").json(f"{root}/pointer").orderBy(F.desc("n"), F.desc("version")).first().asDict()
+
+
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the version published last (pointer files are ordered by their time of writing)."""
-    last = spark.read.schema("version string").json(f"{root}/pointer").select("version", F.col("_metadata.file_modification_time").alias("at")).orderBy(F.desc("at")).first()
-    return spark.read.parquet(f"{root}/versions/{last['version']}/{name}")
+    """A table of the version published last."""
+    return spark.read.parquet(f"{root}/versions/{_last(spark, root)['version']}/{name}")
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.operators import audit, dedupe, enrich, normalize, ranking
+from offerlens.operators import audit, dedupe, enrich, normalize, overrides, ranking
 from offerlens.plans import offers as view
 from offerlens.plans import served
 from offerlens.sources import pages, registry, store
@@ -118,7 +118,37 @@ def test_registry(spark):
     assert out.count() == 31 and not out.filter("source_id = 'gone'").first().active and out.filter("label = 'old'").count() == 0
     order = registry.crawl_order(all_, spark.createDataFrame([("spar",)] * 3, "retailer_key string")).collect()
     assert order[0].retailer_key == "lidl" and order[-1].retailer_key == "spar"
-    assert registry.connector_of("aggregator", "https://www.marktguru.at/r/x") == "marktguru"
+    wanted = {"https://www.marktguru.at/r/x": "marktguru", "https://www.wogibtswas.at/h/1": "wogibtswas", "https://www.aktionsfinder.at/pv/x/": "aktionsfinder", "https://other.at/": "aktionsfinder"}
+    assert {u: registry.connector_of("aggregator", u) for u in wanted} == wanted
+    assert [registry.connector_of(c, u) for c, u in (("official-site", "https://www.dm.at/"), ("official-site", "https://www.penny.at/angebote"), ("official-flyer", "https://www.lidl.at/c"))] == ["search", "cards", "official"]
+
+
+def test_addresses(spark):
+    base = "https://h.at/a/b/page.html?q=1#top"
+    wanted = {"https://x.at/y": "https://x.at/y", "//x.at/y": "https://x.at/y", "/z": "https://h.at/z", "x.html": "https://h.at/a/b/x.html", "../x": "https://h.at/a/x", "./x?y=../z": "https://h.at/a/b/x?y=../z", "../../../x": "https://h.at/x",
+              "?p=2": "https://h.at/a/b/page.html?p=2", "#end": "https://h.at/a/b/page.html?q=1#end", "mailto:a@b": "mailto:a@b", "..": "https://h.at/a/", "": base}
+    df = spark.createDataFrame([(h, base) for h in wanted], "href string, base string")
+    assert {r.href: r.link for r in df.select("href", pages.absolute(F.col("href"), F.col("base")).alias("link")).collect()} == wanted
+    assert df.limit(1).select(pages.absolute(F.lit("x"), F.lit("https://h.at")).alias("link")).first().link == "https://h.at/x"
+
+
+def test_ingest_end_to_end(spark, tmp_path):
+    from offerlens.plans import ingest as etl
+
+    cards = [("s1", "penny", "PENNY", "official-site", {"title": "Frische Milch 1 l", "price": "1,49", "old_price": "1,99", "link": "https://p.at/1"}), ("s2", "penny", "PENNY", "aggregator", {"title": "Frische Milch 1 l", "price": "1,49", "old_price": "1,99", "link": "https://m.at/1"}),
+             ("s1", "penny", "PENNY", "official-site", {"title": "Brot", "price": "", "link": "u"}), ("s1", "penny", "PENNY", "official-site", {"title": "Zeitung", "price": "2", "link": "u"})]
+    landed = spark.createDataFrame(cards, "source_id string, retailer_key string, retailer_name string, channel string, fields map<string,string>")
+    hits = spark.sql("select 's3' source_id, 'dm' retailer_key, 'dm' retailer_name, 'official-site' channel, 'https://dm.at' source_url, named_struct('name', 'Seife', 'packageLabel', '2 Stk', 'volumeLabelShort', '', 'descriptionShort', '', 'descriptionLong', '', 'brand', named_struct('name', 'B'), 'category', '', 'price', named_struct('regular', named_struct('value', 250, 'tags', array('x')), 'crossed', 300, 'discountPercentage', 0.0D)) hit")
+    rules = spark.createDataFrame([(1, "ignore", "", "zeitung", None, None, None, None), (2, "article", "", "seife", None, "Drogerie", "Seifen", None), (3, "article", "", "b seife", None, "Drogerie", "Seifen", None)], overrides.RULE_SCHEMA)
+    etl.run({"cards": landed, "search": hits}, rules, f"{tmp_path}/v", as_of())
+    rows = {r.title: r for r in store.current(spark, f"{tmp_path}/v", "offers").collect()}
+    assert set(rows) == {"Frische Milch 1 l", "Seife"}
+    milk = rows["Frische Milch 1 l"]
+    assert (milk.n_merged, milk.source_id, milk.price, milk.promotion_savings.amount, milk.unit_price.amount) == (2, "s1", 1.49, 0.5, 1.49)
+    assert [e.source_id for e in milk.evidence] == ["s1", "s2"]
+    assert (rows["Seife"].category_secondary, rows["Seife"].price, rows["Seife"].unit_price.amount) == ("Seifen", 2.5, 1.25) and "seifen" in rows["Seife"].search_text
+    assert {r.retailer_key: r.active_count for r in store.current(spark, f"{tmp_path}/v", "coverage").collect()} == {"penny": 1, "dm": 1}
+    assert store.current(spark, f"{tmp_path}/v", "main_categories").count() == 2
 
 
 def test_store(spark, tmp_path):

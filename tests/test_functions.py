@@ -24,7 +24,7 @@ def lit(v, kind="string"):
     "function, given, want",
     [
         (text.squeezed, "  a \t b ", "a b"), (text.squeezed, None, ""), (text.match_title, "Crème brûlée, 2 Stück", "creme brulee 2 stuck"), (text.match_title, "Straße", "stra e"),
-        (text.ascii_lower, "Öl Straße é", "oel strasse é"), (text.search_words, "Käse-Brot!", "kaese brot"), (text.slug, "Obst & Gemüse!", "obst-gemuse"), (text.raw_key, "Obst & Gemüse!", "obst-gem-se-"),
+        (text.ascii_lower, "Öl Straße é", "oel strasse é"), (text.search_words, "Käse-Brot!", "kaese brot"), (text.search_words, "Café Crème", "cafe cre me"), (text.search_words, "Cafe\u0301x Ａ", "cafe x a"), (text.match_title, "Łódź šunka ž ő ＡＢ cafe\u0301", "odz sunka z o ab cafe"), (text.slug, "Obst & Gemüse!", "obst-gemuse"), (text.raw_key, "Obst & Gemüse!", "obst-gem-se-"),
         (text.humanized, "obst-gemuse", "obst gemuse"), (text.entities_decoded, "a &amp;lt; &quot;b&quot;", 'a &lt; "b"'), (text.is_broad, "Drogerie / Hygiene", True), (text.is_broad, "Buero / Schule", False),
     ],
 )
@@ -57,6 +57,14 @@ def test_amounts(spark, variant, given, want):
 def test_rounding_and_clamps(spark):
     assert one(spark, numbers.half_up(F.lit(-2.5))) == -2
     assert one(spark, numbers.money(F.lit(0.125))) == 0.13
+    for v, want in ((0.015, 0.01), (0.045, 0.04), (1.005, 1.0), (2.675, 2.67), (0.375, 0.38), (-0.125, -0.13), (1e15, 1e15), (8.345, 8.35), (None, None)):
+        assert one(spark, numbers.money(lit(v, "double"))) == want, v
+    from decimal import ROUND_HALF_UP, Decimal
+
+    thousandths = spark.range(200_001).select((F.col("id") / 1000).alias("v")).select("v", numbers.money(F.col("v")).alias("m"), numbers.cents(F.col("v")).alias("c")).collect()
+    for r in thousandths:
+        cents = int((Decimal(r.v) * 100).quantize(Decimal(1), ROUND_HALF_UP))
+        assert r.c == cents and r.m == cents / 100, r
     assert one(spark, numbers.clamped(lit(None, "double"), 0, 1)) is None
     assert [one(spark, numbers.truthy(lit(v, k), k if k != "double" else "number")) for v, k in ((0.0, "double"), (2.0, "double"), (float("nan"), "double"), (None, "double"), ("", "string"), ("x", "string"))] == [False, True, False, False, False, True]
 
@@ -66,11 +74,15 @@ def test_dates(spark):
     assert one(spark, dates.date_in_text(lit("31.02.2024"))) is None
     assert one(spark, dates.date_in_url(lit("https://x/d.07-05-2024.html"))) == datetime(2024, 5, 7, 12)
     begin, end = dates.date_range(lit("28.12. - 03.01."), as_of())
-    assert (one(spark, begin), one(spark, end)) == (datetime(2024, 12, 28), datetime(2025, 1, 3))
+    assert (one(spark, begin), one(spark, end)) == (datetime(2024, 12, 28, 12), datetime(2025, 1, 3, 12))
     begin, end = dates.date_range(lit("01.02.2023 - 05.02.2023"), as_of())
-    assert (one(spark, begin), one(spark, end)) == (datetime(2023, 2, 1), datetime(2023, 2, 5))
+    assert (one(spark, begin), one(spark, end)) == (datetime(2023, 2, 1, 12), datetime(2023, 2, 5, 12))
     assert one(spark, dates.date_range(lit("bald"), as_of())[0]) is None
-    assert one(spark, dates.latest_date(lit("01.02.2023 und 05.02.2023"))) == datetime(2023, 2, 5)
+    assert one(spark, dates.latest_date(lit("01.02.2023 und 05.02.2023"))) == datetime(2023, 2, 5, 12)
+    begin, end = dates.date_range(lit("30.01.2023 - 31.02.2023"), as_of())
+    assert (one(spark, begin), one(spark, end)) == (datetime(2023, 1, 30, 12), datetime(2023, 3, 3, 12))
+    assert one(spark, dates.date_range(lit("1.2.2023 - 5.2.2023"), as_of())[0]) is None
+    assert one(spark, dates.leaflet_dates(lit("/blatt-06-05-2024-12-05-2024/"))[1]) == datetime(2024, 5, 12, 12)
 
 
 @pytest.mark.parametrize(
@@ -104,7 +116,7 @@ def test_unit_prices(spark):
     "title, conditions, tags, minimum, benefit, want",
     [
         ("x", "", None, 3, "unknown", (3, None, "threshold")), ("x", "", ["pt-2plus1"], None, "unknown", (3, 2, "x-plus-y")), ("Aktion 2+1 gratis", "", None, None, "unknown", (3, 2, "x-plus-y")), ("3 für 2", "", None, None, "unknown", (3, 2, "x-for-y")),
-        ("x", "ab 4 Stk", None, None, "unknown", (4, None, "threshold")), ("x", "", None, None, "multi-buy", (2, None, "multi-buy")), ("x", "", None, None, "unknown", (1, None, "single")),
+        ("x", "ab 4 Stk", None, None, "unknown", (4, None, "threshold")), ("x", "ab 3Stk", None, None, "unknown", (3, None, "threshold")), ("x", "Ab  6 Gläser", None, None, "unknown", (6, None, "threshold")), ("x", "", ["PT-2plus1"], None, "unknown", (3, 2, "x-plus-y")), ("4 FÜR 3", "", None, None, "unknown", (4, 3, "x-for-y")), ("x", "", None, None, "multi-buy", (2, None, "multi-buy")), ("x", "", None, None, "unknown", (1, None, "single")),
     ],
 )
 def test_requirements(spark, title, conditions, tags, minimum, benefit, want):
