@@ -12,6 +12,8 @@ start. Most texts lie at distance 1 from each other, so pivots are taken where p
    the middle of a group of copies. Voronoi cells: a point measures its distance to the pivots that most of its elements
    name (NEAREST at most) and belongs to the nearest, pivots left out that FEW times fewer points measure than another
    one within CLOSE.
+   Links to pivots join points into groups. Only links between groups matter from here on, so what all points of a list
+   have in one group is no element any more.
 3. Windows: a link (x, y) with x of p's cell needs y to share as many elements with p's cell as links do and, by the triangle
    inequality, d(y, p) <= radius(p) + r, the radius being the greatest distance in the cell. Such points y of other cells
    are replicated into p's region, so every link lies in the region of both its ends' cells. An element found in more
@@ -225,27 +227,28 @@ def sets_needed(docs: DataFrame, classes: DataFrame, used: DataFrame, words: int
 
 
 def subregions(near: DataFrame) -> DataFrame:
-    """(g, e, x, size, far, link, own, least, other, n, outer): points of region g by an element e of their heads, where such
-    a list has n > 1 points and `outer` > 0 beyond the limit. other: may be the far end of an outer point's link.
+    """(g, e, x, group, size, far, link, own, least, other, n, outer): points of region g by an element e of their heads, where
+    such a list has n > 1 points, of several groups, and `outer` > 0 beyond the limit. other: may be the far end of an outer
+    point's link.
 
     A point y with at least as many elements outside p as it lacks of p (that is, not smaller than p) must share one of
     the former with x: the overlap exceeds what y lacks. So what points lack of p, the only thing that copies with
     unrelated edits have in common, is a key of y only where y is smaller than p.
     """
-    one = near.select("g", "x", "size", "far", "link", "own", "added", "least", F.posexplode("head").alias("i", "e"))
+    one = near.select("g", "x", "group", "size", "far", "link", "own", "added", "least", F.posexplode("head").alias("i", "e"))
     one = one.withColumn("other", (F.col("i") < F.col("added")) | (2 * F.col("added") < F.col("far"))).filter("other or not link").drop("i", "added").repartition("g", "e")
-    lists = one.groupBy("g", "e").agg(F.count("*").alias("n"), F.count_if(~F.col("link")).alias("outer"), F.max("own").alias("any")).filter("n > 1 and outer > 0 and any")
-    return one.join(lists.drop("any"), ["g", "e"])
+    lists = one.groupBy("g", "e").agg(F.count("*").alias("n"), F.count_if(~F.col("link")).alias("outer"), F.max("own").alias("any"), F.min("group").alias("low"), F.max("group").alias("high"))
+    return one.join(lists.filter("n > 1 and outer > 0 and any and low < high").drop("any", "low", "high"), ["g", "e"])
 
 
 def joined(small: DataFrame, large: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the links with a point beyond the limit in the subregions of small, each of few points. Elements in
+    """(u, v): the links between groups with a point beyond the limit in the subregions of small, each of few points. Elements in
     large subregions count as shared here; pairs that share no others meet there."""
     if large is not None:
         small = small.join(large.groupBy("g", "x").agg(F.count("*").alias("besides")), ["g", "x"], "left").withColumn("least", F.col("least") - F.coalesce("besides", F.lit(0)))
-    x = small.filter("not link").select("g", "e", "x", "size", "far", "own", "least")
-    y = small.filter("other").select("g", "e", F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"), F.col("own").alias("own_y"), F.col("least").alias("least_y"))
-    windows = f"""x <> y and (link_y or x < y) and (own or own_y) and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)
+    x = small.filter("not link").select("g", "e", "x", "group", "size", "far", "own", "least")
+    y = small.filter("other").select("g", "e", F.col("x").alias("y"), F.col("group").alias("group_y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"), F.col("own").alias("own_y"), F.col("least").alias("least_y"))
+    windows = f"""group <> group_y and (link_y or x < y) and (own or own_y) and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)
         and abs(far - far_y) * {100 + percent} <= {100 - percent} * (size + size_y)"""
     pairs = x.join(y, ["g", "e"]).filter(windows).groupBy("g", "x", "y").agg(F.count("*").alias("met"), F.min(F.least("least", "least_y")).alias("least"))
     pairs = common.materialize(pairs.filter("met >= least").select("x", "y").distinct(), "pairs")
@@ -255,8 +258,8 @@ def joined(small: DataFrame, large: DataFrame | None, sets: DataFrame, percent:
 
 
 def settled(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links enough to connect whatever links connect in the regions of near: measured points (g, p, x, own), where
-    g names the region and one end of a link at least must be its own."""
+    """(u, v): links enough to connect whatever links connect in the regions of near: measured points (g, p, x, own, group),
+    where g names the region and one end of a link at least must be its own. Points of one group are connected already."""
     found = None
     for level in range(1, DEPTH + 1):
         direct = near.filter("link and p <> x").select(F.col("p").alias("u"), F.col("x").alias("v"))
@@ -271,7 +274,7 @@ def settled(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         # the middle differs from the pivot in what most points differ from it in, and in little else
         score = large.groupBy("g", "x").agg((F.sum(F.log2("n")) / F.first("far")).cast("float").alias("score"))
         pivots = named_pivots(large.join(score, ["g", "x"]).withColumnRenamed("x", "f"), "g", "e")
-        edges = large.join(pivots, ["g", "e"]).select(F.xxhash64("g", "p").alias("g"), "p", "x", (~F.col("link")).alias("own")).distinct()
+        edges = large.join(pivots, ["g", "e"]).select(F.xxhash64("g", "p").alias("g"), "p", "x", "group", (~F.col("link")).alias("own")).distinct()
         near = common.materialize(measured(common.materialize(edges, "edges"), sets, percent), "near")
         common.discard(busy)
 
@@ -292,11 +295,18 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     ranked = tried.join(met.groupBy("p").agg(F.count("*").alias("named")), "p").select("x", "p", "d", F.when(F.col("d") <= CLOSE, F.col("named")).otherwise(0).alias("named"))
     ranked = ranked.withColumn("few", FEW * F.col("named") < F.max("named").over(others))
     home = ranked.groupBy("x").agg(F.min(F.struct("few", "d", "p")).alias("home")).select("x", F.col("home.p").alias("p"), F.col("home.d").alias("d"))
-    home = common.materialize(home, "home")
-    own = tried.join(home.select("p", "x"), ["p", "x"], "left_semi").withColumn("own", F.lit(True))
-
-    # borders: who shares enough elements with another cell
-    at = common.materialize(mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home")), "f").select("key", F.col("f").alias("x"), "n", "home"), "at")
+    direct = common.materialize(tried.filter("link and p <> x").select(F.col("p").alias("u"), F.col("x").alias("v")), "direct")
+    group = components(direct, classes).select(F.col("f").alias("x"), F.col("label.f").alias("group"))
+    home = common.materialize(home.join(group, "x", "left").withColumn("group", F.coalesce("group", "x")), "home")
+    own = tried.join(home.select("p", "x", "group"), ["p", "x"]).withColumn("own", F.lit(True))
+
+    # borders: who shares enough elements with another cell, of those elements that points of several groups have
+    at = mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home"), "group"), "f").select("key", F.col("f").alias("x"), "n", "home", "group")
+    at = common.materialize(at, "at")
+    mixed = at.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
+    at = at.join(mixed, "key")
+    enough = at.groupBy("x").agg(F.count("*").alias("keys"), F.first("n").alias("n")).filter(F.col("keys") >= _needed(F.col("n"), percent)).select("x")
+    at = common.materialize(at.join(enough, "x", "left_semi").drop("group"), "at")
     cells = common.materialize(at.select("key", F.col("home").alias("p")).distinct(), "cells")
     crowded = common.materialize(cells.groupBy("key").count().filter(F.col("count") > CELLS).select("key"), "crowded")
     across = at.join(cells.join(crowded, "key", "left_anti"), "key").filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("met"), F.first("n").alias("n"))
@@ -307,11 +317,12 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     crowds = in_crowds.join(more, "x").filter(F.col("more") >= _needed(F.col("n"), percent)).select("key", "x").join(pivots, "key").select("p", "x", F.lit(True).alias("own")).distinct()
     edges = border.union(crowds).groupBy("p", "x").agg(F.max("own").alias("own")).join(home.select("p", "x"), ["p", "x"], "left_anti")
     radius = home.groupBy("p").agg(F.max("d").alias("radius"))
+    edges = edges.join(home.select("x", "group"), "x")
     others = measured(common.materialize(edges, "edges"), sets, percent).join(radius, "p", "left")
     others = others.filter(F.col("own") | (F.col("d") <= F.col("radius") + (100 - percent) / 100 + 1e-9)).drop("radius")
     near = common.materialize(own.unionByName(others).withColumn("g", F.col("p")), "near")
     common.discard(shared, tried, at, cells)
-    return settled(near, sets, percent)
+    return direct.union(settled(near, sets, percent))
 
 
 def links_by_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int, keyed: DataFrame) -> DataFrame:
@@ -319,7 +330,7 @@ def links_by_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int,
     shared = common.materialize(shared_keys(keyed), "shared")
     score = shared.groupBy("f").agg(F.count("*").alias("score"))
     pivots = named_pivots(shared.join(score, "f"), "key")
-    edges = shared.join(pivots, "key").select(F.col("p").alias("g"), "p", F.col("f").alias("x"), F.lit(True).alias("own")).filter("p <> x").distinct()
+    edges = shared.join(pivots, "key").select(F.col("p").alias("g"), "p", F.col("f").alias("x"), F.col("f").alias("group"), F.lit(True).alias("own")).filter("p <> x").distinct()
     edges = common.materialize(edges, "edges")
     sets = sets_needed(docs, classes, shared.select("f"), words)
     return settled(common.materialize(measured(edges, sets, percent), "near"), sets, percent)
