@@ -85,3 +85,18 @@ def iso_millis(c: Column) -> Column:
 
 def hours_between(c: Column, as_of: Column) -> Column:
     return (F.unix_millis(as_of) - F.unix_millis(c)) / 3.6e6
+
+
+def add_days(c: Column, n: int) -> Column:
+    """n days of 24 hours later."""
+    return c + F.make_dt_interval(F.lit(n))
+
+
+def in_window(start: Column, end: Column, now: Column) -> Column:
+    """Neither over nor yet to come; an open end doesn't exclude."""
+    return F.coalesce(end >= now, F.lit(True)) & F.coalesce(start <= now, F.lit(True))
+
+
+def last_seen(*times: Column) -> Column:
+    """The first of updated, created, valid to and valid from that is given."""
+    return F.coalesce(*times)

@@ -102,3 +102,9 @@ def sort_score(active: Column, safe: Column, program: Column, conditions: Column
 def consumer_score(base: Column, active: Column, comparable: Column, unit_price: Column, single: Column, program: Column, conditions: Column) -> Column:
     cheap = F.coalesce(F.greatest(F.lit(0), 200 - F.least(F.lit(200), half_up(unit_price * 10))), F.lit(0))
     return base + _points(active, 1000) + _points(comparable, 500) + cheap + _points(single, 100) + _points(~program, 80) + _points(conditions == "", 60)
+
+
+def amount_or_zero(c: Column) -> Column:
+    """c as double, 0 where it is none."""
+    x = c.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x)

@@ -77,3 +77,9 @@ def basket(offers: DataFrame, items: list[str], fields: dict[str, str], alternat
     scored = F.array(*[F.struct(F.lit(i).alias("item_no"), F.lit(w).alias("item"), relevance(cols, w).alias("score")) for i, w in enumerate(wishes)])
     met = offers.select("*", F.explode(F.filter(scored, lambda s: s["score"] > 0)).alias("hit")).select("*", "hit.item_no", "hit.item", "hit.score").drop("hit")
     return top_per_group(met, ["item_no", "item"], [F.desc("score"), "unit_price", "offer_id"], alternatives)
+
+
+def by_unit(scored: DataFrame, n: int) -> DataFrame:
+    """The first n offers of each unit (`unbekannt` where none) with rank_in_unit, by consumer score, unit price, title in German order and id."""
+    named = scored.withColumn("unit", F.coalesce(F.nullif("unit", F.lit("")), F.lit("unbekannt")))
+    return top_per_group(named, ["unit"], [F.desc("consumer_score"), "unit_price", F.collate("title", "de"), "offer_id"], n, "rank_in_unit")

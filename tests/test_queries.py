@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from offerlens.plans import catalog  # noqa: F401 - registers its queries
 from offerlens.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
