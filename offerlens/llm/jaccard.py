@@ -16,7 +16,8 @@ start. Most texts lie at distance 1 from each other, so pivots are taken where p
    have in one group is no element any more.
 3. Windows: a link (x, y) with x of p's cell needs y to share as many elements with p's cell as links do and, by the triangle
    inequality, d(y, p) <= radius(p) + r, the radius being the greatest distance in the cell. Such points y of other cells
-   are replicated into p's region, so every link lies in the region of both its ends' cells. An element found in more
+   are replicated into p's region; of two cells only the one with fewer such points, so a link between cells lies in one
+   of both regions. An element found in more
    than CELLS cells doesn't replicate: its points join the region of the pivot that it names if such elements are all
    that they may share with some.
 4. In a region, points within the limit link to the pivot and so belong together; none of their mutual distances matter
@@ -279,6 +280,18 @@ def settled(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         common.discard(busy)
 
 
+def one_way(border: DataFrame) -> DataFrame:
+    """Of the border points (p, x, home) of two cells those of the cell that has fewer of them.
+
+    Both ends of a link between two cells are border points, each of the other's cell, so one of them in the other's
+    region is enough.
+    """
+    ways = border.groupBy("home", "p").agg(F.count("*").alias("there"))
+    back = ways.select(F.col("p").alias("home"), F.col("home").alias("p"), F.col("there").alias("back"))
+    taken = ways.join(back, ["home", "p"], "left").filter("back is null or there < back or (there = back and home < p)")
+    return border.join(taken.select("home", "p"), ["home", "p"], "left_semi")
+
+
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v) fingerprints of linked points: links enough to connect whatever links connect."""
     shared = common.materialize(shared_keys(agreements(docs, words, percent)), "shared")
@@ -309,10 +322,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     at = common.materialize(at.join(enough, "x", "left_semi").drop("group"), "at")
     cells = common.materialize(at.select("key", F.col("home").alias("p")).distinct(), "cells")
     crowded = common.materialize(cells.groupBy("key").count().filter(F.col("count") > CELLS).select("key"), "crowded")
-    across = at.join(cells.join(crowded, "key", "left_anti"), "key").filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+    across = at.join(cells.join(crowded, "key", "left_anti"), "key").filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("home").alias("home"))
     in_crowds = at.join(crowded, "key", "left_semi")
     more = in_crowds.groupBy("x").agg(F.count("*").alias("more"))
-    border = across.join(more, "x", "left").filter(F.col("met") + F.coalesce("more", F.lit(0)) >= _needed(F.col("n"), percent)).select("p", "x", F.lit(False).alias("own"))
+    border = across.join(more, "x", "left").filter(F.col("met") + F.coalesce("more", F.lit(0)) >= _needed(F.col("n"), percent)).select("p", "x", "home")
+    border = one_way(common.materialize(border, "border")).select("p", "x", F.lit(False).alias("own"))
     # pairs of which one has fewer crowded elements than links share have others in common, and meet at a border
     crowds = in_crowds.join(more, "x").filter(F.col("more") >= _needed(F.col("n"), percent)).select("key", "x").join(pivots, "key").select("p", "x", F.lit(True).alias("own")).distinct()
     edges = border.union(crowds).groupBy("p", "x").agg(F.max("own").alias("own")).join(home.select("p", "x"), ["p", "x"], "left_anti")
