@@ -298,6 +298,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     mine = near_keys(shared, classes, percent)
     pivots = common.materialize(named_pivots(mine, "key"), "pivots")
     sets = sets_needed(docs, classes, mine.select("f").distinct(), words)
+    common.discard(shared)
 
     # cells
     met = mine.join(pivots, "key").groupBy(F.col("f").alias("x"), "p").agg(F.count("*").alias("named"), F.first("keys").alias("keys"))
@@ -312,6 +313,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     group = components(direct, classes).select(F.col("f").alias("x"), F.col("label.f").alias("group"))
     home = common.materialize(home.join(group, "x", "left").withColumn("group", F.coalesce("group", "x")), "home")
     own = tried.join(home.select("p", "x", "group"), ["p", "x"]).withColumn("own", F.lit(True))
+    common.discard(met)
 
     # borders: who shares enough elements with another cell, of those elements that points of several groups have
     at = mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home"), "group"), "f").select("key", F.col("f").alias("x"), "n", "home", "group")
@@ -335,7 +337,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     others = measured(common.materialize(edges, "edges"), sets, percent).join(radius, "p", "left")
     others = others.filter(F.col("own") | (F.col("d") <= F.col("radius") + (100 - percent) / 100 + 1e-9)).drop("radius")
     near = common.materialize(own.unionByName(others).withColumn("g", F.col("p")), "near")
-    common.discard(shared, tried, at, cells)
+    common.discard(tried, at, cells)
     return direct.union(settled(near, sets, percent))
 
 
