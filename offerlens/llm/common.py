@@ -52,12 +52,18 @@ _made: dict[str, list[str]] = {}
 _tag = "query"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared one, which the next stage deletes."""
+    path = f"{shared_dir(spark)}/offerlens/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(_tag, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/offerlens/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.setdefault(_tag, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

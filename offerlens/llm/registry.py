@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import common, html_text, jaccard, language, licenses, minhash, packing, pieces, quality, suffix, toxicity
+from offerlens.llm import common, filter_audit, html_text, jaccard, language, licenses, minhash, packing, pieces, quality, suffix, token_files, toxicity, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -73,6 +73,29 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).eqNullSafe(F.col("was")).alias("lossless"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it is no long."""
+    table = common.table(spark, sf_dir, "embeddings")
+    common.bound_batches(spark)
+    model = whitening.fit(table)
+    rows = whitening.whiten(table, model).select("vec_id", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("i", "whitened"))
+    explained = F.array(*(F.lit(float(e)) for e in model.explained)).cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("i") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("i")).alias("explained"), F.lit(float(model.identity_error)).alias("identity_error")
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder and read back from there."""
+    path = common.new_path(spark, "token-files")
+    token_files.write(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -85,8 +108,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_sampled_pieces": op10_sampled_pieces,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_token_files": op13_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_filter_audit": filter_audit.SQL}
