@@ -44,92 +44,158 @@ END_ID = 0
 LEVEL = 3
 FRAME_IDS = 1 << 20
 FILE_BYTES = 64 << 20
+TEXT_BYTES = 12 << 20
 MANIFEST = "_manifest.json"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 _ENTRY = np.dtype([("size", "<u4"), ("content", "<u4"), ("checksum", "<u4")])
-CACHE_PIECES, LONGEST_PIECE = 300_000, 48
 
 
 # ---- token ids
 
 
 class ByteTokenizer:
-    """The tokenizer's ids of whole texts as little-endian uint32 bytes, with the ids of frequent pieces remembered.
+    """The tokenizer's ids of whole texts as little-endian uint32 bytes; a piece that repeats in a block is encoded once.
 
-    The tokenizer never joins a character to white space that follows it, so a text's ids are those of its pieces,
-    each a run of white space and the characters after it. Texts where that may differ (special tokens, controls
-    1C-1F, which count as white space here and not there) go to the tokenizer whole. The memory of pieces has two
-    generations of at most CACHE_PIECES; longer pieces than LONGEST_PIECE are not kept.
+    The tokenizer never joins a character to white space that follows it, nor a letter to a mark. So texts are cut
+    at spaces and line feeds after something that is no white space, and at MARKS after a-z; their ids are those of
+    the pieces in order. Texts with the marks of special tokens stay whole. Pieces are found in the block's bytes
+    and told apart by Arrow; those of one space or line feed and plain characters go to the tokenizer in long runs,
+    where only their first tokens begin with that character, all others one by one.
     """
 
-    _PIECES = re.compile(r"\s*\S+|\s+")
-    _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    MARKS = b".,;:!?*$%&#|"
+    TOGETHER = 4000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._ids([t])[0] if any(x in t for x in self._WHOLE) else self._PIECES.findall(t) for t in texts]
-        need = set().union(*(p for p in parts if isinstance(p, list))) - self.young.keys()
-        if len(self.young) + len(need) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-            need = set().union(*(p for p in parts if isinstance(p, list)))
-        known = {p: self.old[p] for p in need if p in self.old}
-        new = list(need - known.keys())
-        known |= zip(new, self._ids(new))
-        self.young |= ((p, ids) for p, ids in known.items() if len(p) <= LONGEST_PIECE)
-        known = {p: ids for p, ids in known.items() if len(p) > LONGEST_PIECE}
-        young = self.young
-        if not known:
-            get = young.__getitem__
-        else:
-            get = lambda p: young[p] if p in young else known[p]
-        return [p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts]
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.begins = np.array([t[:1] in ("\u0120", "\u010a") for t in names])  # a space or line feed in the byte alphabet
+        self.gap, self.mark, self.letter, self.blank = (np.zeros(256, bool) for _ in range(4))
+        self.gap[[0x20, 0x0A]] = self.mark[list(self.MARKS)] = self.letter[65:91] = self.letter[97:123] = True
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cuts(self, data: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where pieces begin, the texts' own beginnings included; not within texts that stay whole."""
+        n = len(data)
+        cut = np.zeros(n, bool)
+        solid = (data > 0x20) & (data < 0x7F)
+        # Two- and three-byte white space begins with C2 or E1 to E3: after such a character there is no cut.
+        wide = data >= 0x80
+        wide[1:] &= data[:-1] != 0xC2
+        wide[2:] &= (data[:-2] < 0xE1) | (data[:-2] > 0xE3)
+        solid |= wide
+        cut[1:] = self.gap[data[1:]] & solid[:-1] | self.mark[data[1:]] & self.letter[data[:-1]]
+        for t in np.flatnonzero(whole).tolist():
+            cut[at[t] : at[t + 1]] = False
+        cut[at[:-1][at[:-1] < at[1:]]] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces' ids in one array, and where each one's begin there and how many they are."""
+        data, at = common.utf8(pieces)
+        n = len(pieces)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        blanks = np.concatenate([[0], np.cumsum(self.blank[data])])
+        simple = self.gap[data[at[:-1]]] & (blanks[at[1:]] - blanks[at[:-1]] == 1) & (at[1:] - at[:-1] > 1)
+        runs = np.flatnonzero(simple)
+        ids, length, order = [], [], []
+        alone = np.flatnonzero(~simple).tolist()
+        joined_data, joined = common.utf8(pieces.take(pa.array(runs)))
+        for i in range(0, len(runs), self.TOGETHER):
+            part = joined[i : i + self.TOGETHER + 1]
+            got = self._ids([joined_data[part[0] : part[-1]].tobytes().decode()])[0]
+            starts = np.flatnonzero(self.begins[got])
+            if len(starts) == len(part) - 1:
+                ids.append(got)
+                length.append(np.diff(np.append(starts, len(got))))
+                order.append(runs[i : i + self.TOGETHER])
+            else:
+                alone += runs[i : i + self.TOGETHER].tolist()
+        for k, got in zip(alone, self._ids(pieces.take(pa.array(alone, pa.int64())).to_pylist())):
+            ids.append(got)
+            length.append([len(got)])
+            order.append([k])
+        length, order = np.concatenate(length).astype(np.int64), np.concatenate(order)
+        begin, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        size[order] = length
+        begin[order] = np.cumsum(length) - length
+        return np.concatenate(ids), begin, size
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """texts: a string array; null counts as empty."""
+        import pyarrow.compute as pc
+
+        data, at = common.utf8(texts)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        if not len(data):
+            return [b""] * len(texts)
+        cuts = self._cuts(data, at, pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False))
+        offsets = pa.py_buffer(np.append(cuts, len(data)).astype(np.int64))
+        pieces = pa.LargeStringArray.from_buffers(len(cuts), offsets, pa.py_buffer(data)).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        ids, begin, size = self._learn(pieces.dictionary)
+        length = size[which]
+        ends = np.cumsum(length)
+        out = ids[np.repeat(begin[which] - (ends - length), length) + np.arange(ends[-1])]
+        first = np.concatenate([[0], ends])[np.searchsorted(cuts, at)]
+        return [out[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}
 
 
 def tokenizer_at(path: str) -> ByteTokenizer:
-    """One per Python worker: what it remembers serves later tasks too."""
+    """One per Python worker."""
     if path not in _tokenizers:
         _tokenizers[path] = ByteTokenizer(path)
     return _tokenizers[path]
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(doc_id long, ids binary) in ascending doc_id: the partitions are ranges of it, of about file_bytes of text each.
+def in_order(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """(doc_id long, text) in ascending doc_id: the partitions are ranges of it, of about file_bytes of text each.
 
-    Null and empty texts are END_ID alone. Null ids come first; rows that share an id are ordered by their text's
-    hash, and equal rows may lie in several ranges, so that no id has to fit into one task.
+    A null text becomes empty. Null ids come first; rows that share an id are ordered by their text's hash, and
+    equal rows may lie in several ranges, so that no id has to fit into one task.
     """
-    common.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    ordered = rows.withColumn("tie", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
-    ordered = ordered.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie", "nth").select("doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = tokenizer_at(tokenizer_path), np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            texts, (_, at) = batch.column(1), common.utf8(batch.column(1))
-            first = 0
-            while first < len(texts):
-                last = max(first + 1, int(np.searchsorted(at, at[first] + common.BLOCK_BYTES, "right")) - 1)
-                ids = tokenizer.encode(texts.slice(first, last - first).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([i + end for i in ids], pa.binary())], names=["doc_id", "ids"])
-                first = last
-
-    return ordered.mapInArrow(run, "doc_id long, ids binary")
+    keys = ("doc_id", "tie", "nth")
+    dealt = rows.withColumn("tie", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-total // file_bytes)), *keys)
+    return dealt.sortWithinPartitions(*keys).select("doc_id", "text")
+
+
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and text to ones of doc_id and ids, END_ID last; about TEXT_BYTES of text at a time."""
+    tokenizer, end = tokenizer_at(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+    for table in blocks(batches):
+        ids = tokenizer.encode(table.column("text"))
+        yield pa.RecordBatch.from_arrays([table.column("doc_id"), pa.array([i + end for i in ids], pa.large_binary())], names=["doc_id", "ids"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of whole texts of about size bytes together; smaller batches are joined, larger ones cut."""
+    size, held, n = size or TEXT_BYTES, [], 0
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.large_string())], names=["doc_id", "text"])
+        _, at = common.utf8(batch.column("text"))
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(at, at[first] + size - n, "right")) - 1)
+            held.append(batch.slice(first, last - first))
+            n += int(at[last] - at[first])
+            if n >= size or last < len(batch):
+                yield pa.concat_batches(held)
+                held, n = [], 0
+            first = last
+    if held:
+        yield pa.concat_batches(held)
 
 
 # ---- one file
@@ -255,8 +321,8 @@ class Written(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, level: int, overwrite: bool):
-        self.path, self.level, self.overwrite = path, level, overwrite
+    def __init__(self, path: str, level: int, tokenizer: str | None, overwrite: bool):
+        self.path, self.level, self.tokenizer, self.overwrite = path, level, tokenizer, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -266,7 +332,7 @@ class TokenWriter(DataSourceArrowWriter):
         said = Written(task.partitionId(), None)
         name = f"ids-{task.partitionId():06d}-{uuid.uuid4().hex}.zst"
         sink = writer = None
-        for batch in iterator:
+        for batch in encoded(iterator, self.tokenizer) if self.tokenizer else iterator:
             if not len(batch):
                 continue
             if writer is None:
@@ -389,7 +455,10 @@ class ChoosingReader(TokenReader):
 
 
 class TokenFiles(DataSource):
-    """Options: path, level (of compression) for writing, choosing (take filters) for reading."""
+    """Writes doc_id and ids, or doc_id and text where a tokenizer is named; reads SCHEMA.
+
+    Options: path, level (of compression) and tokenizer (its file) for writing, choosing (take filters) for reading.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -402,7 +471,7 @@ class TokenFiles(DataSource):
         return (ChoosingReader if self.options.get("choosing") == "true" else TokenReader)(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> TokenWriter:
-        return TokenWriter(self.options["path"], int(self.options.get("level", LEVEL)), overwrite)
+        return TokenWriter(self.options["path"], int(self.options.get("level", LEVEL)), self.options.get("tokenizer"), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -415,7 +484,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, file_bytes: int = FIL
     Takes doc_id and text; other columns are left out. An empty table gives a manifest of no files.
     """
     register(docs.sparkSession)
-    encoded(docs, tokenizer_path, file_bytes).write.format("token_files").option("level", level).mode("overwrite").save(path)
+    common.bound_batches(docs.sparkSession)
+    in_order(docs, file_bytes).write.format("token_files").option("level", level).option("tokenizer", tokenizer_path).mode("overwrite").save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

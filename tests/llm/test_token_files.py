@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -25,15 +26,26 @@ def plain(texts):
 
 def test_ids_equal_the_tokenizers(monkeypatch):
     r = random.Random(3)
-    marks = [" ", "  ", "\n", "\t", "'s", "'", ".", "a", "Be", "7", "é", "\xa0", "　", "\x1f", "word", "-"]
-    texts = ODD + ["".join(r.choice(marks) for _ in range(r.randrange(1, 40))) for _ in range(3000)]
+    marks = [" ", "  ", "\n", "\t", "'s", "'", ".", "a", "Be", "7", "é", "\xa0", "\u3000", "\u2028", "\x85", "\x1f", "word", "-", "…", ",", "$$", "語"]
+    texts = [None, *ODD] + ["".join(r.choice(marks) for _ in range(r.randrange(1, 40))) for _ in range(3000)]
     want = [w[:-4] for w in plain(texts)]
     own = token_files.ByteTokenizer(PATH)
-    assert own.encode(texts) == want and own.encode(texts) == want
-    monkeypatch.setattr(token_files, "CACHE_PIECES", 50)
-    own = token_files.ByteTokenizer(PATH)
-    assert [own.encode([t])[0] for t in texts] == want
-    assert len(own.young) <= 50 + 40 and len(own.old) <= 50 + 40
+    assert own.encode(pa.array(texts)) == want
+    assert own.encode(pa.array(["x", *texts]).slice(1)) == want
+    monkeypatch.setattr(own, "begins", ~own.begins)  # runs that can't be told apart are encoded piece by piece
+    assert own.encode(pa.array(texts[:200])) == want[:200]
+    assert own.encode(pa.array([], pa.string())) == [] and own.encode(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
+def test_blocks_hold_all_rows_in_order():
+    texts = ["a" * n for n in (3, 0, 50, 1, 1, 1, 9, 200, 0, 4)] + [None]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for size in (1, 10, 60, 10**6):
+        for cut in (1, 4, 11):
+            got = list(token_files.blocks((rows.slice(i, cut) for i in range(0, len(texts), cut)), size))
+            assert [i for b in got for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+            assert [t for b in got for t in b.column("text").to_pylist()] == texts
+            assert all(sum(len(t or "") for t in b.column("text").to_pylist()[:-1]) <= size for b in got)
 
 
 def file_of(documents, frame_ids=token_files.FRAME_IDS):
