@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import dates, numbers, promotions, text, units
 from offerlens.operators import classify
-from offerlens.sources import registry
+from offerlens.sources import layouts, registry
 
 #: What every connector maps its records to.
 PROMOTION = (
@@ -123,4 +125,23 @@ def from_cards(landed: DataFrame) -> DataFrame:
     ))
 
 
-registry.CONNECTORS.update({"aktionsfinder": from_promotions, "marktguru": from_aggregator_json, "search": from_search_hits, "official": from_flyer_products, "wogibtswas": from_cards, "cards": from_cards})
+def from_layout(layout: str) -> Callable[[DataFrame], DataFrame]:
+    """Pages with cards of this layout (source columns, url, html, fetched_at)."""
+
+    def connector(landed: DataFrame) -> DataFrame:
+        rows = layouts.records(landed, layout)
+        found = units.quantities_in_text(F.when(F.col("quantity_text") != "", F.col("quantity_text")).otherwise(F.col("title")))
+        first, second = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(2))
+        columns = ("source_id", "retailer_key", "retailer_name", "channel", "title", "description", "brand", "price", "old_price", "source_category", "valid_from", "valid_to", "snapshot")
+        return rows.select(*_columns(**{n: F.col(n) for n in columns}, quantity=first["quantity"], unit=first["unit"], packs=second["quantity"], pack_unit=second["unit"], url=F.col("link")))
+
+    return connector
+
+
+def evidence_only(landed: DataFrame) -> DataFrame:
+    """Pages that are kept as evidence and hold no offers."""
+    return landed.select(*_columns()).limit(0)
+
+
+registry.CONNECTORS.update({"aktionsfinder": from_promotions, "marktguru": from_aggregator_json, "search": from_search_hits, "official": from_flyer_products, "cards": from_cards, "wogibtswas": from_layout("product-links"), "evidence": evidence_only})
+registry.CONNECTORS.update({name: from_layout(name) for name in layouts.LAYOUTS})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "source_id string, retailer_key string, retailer_name string, channel string, label string, url string, active boolean"
@@ -75,14 +75,35 @@ def crawl_order(registry: DataFrame, active_offers: DataFrame) -> DataFrame:
 CONNECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
-def connector_of(channel: str, url: str) -> str:
-    """Which connector reads a source: an aggregator by its address, and of official ones sites by their cards, dm's by its
-    search index, leaflets by their flyers."""
-    if channel == "aggregator":
-        return "marktguru" if "marktguru.at/" in url else "wogibtswas" if "wogibtswas.at/" in url else "aktionsfinder"
-    if channel == "official-site":
-        return "search" if "dm.at/" in url else "cards"
-    return "official"
+# Connectors of official sources as (connector, retailer or none, channel or none, part of the address), the first that fits.
+OFFICIAL = (
+    ("hofer", "hofer", "official-flyer", ""),
+    ("search", None, None, "billa.at/unsere-aktionen/aktionen"),
+    ("penny", "penny", None, "penny.at/angebote"),
+    ("official", "lidl", None, "lidl.at/c/flugblatt"),
+    ("bipa", "bipa", None, "bipa.at/cp/aktionen"),
+)
+
+
+def connector_of(retailer: Column, channel: Column, url: Column) -> Column:
+    """Which connector reads a source: an aggregator by its address, an official one by OFFICIAL; pages of others are evidence."""
+    out = F.when(channel == "aggregator", F.when(url.contains("marktguru.at/"), "marktguru").when(url.contains("wogibtswas.at/"), "wogibtswas").otherwise("aktionsfinder"))
+    for name, of, on, part in OFFICIAL:
+        fits = url.contains(part)
+        if of:
+            fits = fits & (retailer == of)
+        if on:
+            fits = fits & (channel == on)
+        out = out.when(fits, name)
+    return out.otherwise("evidence")
+
+
+def dispatched(landed: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """Landed rows (source_id and content) by connector, with their sources' columns. Rows of unknown or inactive sources are left out."""
+    rows = landed.join(sources.filter("active").select("source_id", "retailer_key", "retailer_name", "channel", F.col("url").alias("source_url")), "source_id")
+    rows = rows.withColumn("connector", connector_of(F.col("retailer_key"), F.col("channel"), F.col("source_url")))
+    names = ["marktguru", "wogibtswas", "aktionsfinder", *(n for n, *_ in OFFICIAL), "evidence"]
+    return {n: rows.filter(F.col("connector") == n).drop("connector") for n in names}
 
 
 def offers_of(landed: DataFrame, connector: str) -> DataFrame:
