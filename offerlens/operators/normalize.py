@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import dates, numbers, promotions, text, units
 from offerlens.operators import classify
-from offerlens.sources import layouts, registry
+from offerlens.sources import layouts, nested, registry
 
 #: What every connector maps its records to.
 PROMOTION = (
@@ -143,5 +143,12 @@ def evidence_only(landed: DataFrame) -> DataFrame:
     return landed.select(*_columns()).limit(0)
 
 
-registry.CONNECTORS.update({"aktionsfinder": from_promotions, "marktguru": from_aggregator_json, "search": from_search_hits, "official": from_flyer_products, "cards": from_cards, "wogibtswas": from_layout("product-links"), "evidence": evidence_only})
+def from_promotion_pages(landed: DataFrame) -> DataFrame:
+    """Promotion records as they are, or pages (url, html, retailer_name) with such records in their scripts."""
+    if "promotion" in landed.columns:
+        return from_promotions(landed)
+    return from_promotions(nested.promotions(nested.payloads(landed)))
+
+
+registry.CONNECTORS.update({"aktionsfinder": from_promotion_pages, "marktguru": from_aggregator_json, "search": from_search_hits, "official": from_flyer_products, "cards": from_cards, "wogibtswas": from_layout("product-links"), "evidence": evidence_only})
 registry.CONNECTORS.update({name: from_layout(name) for name in layouts.LAYOUTS})
