@@ -164,3 +164,67 @@ def test_decision_reviews(spark):
     assert d.needs_review and d.reasons == ["category-low-confidence", "subcategory-low-confidence"]
     d = one(spark, classify.decision(lit("Frische Milch")))
     assert (d.secondary, round(d.subcategory_confidence, 9), d.needs_review) == ("Milchprodukte", 0.84, False)
+
+
+def test_words_are_found_as_single_patterns_find_them(spark):
+    """All words of all rules in one pass, against each rule's own pattern."""
+    import random
+    import re
+
+    r = random.Random(7)
+    every = sorted({x.word for x in classify.rules()})
+    texts = ["", "x", *every] + [" ".join(r.choice(every)[: r.randrange(1, 12)] + r.choice(["", "", "s", " ", "ab"]) + r.choice(every) for _ in range(r.randrange(1, 4))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    by = classify.DEFAULT
+    got = df.select("i", by.any.numbers(F.col("t")).alias("a"), by.first.numbers(F.col("t")).alias("o")).collect()
+    patterns = [p for _, _, p in classify.SUB_RULES] + [p for _, p, _ in classify.TAXONOMY]
+    for row in got:
+        t = texts[row.i]
+        assert sorted(row.a) == [k for k, p in enumerate(patterns) if re.search(p, t)], t
+        assert sorted(row.o) == [k for k, (p, _, _) in enumerate(classify.OVERRIDES) if re.search(p, t, re.ASCII)] or not t.isascii(), t
+
+
+def test_classification_of_several_texts(spark):
+    """Scores by hand: the title's hits, hits of context and source, equal and empty texts, precedence on ties."""
+
+    def plain(title, context, source):
+        import re
+
+        key = lambda c: re.sub("[^a-z0-9]+", " ", (c or "").lower()).strip()
+        t, o = key(title), [key(context), key(source)]
+        hay = " ".join(x for x in (t, *o)).strip()
+        for p, m, s in classify.OVERRIDES:
+            if re.search(p, hay):
+                return m, s, 0.98
+        def score(p):
+            n = 4 if t and re.search(p, t) else 0
+            for i, x in enumerate(o):
+                if x and re.search(p, x):
+                    n += 4 if x == t or (i == 0 and not t) else 2
+            return n
+        best = max(((score(p), -i, m, s) for i, (m, s, p) in enumerate(classify.SUB_RULES)))
+        if best[0] >= 2:
+            return best[2], best[3], 0.88
+        best = max(((score(p), -i, m) for i, (m, p, _) in enumerate(classify.TAXONOMY)))
+        label = " ".join((source or "").split())
+        if best[0] >= 2:
+            return best[2], label or best[2], min(1.0, 0.52 + best[0] * 0.06)
+        return "Lebensmittel", label or "Lebensmittel", 0.35
+
+    import itertools
+
+    words = ["", None, "Milch", "Hundefutter Rind", "Bio", "haushalt", "Drucker", "irgendwas", "Apfel Saft", "kinder  garten"]
+    rows = list(itertools.product(words, words, words))
+    df = spark.createDataFrame(rows, "t string, c string, s string")
+    for row in df.select("t", "c", "s", classify.classified(F.col("t"), F.col("c"), F.col("s")).alias("x")).collect():
+        want = plain(row.t, row.c, row.s)
+        assert (row.x.primary, row.x.secondary) == want[:2] and abs(row.x.confidence - want[2]) < 1e-12, (row, want)
+
+
+def test_rules_are_a_table(spark):
+    table = classify.rules_table(spark)
+    assert table.filter("kind = 'sub'").select("number").distinct().count() == len(classify.SUB_RULES)
+    kept = [classify.Rule(*r) for r in table.filter("main <> 'Tierbedarf'").collect()]
+    other = classify.Classifier([*kept, classify.Rule("override", 99, "Neu", "Ganz neu", "hund")])
+    row = spark.range(1).select(classify.classified(F.lit("Hund Futter"), by=other).alias("a"), classify.classified(F.lit("Hundefutter"), by=other).alias("b")).first()
+    assert (row.a.primary, row.a.secondary) == ("Neu", "Ganz neu") and row.b.primary != "Tierbedarf"
