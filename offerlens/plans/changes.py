@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from offerlens.functions import numbers
 from offerlens.operators import overrides
 from offerlens.plans.offers import as_of, table
 from offerlens.plans.queries import _RULES_SQL, _articles, query
-from offerlens.sources import shared, versions
+from offerlens.sources import paged, shared, versions
 
 
 @query(f"""WITH {_RULES_SQL} SELECT offer_id, retailer_key,
@@ -28,3 +29,26 @@ def q_override_changes(spark, d):
     ):
         rules, _ = overrides.change_stored(spark, root, rules, rule(rules))
     return versions.read(spark, root).select("offer_id", "retailer_key", "rule_id", "category_primary", "category_secondary")
+
+
+PAGE = 25
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_name, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, c_custkey % 8 AS s, c_custkey // 8 // {PAGE} AS page, c_custkey // 8 % {PAGE} AS place FROM customer),
+landed AS (SELECT * FROM c WHERE NOT (s % 5 = 1 AND page = 1 AND place = {PAGE - 1}) AND NOT (s % 5 = 2 AND page = 1)), pages AS (SELECT DISTINCT s, page FROM c),
+n AS (SELECT p.s, p.page, count(c_custkey) AS n FROM pages p LEFT JOIN landed l ON l.s = p.s AND l.page = p.page GROUP BY ALL), ends AS (SELECT s, min(page) AS last FROM n WHERE n < {PAGE} GROUP BY s)
+SELECT CAST(l.s AS VARCHAR) AS source_id, CAST(l.page AS BIGINT) AS page, CAST(l.place AS BIGINT) AS place, c_custkey AS id, c_name AS name, cents FROM landed l LEFT JOIN ends e ON e.s = l.s WHERE l.page <= coalesce(e.last, l.page)""")
+def q_paged_items(spark, d):
+    """Customers landed as JSON pages of eight offset sources; in some a page is short or broken, and what follows doesn't count."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select((k % 8).alias("source_id"), F.floor(F.floor(k / 8) / PAGE).alias("page"), (F.floor(k / 8) % PAGE).alias("place"), F.struct(k.alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("item"))
+    entries = F.transform(F.array_sort(F.collect_list(F.when(~((F.col("source_id") % 5 == 1) & (F.col("page") == 1) & (F.col("place") == PAGE - 1)), F.struct("place", "item")))), lambda x: x["item"])
+    bodies = rows.groupBy("source_id", "page").agg(entries.alias("results"))  # PAGE entries
+    totals = rows.groupBy("source_id").agg(F.count("*").alias("totalResults"))
+    bodies = bodies.join(totals, "source_id")
+    root = shared.new_path(spark, "paged-items")
+    body = F.when((F.col("source_id") % 5 == 2) & (F.col("page") == 1), '{"results": [').otherwise(F.to_json(F.struct("results", "totalResults")))
+    bodies.select("source_id", "page", body.alias("value")).write.partitionBy("source_id", "page").text(root)
+    item = F.from_json("item", "id long, name string, balance double")
+    found = paged.offset_items(spark, root, PAGE).withColumn("item", item)
+    return found.select("source_id", F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"), "item.id", "item.name", numbers.cents(F.col("item.balance")).alias("cents"))
