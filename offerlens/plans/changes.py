@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from offerlens.functions import numbers
+from offerlens.functions import numbers, sparse
 from offerlens.operators import overrides
 from offerlens.plans.offers import as_of, table
-from offerlens.plans.queries import _RULES_SQL, _articles, query
-from offerlens.sources import paged, shared, versions
+from offerlens.plans.queries import _RULES_SQL, QUERIES, SQL, _articles, query
+from offerlens.sources import memo, paged, shared, versions
 
 
 @query(f"""WITH {_RULES_SQL} SELECT offer_id, retailer_key,
@@ -52,3 +54,33 @@ def q_paged_items(spark, d):
     item = F.from_json("item", "id long, name string, balance double")
     found = paged.offset_items(spark, root, PAGE).withColumn("item", item)
     return found.select("source_id", F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"), "item.id", "item.name", numbers.cents(F.col("item.balance")).alias("cents"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS s, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS title FROM customer)
+SELECT k AS id, '{"title":"' || title || '","long":"' || substr(repeat(n || '-', 30), 1, 240) || '","active":' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || ',"count":' || k % 5 || CASE WHEN k % 4 = 0 THEN '' ELSE ',"missing":"m"' END
+  || ',"tags":["a","' || repeat('t', 120) || '","b","c","d"]' || ',"items":[{"name":"x ' || k || '","n":' || k || '}],"inner":{' || CASE WHEN k % 7 = 0 THEN '' ELSE '"code":"' || s || '",' END || '"flag":false},"by_key":{"s":"' || s || '"}}' AS compact,
+ '{' || array_to_string(list_filter([CASE WHEN title <> '' THEN '"title":"  ' || title || ' "' END, CASE WHEN k % 2 = 0 THEN '"active":true' END, '"count":' || k % 5, CASE WHEN k % 4 <> 0 THEN '"missing":"m"' END], lambda x: x IS NOT NULL), ',') || '}' AS sparse
+FROM c""")
+def q_sparse_payload(spark, d):
+    """Payloads of customers, compacted and without empty entries, as JSON."""
+    k, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    title = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("  "), name, F.lit(" ")))
+    missing, active, count = F.when(k % 4 != 0, "m"), k % 2 == 0, (k % 5).cast("int")
+    deep = F.struct(F.lit("z").alias("z"))
+    payload = F.struct(
+        title.alias("title"), F.repeat(F.concat(name, F.lit("-")), 30).alias("long"), active.alias("active"), count.alias("count"), missing.alias("missing"), F.array(F.lit(" "), F.lit("a"), F.lit("t" * 130), F.lit(None), F.lit("b"), F.lit("c"), F.lit("d"), F.lit("e")).alias("tags"),
+        F.array(F.lit(1), k).alias("numbers"), F.array().cast("array<string>").alias("none"), F.array(F.struct(F.concat(F.lit("x "), k).alias("name"), deep.alias("deep"), k.alias("n")), F.lit(None)).alias("items"),
+        F.struct(F.when(k % 7 != 0, segment).alias("code"), F.lit(False).alias("flag"), deep.alias("deep")).alias("inner"), F.struct(deep.alias("deep")).alias("bare"), F.struct(F.lit(None).cast("string").alias("x")).alias("hollow"), F.create_map(F.lit("s"), segment).alias("by_key"),
+    )
+    rows = table(spark, d, "customer").select(k.alias("id"), payload.alias("payload"), F.struct(title.alias("title"), active.alias("active"), count.alias("count"), missing.alias("missing")).alias("facts"))
+    kind = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.select("id", F.to_json(sparse.compacted(F.col("payload"), kind["payload"])).alias("compact"), F.to_json(sparse.without_empty(F.col("facts"), kind["facts"])).alias("sparse"))
+
+
+@query(SQL["q_topk_ranking"])
+def q_ranking_memo(spark, d):
+    """A ranking asked twice in other words: the second answer is the kept one."""
+    kept, now = memo.Memo(spark, shared.new_path(spark, "ranking-memo")), datetime(2025, 5, 10, 12)
+    make = lambda: QUERIES["q_topk_ranking"](spark, d)
+    kept.remember("1", "top", {"q": " Milch ", "retailers": "spar,billa", "public": "true"}, make, now)
+    return kept.get("1", "top", {"public": True, "retailers": ["billa", "spar"], "q": "milch"}, now)

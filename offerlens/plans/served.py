@@ -5,11 +5,14 @@ Each takes DataFrames and plain parameters and returns DataFrames; `as_of` stand
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import numbers, text
 from offerlens.operators import audit, compare, dedupe, metadata, ranking
+from offerlens.sources import memo, versions
 
 
 def parse_limit(value, default: int = 30) -> int | None:
@@ -54,6 +57,25 @@ def offer_ranking(offers: DataFrame, categories=(), q: str = "", unit: str = "al
     return {"items": shown, "retailers": counts, "units": offers.filter("is_active").select("unit").distinct().orderBy("unit")}
 
 
+def remembered_ranking(kept: memo.Memo, root: str, now: datetime, **params) -> dict[str, DataFrame]:
+    """offer_ranking over the offers stored at root (sources.versions), each of its tables kept by the question and the
+    version asked: a change of the offers asks anew."""
+    version = versions.state(kept.spark, root).version
+    made: dict[str, DataFrame] = {}
+
+    def make(name: str) -> DataFrame:
+        if not made:
+            made.update(offer_ranking(versions.read(kept.spark, root), **params))
+        return made[name]
+
+    return {name: kept.remember(version, f"ranking-{name}", params, lambda n=name: make(n), now) for name in ("items", "retailers", "units")}
+
+
+def snapshot(df: DataFrame, seconds: float = 8.0) -> DataFrame:
+    """df, or no rows where it takes longer than a dashboard waits."""
+    return memo.within(df, seconds)[0]
+
+
 def basket_suggestions(offers: DataFrame, items: str, categories=(), retailers=(), programs=(), only_public: bool = False, alternatives: int = 3) -> dict[str, DataFrame]:
     """matches (the best offers of each wish) and mix (offers and sum of the best ones by retailer)."""
     rows = offers.filter("is_active and comparison_safe").filter(ranking.filters(parse_list(categories), parse_list(retailers), "all", only_public, parse_list(programs)))
