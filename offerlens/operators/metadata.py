@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from offerlens.functions import text
 
 # Active offers expected of a retailer; others 25.
 COVERAGE_TARGETS = {"hofer": 60, "lidl": 100, "spar": 80, "billa": 90, "billa-plus": 90, "penny": 40, "adeg": 35, "dm": 35, "bipa": 45}
@@ -61,3 +64,33 @@ def category_tree(offers: DataFrame) -> DataFrame:
     entry = F.struct((-F.col("active")).alias("o"), F.col("sub_key").alias("k"))
     tree = subs.groupBy("main_key").agg(F.sum("active").alias("active_count"), F.array_sort(F.collect_list(entry)).alias("e"))
     return tree.select("main_key", "active_count", F.transform("e", lambda x: F.struct(x["k"].alias("sub_key"), (-x["o"]).alias("active"))).alias("subs"))
+
+
+def totals(offers: DataFrame) -> DataFrame:
+    """level (all, main, sub), main_key, sub_key, offer_count, active_count, retailer_count and the price sum in one pass of
+    grouping sets: partial sums of all three levels meet in one shuffle. Offers without a key count under an empty one.
+    An empty table has no totals."""
+    keyed = offers.withColumns({"main_key": F.coalesce("main_key", F.lit("")), "sub_key": F.coalesce("sub_key", F.lit(""))})
+    main, sub = F.col("main_key"), F.col("sub_key")
+    out = keyed.groupingSets([[main, sub], [main], []], main, sub).agg(
+        F.count("*").alias("offer_count"), F.count_if("is_active").alias("active_count"), F.count_distinct("retailer_key").alias("retailer_count"), F.coalesce(F.sum(F.col("price").cast("decimal(18,2)")), F.lit(0)).alias("price_sum"),
+        F.element_at(F.array(F.lit("sub"), F.lit("main"), F.lit("?"), F.lit("all")), F.grouping_id("main_key", "sub_key").cast("int") + 1).alias("level"),
+    )
+    return out.select("level", F.coalesce("main_key", F.lit("")).alias("main_key"), F.coalesce("sub_key", F.lit("")).alias("sub_key"), "offer_count", "active_count", "retailer_count", "price_sum")
+
+
+def label_counts(offers: DataFrame) -> DataFrame:
+    """label, n and place of main and subcategory labels: a label's offers as main and as subcategory add up; broad and empty
+    labels are left out. In order of count, then of the label in German order."""
+    main, sub = F.col("category_primary"), F.col("category_secondary")
+    rows = offers.groupingSets([[main], [sub]], main, sub).agg(F.count("*").alias("n"), F.grouping("category_primary").alias("g"))
+    label = F.trim(F.when(F.col("g") == 0, main).otherwise(sub))
+    counts = rows.select(label.alias("label"), "n").filter((F.col("label") != "") & ~text.is_broad(F.col("label"))).groupBy("label").agg(F.sum("n").alias("n"))
+    # labels are the taxonomy's: few, so that one task can number them
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.collate("label", "de"), "label")))
+
+
+def subcategory_options(pairs: DataFrame, order: str = "sub") -> DataFrame:
+    """One row with options: a map from each main category to its subcategories in order; pairs has main, sub and order."""
+    subs = pairs.filter("main <> ''").groupBy("main").agg(F.array_sort(F.collect_set(F.struct(F.col(order).alias("o"), F.col("sub").alias("s")))).alias("e"))
+    return subs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("main", F.transform("e", lambda x: x["s"]).alias("subs"))))).alias("options"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerlens.functions import dates, numbers
-from offerlens.operators import cache, compare, coverage, dedupe, ranking
+from offerlens.operators import cache, compare, coverage, dedupe, metadata, ranking
 from offerlens.plans.offers import OFFERS_SQL, money_sql, offer_view, table
 from offerlens.plans.queries import _CONSUMER_SQL, _scores, query
 
@@ -146,3 +146,22 @@ coalesce(TRY_CAST(o_orderpriority[1:1] AS DOUBLE), 0) AS amount FROM orders""")
 def q_days_and_windows(spark, d):
     until, now = dates.add_days(F.col("o_orderdate").cast("timestamp_ntz"), 14), F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
     return table(spark, d, "orders").select("o_orderkey", until.alias("until"), dates.in_window(F.col("o_orderdate").cast("timestamp_ntz"), until, now).alias("open"), numbers.amount_or_zero(F.substring("o_orderpriority", 1, 1)).alias("amount"))
+
+
+@query(f"""WITH {OFFERS_SQL} SELECT CASE grouping(main_key) + grouping(sub_key) WHEN 0 THEN 'sub' WHEN 1 THEN 'main' ELSE 'all' END AS level, coalesce(main_key, '') AS main_key, coalesce(sub_key, '') AS sub_key, count(*) AS offer_count, count(*) FILTER (is_active) AS active_count,
+ count(DISTINCT retailer_key) AS retailer_count, CAST(round(sum(CAST(price AS DECIMAL(18, 2))) * 100) AS BIGINT) AS cents FROM offers GROUP BY GROUPING SETS ((main_key, sub_key), (main_key), ())""")
+def q_category_totals(spark, d):
+    return metadata.totals(offer_view(spark, d)).withColumn("cents", (F.col("price_sum") * 100).cast("long")).drop("price_sum")
+
+
+@query(f"""WITH {OFFERS_SQL}, l AS (SELECT CASE WHEN category_primary = 'SMALL' THEN 'Haushalt' ELSE category_primary END AS label FROM offers UNION ALL SELECT category_secondary FROM offers), c AS (SELECT label, count(*) AS n FROM l WHERE label <> 'Haushalt' GROUP BY label)
+SELECT label, n, row_number() OVER (ORDER BY n DESC, lower(label), label) AS place FROM c""")
+def q_label_counts(spark, d):
+    broad = F.when(F.col("category_primary") == "SMALL", "Haushalt").otherwise(F.col("category_primary"))
+    return metadata.label_counts(offer_view(spark, d).withColumn("category_primary", broad)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT p_type AS main, string_agg(DISTINCT string_split(p_name, ' ')[-1], '|' ORDER BY string_split(p_name, ' ')[-1]) AS subs FROM part GROUP BY p_type")
+def q_subcategory_options(spark, d):
+    pairs = table(spark, d, "part").select(F.col("p_type").alias("main"), F.element_at(F.split("p_name", " "), -1).alias("sub"))
+    return metadata.subcategory_options(pairs).select(F.explode("options").alias("main", "subs")).select("main", F.array_join("subs", "|").alias("subs"))

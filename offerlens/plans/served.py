@@ -77,12 +77,16 @@ def snapshot(df: DataFrame, seconds: float = 8.0) -> DataFrame:
 
 
 def basket_suggestions(offers: DataFrame, items: str, categories=(), retailers=(), programs=(), only_public: bool = False, alternatives: int = 3) -> dict[str, DataFrame]:
-    """matches (the best offers of each wish) and mix (offers and sum of the best ones by retailer)."""
+    """matches (the best offers of each wish), mix (offers and sum of the best ones by retailer) and summary (the same of all,
+    with the numbers of wishes and retailers): mix and summary are two levels of one grouping."""
     rows = offers.filter("is_active and comparison_safe").filter(ranking.filters(parse_list(categories), parse_list(retailers), "all", only_public, parse_list(programs)))
     wishes = [x for line in items.split("\n") for x in line.split(",")]
     found = ranking.basket(rows, wishes, {"title": "title", "category_secondary": "category_secondary", "brand": "brand", "category_primary": "category_primary"}, alternatives)
-    mix = found.filter("rank = 1").groupBy("retailer_key").agg(F.count("*").alias("n"), F.sum(F.col("price").cast("decimal(18,2)")).alias("total"))
-    return {"matches": found, "mix": mix.orderBy(F.desc("n"), "retailer_key")}
+    levels = found.filter("rank = 1").rollup("retailer_key").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("price").cast("decimal(18,2)")), F.lit(0)).cast("decimal(28,2)").alias("total"), F.count_distinct("retailer_key").alias("retailers"), F.grouping("retailer_key").alias("all"))
+    n_wishes = len([x for x in wishes if x.strip()][:12])
+    or_zero = lambda c: F.coalesce(F.max(c), F.lit(0))  # noqa: E731 - one row, also where no wish is met
+    summary = levels.filter("all = 1").agg(F.lit(n_wishes).alias("item_count"), or_zero("n").alias("matched_count"), or_zero("total").alias("total"), or_zero("retailers").alias("retailer_count"))
+    return {"matches": found, "mix": levels.filter("all = 0").select("retailer_key", "n", "total").orderBy(F.desc("n"), "total", "retailer_key"), "summary": summary}
 
 
 def comparisons(offers: DataFrame, top: int = 20) -> dict[str, DataFrame]:
