@@ -15,13 +15,16 @@ WORD_POINTS = {"title": 24, "category_secondary": 18, "brand": 16, "category_pri
 
 def relevance(fields: dict[str, Column], query: str) -> Column:
     """Points of a query in the given fields; an empty query scores 1. Words of the query are known when the plan is built."""
+    return points({k: text.search_words(c) for k, c in fields.items()}, query)
+
+
+def points(prepared: dict[str, Column], query: str) -> Column:
+    """relevance over fields whose search words are there already; they are named once for each word of the query."""
     words = [w for w in _search(query) if w]
     if not words:
         return F.lit(1)
     phrase, total = " ".join(words), F.lit(0)
-    prepared = {k: text.search_words(c) for k, c in fields.items()}
-    prepared["aggregate"] = F.concat_ws(" ", *prepared.values())
-    for name, c in prepared.items():
+    for name, c in (prepared | {"aggregate": F.concat_ws(" ", *prepared.values())}).items():
         total = total + F.when(text.has_phrase(c, F.lit(phrase)), PHRASE_POINTS.get(name, 0)).otherwise(0)
         if name in WORD_POINTS:
             for w in words:
@@ -73,9 +76,10 @@ def basket(offers: DataFrame, items: list[str], fields: dict[str, str], alternat
     """item, rank, offer columns and score of the best matches of each wish; at most 12 wishes, scored in one pass over
     the offers, each row bringing only the wishes that it meets."""
     wishes = [x.strip() for x in items if x.strip()][:12]
-    cols = {k: F.col(v) for k, v in fields.items()}
-    scored = F.array(*[F.struct(F.lit(i).alias("item_no"), F.lit(w).alias("item"), relevance(cols, w).alias("score")) for i, w in enumerate(wishes)])
-    met = offers.select("*", F.explode(F.filter(scored, lambda s: s["score"] > 0)).alias("hit")).select("*", "hit.item_no", "hit.item", "hit.score").drop("hit")
+    ready = {k: F.col(f"__words_{k}") for k in fields}
+    prepared = offers.withColumns({f"__words_{k}": text.search_words(F.col(v)) for k, v in fields.items()})  # once a row, not once a word
+    scored = F.array(*[F.struct(F.lit(i).alias("item_no"), F.lit(w).alias("item"), points(ready, w).alias("score")) for i, w in enumerate(wishes)])
+    met = prepared.select(*offers.columns, F.explode(F.filter(scored, lambda s: s["score"] > 0)).alias("hit")).select(*offers.columns, "hit.item_no", "hit.item", "hit.score")
     return top_per_group(met, ["item_no", "item"], [F.desc("score"), "unit_price", "offer_id"], alternatives)
 
 
