@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import dates, numbers
 from offerlens.operators import cache, compare, coverage, dedupe, metadata, ranking
+from offerlens.plans import served
 from offerlens.plans.offers import OFFERS_SQL, money_sql, offer_view, table
-from offerlens.plans.queries import _CONSUMER_SQL, _scores, query
+from offerlens.plans.queries import _CONSUMER_SQL, _SCORE_SQL, _scores, _some, query
 
 #: The moment at which crawls of the stand-in log (events) are fresh or old.
 CRAWLED_AT = "2024-01-20 00:00:00"
@@ -165,3 +166,44 @@ def q_label_counts(spark, d):
 def q_subcategory_options(spark, d):
     pairs = table(spark, d, "part").select(F.col("p_type").alias("main"), F.element_at(F.split("p_name", " "), -1).alias("sub"))
     return metadata.subcategory_options(pairs).select(F.explode("options").alias("main", "subs")).select("main", F.array_join("subs", "|").alias("subs"))
+
+
+# ---- the ranked search in full
+
+_RANKED_SQL = f"""WITH {OFFERS_SQL}, m AS (SELECT * REPLACE (CASE offer_id % 4 WHEN 0 THEN replace(title, 'o', 'ö') WHEN 1 THEN upper(title) WHEN 2 THEN replace(title, 'i', 'Ï') ELSE title END AS title, floor(unit_price / 100) AS unit_price,
+  CASE offer_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'kg' ELSE 'l' END AS unit, CASE WHEN offer_id % 5 = 0 THEN '' ELSE dedupe_key END AS dedupe_key), {_SCORE_SQL} AS sort_score, offer_id % 7 = 0 AS conditioned, offer_id % 11 = 0 AS multi, CASE WHEN offer_id % 13 = 0 THEN 3 END AS minimum FROM offers WHERE is_active),
+own AS (SELECT s_name FROM supplier WHERE s_suppkey IN (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 5)), e AS (SELECT * FROM m WHERE NOT program_required OR retailer_key IN (SELECT s_name FROM own)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nullif(dedupe_key, ''), CASE WHEN dedupe_key = '' THEN (retailer_key, category_key, title, brand, unit_price, valid_to) END ORDER BY unit_price, lower(strip_accents(title)), lower(title), title DESC, offer_id) AS n FROM e) WHERE n = 1),
+s AS (SELECT *, CAST(sort_score + 1000 + (CASE WHEN comparison_safe THEN 500 ELSE 0 END) + (CASE WHEN unit_price > 0 THEN greatest(0, 200 - least(200, floor(unit_price * 10 + 0.5))) ELSE 0 END) + (CASE WHEN NOT multi AND minimum IS NULL THEN 100 ELSE 0 END)
+  + (CASE WHEN NOT program_required THEN 80 ELSE 0 END) + (CASE WHEN NOT conditioned THEN 60 ELSE 0 END) AS BIGINT) AS consumer_score, program_required OR conditioned OR multi AS tied FROM one),
+r AS (SELECT *, row_number() OVER (ORDER BY consumer_score DESC, unit_price, tied, lower(strip_accents(title)), lower(title), title DESC, offer_id) AS rank FROM s), i AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY rank) AS rank_in_unit FROM r WHERE rank <= 500),
+b AS (SELECT max(unit_price) FILTER (rank = 1) AS best, max_by(unit_price, rank) AS worst, count(*) AS shown FROM i)"""
+_SIGNED = lambda x: f"(sign({x}) * {money_sql(f'abs({x})')})"
+
+
+def _ranked(spark, d):
+    n = F.col("offer_id")
+    title = F.when(n % 4 == 0, F.replace("title", F.lit("o"), F.lit("ö"))).when(n % 4 == 1, F.upper("title")).when(n % 4 == 2, F.replace("title", F.lit("i"), F.lit("Ï"))).otherwise(F.col("title"))
+    offers = offer_view(spark, d).withColumn("sort_score", _scores()[0]).withColumns({
+        "title": title, "unit_price": F.floor(F.col("unit_price") / 100).cast("double"), "unit": F.when(n % 3 == 0, "").when(n % 3 == 1, "kg").otherwise("l"), "dedupe_key": F.when(n % 5 != 0, F.col("dedupe_key")), "has_conditions": n % 7 == 0,
+        "is_multi_buy": n % 11 == 0, "minimum_purchase_quantity": F.when(n % 13 == 0, 3), "comparison_group": F.col("brand"),
+    })
+    return served.offer_ranking(offers, programs=_some(spark, d, 5), limit=500)
+
+
+@query(f"""{_RANKED_SQL} SELECT offer_id, title, unit, unit_price, consumer_score, rank, rank_in_unit, best AS best_unit_price, CASE WHEN best <> 0 THEN {_SIGNED('(unit_price - best) / best * 100')} ELSE 0 END AS gap_to_best,
+CASE WHEN best <> 0 AND worst <> 0 AND best <> worst THEN {_SIGNED('(unit_price - best) / (worst - best) * 100')} ELSE 0 END AS relative_position, CAST(coalesce(minimum, 1) AS INTEGER) AS bought, 'gueltig bis' AS validity_label FROM i, b""")
+def q_ranking_full(spark, d):
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return _ranked(spark, d)["items"].select("offer_id", "title", "unit", "unit_price", long("consumer_score"), long("rank"), long("rank_in_unit"), "best_unit_price", "gap_to_best", "relative_position", F.col("minimum_purchase_qty").alias("bought"), "validity_label")
+
+
+@query(f"""{_RANKED_SQL} SELECT count(*) AS result_count, max(shown) AS displayed_count, '500' AS requested_display, count(*) = max(shown) AS complete_result_set_visible, max(best) AS best_unit_price, max(worst) AS worst_unit_price,
+CASE WHEN max(best) <> 0 AND max(worst) <> 0 THEN {_SIGNED('(max(worst) - max(best)) / max(best) * 100')} ELSE 0 END AS spread_percent FROM s, b""")
+def q_ranking_summary(spark, d):
+    return _ranked(spark, d)["summary"]
+
+
+@query(f"{_RANKED_SQL} SELECT CASE unit WHEN '' THEN 'unbekannt' ELSE unit END AS unit, count(*) AS n, max(consumer_score) AS top_score, min(unit_price) AS best_price FROM i GROUP BY 1")
+def q_ranking_groups(spark, d):
+    return _ranked(spark, d)["groups"].withColumn("top_score", F.col("top_score").cast("long"))

@@ -5,13 +5,14 @@ Each takes DataFrames and plain parameters and returns DataFrames; `as_of` stand
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.functions import numbers, text
-from offerlens.operators import audit, compare, dedupe, metadata, ranking
+from offerlens.functions import numbers
+from offerlens.operators import audit, compare, metadata, ranking
 from offerlens.sources import memo, versions
 
 
@@ -30,31 +31,47 @@ def parse_list(value) -> list[str]:
     return [p for p in (str(x).strip() for x in parts) if p]
 
 
+def flat(stored: DataFrame) -> DataFrame:
+    """Offers as ingest stores them, in the flat form that the served queries read: unit price and savings apart from their structs."""
+    c = F.col
+    return stored.withColumnsRenamed({"unit_price": "__priced", "unit": "quantity_unit"}).withColumns({
+        "unit_price": c("__priced.amount"), "unit": c("__priced.unit"), "comparable_unit": c("__priced.unit"), "savings_amount": c("promotion_savings.amount"), "savings_percent": c("promotion_savings.percent"), "minimum_purchase_quantity": c("needs.required"),
+        "effective_discount_type": c("discount_type"), "is_multi_buy": c("discount_type") == "multi-buy", "conditions_text": c("conditions"), "has_conditions": F.coalesce(F.trim("conditions"), F.lit("")) != "", "subcategory_key": c("category_key"),
+        "has_reference_price": c("reference").isNotNull(), "evidence_urls": F.array_distinct(F.array_compact(c("evidence.url"))), "source_types": F.array_distinct(F.array_compact(c("evidence.channel"))),
+    }).drop("__priced")
+
+
 def offer_ranking(offers: DataFrame, categories=(), q: str = "", unit: str = "all", retailers=(), programs=(), only_public: bool = False, limit=30) -> dict[str, DataFrame]:
-    """items (best first, with gap to the first one's price and rank in their unit), retailers and units of the result.
+    """What a ranked search shows: items (ranking.SHOWN, best first), groups (units by their best score), retailers (of the items,
+    by number), summary (one row), units and category labels to choose from.
 
-    Duplicates by dedupe_key fall to the most relevant, then cheapest. The order is consumer score, relevance, unit
-    price, title, id; the prices of the first and the last row are the result's ends.
+    Offers need offer_id; other columns may be missing (ranking.complete). Of duplicates by dedupe_key, offer_key or the
+    fallback key, the most relevant and cheapest stays. With a limit, items have rank and rank_in_unit; with limit="all"
+    these are null and the order is the table's own, so that no task holds all items.
     """
-    fields = {"title": F.col("title"), "category_secondary": F.col("category_secondary"), "brand": F.col("brand"), "category_primary": F.col("category_primary"), "retailer": F.col("retailer_key")}
-    slugs = [c.strip().lower() for c in parse_list(categories)]
-    rows = offers.filter("is_active").filter(ranking.filters(slugs, parse_list(retailers), unit, only_public, parse_list(programs)))
-    rows = rows.withColumn("relevance", ranking.relevance(fields, q)).filter("relevance > 0")
-    rows = dedupe.first_wins(rows, ["dedupe_key"], [F.desc("relevance"), "unit_price", "offer_id"])
-    none = F.lit("")
-    base = numbers.sort_score(F.col("is_active"), F.col("comparison_safe"), F.col("program_required"), none, F.col("quantity"), F.col("confidence"), F.col("unit_price"))
-    score = numbers.consumer_score(base, F.col("is_active"), F.col("comparison_safe"), F.col("unit_price"), F.col("quantity") <= 1, F.col("program_required"), none)
-    rows = rows.withColumns({"consumer_score": score, "display_category": text.display_category(F.col("category_secondary"), F.col("category_primary"))})
-    order = [F.desc("consumer_score"), F.desc("relevance"), "unit_price", "title", "offer_id"]
-    items = rows.orderBy(*order)
+    slugs = [re.sub("[^a-z0-9]+", "-", c.lower()) for c in parse_list(categories)]
+    current = ranking.complete(offers).filter((F.col("status") == "active") & F.col("is_active"))
+    candidates = current.filter(ranking.chosen(slugs, parse_list(retailers)))
+    eligible = ranking.eligible(F.col("program_required"), F.col("retailer_key"), only_public, parse_list(programs))
+    found = ranking.scored(ranking.matches(candidates.filter(eligible & ranking.in_unit(unit)), q))
     n = parse_limit(limit)
-    items = items.limit(n) if n else items
-    place = F.struct((-F.col("consumer_score")).alias("a"), (-F.col("relevance")).alias("b"), F.col("unit_price"), F.col("title"), F.col("offer_id"))
-    ends = items.agg(F.min_by("unit_price", place).alias("best_unit_price"), F.max_by("unit_price", place).alias("worst_unit_price"), F.min("unit_price").alias("min_unit_price"))
-    best = F.col("best_unit_price")
-    shown = items.join(F.broadcast(ends)).withColumn("gap_to_best", F.when(best > 0, (F.col("unit_price") - best) / best * 100))  # ends is one row
-    counts = items.groupBy("retailer_key").agg(F.count("*").alias("n"), F.min("unit_price").alias("best_price")).orderBy(F.desc("n"), "retailer_key")
-    return {"items": shown, "retailers": counts, "units": offers.filter("is_active").select("unit").distinct().orderBy("unit")}
+    items = found.orderBy("place").limit(n) if n else found
+    ends = items.agg(F.count("*").alias("displayed_count"), F.min_by("unit_price", "place").alias("best_unit_price"), F.max_by("unit_price", "place").alias("worst_unit_price"))
+    best, worst = F.col("best_unit_price"), F.col("worst_unit_price")
+    spread = F.when((best != 0) & (worst != 0), numbers.money((worst - best) / best * 100)).otherwise(0.0)
+    summary = found.agg(F.count("*").alias("result_count")).join(F.broadcast(ends)).select(  # both are one row
+        "result_count", "displayed_count", F.lit(str(n or "all")).alias("requested_display"), (F.col("displayed_count") == F.col("result_count")).alias("complete_result_set_visible"), "best_unit_price", "worst_unit_price", spread.alias("spread_percent")
+    )
+    by_unit = items.groupBy(F.coalesce(F.nullif("unit", F.lit("")), F.lit("unbekannt")).alias("unit")).agg(F.count("*").alias("n"), F.max("consumer_score").alias("top_score"), F.min("unit_price").alias("best_price"))
+    by_retailer = items.groupBy("retailer_key").agg(F.max("retailer_name").alias("retailer_name"), F.count("*").alias("n"), F.min("unit_price").alias("best_price"))
+    return {
+        "items": ranking.shown(items, ends, n is not None), "groups": by_unit.orderBy(F.desc("top_score"), F.collate("unit", "de")), "retailers": by_retailer.orderBy(F.desc("n"), F.asc_nulls_last("best_price"), "retailer_key"),
+        "summary": summary, "units": candidates.filter("unit <> ''").select("unit").distinct().orderBy("unit"), "categories": metadata.label_counts(current).orderBy("place"),
+    }
+
+
+#: The tables of a ranking.
+RANKING = ("items", "groups", "retailers", "summary", "units", "categories")
 
 
 def remembered_ranking(kept: memo.Memo, root: str, now: datetime, **params) -> dict[str, DataFrame]:
@@ -68,7 +85,7 @@ def remembered_ranking(kept: memo.Memo, root: str, now: datetime, **params) -> d
             made.update(offer_ranking(versions.read(kept.spark, root), **params))
         return made[name]
 
-    return {name: kept.remember(version, f"ranking-{name}", params, lambda n=name: make(n), now) for name in ("items", "retailers", "units")}
+    return {name: kept.remember(version, f"ranking-{name}", params, lambda n=name: make(n), now) for name in RANKING}
 
 
 def snapshot(df: DataFrame, seconds: float = 8.0) -> DataFrame:
