@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.functions import numbers
@@ -29,7 +29,7 @@ REASONS = {
 
 
 def per_source(offers: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per retailer and source with its counts, times and confidence sum: the only shuffle of the offers.
+    """One row per retailer and source with its counts, times and confidence sum.
 
     offers: retailer_key, retailer_name, source_id, is_active, comparison_safe, price, confidence, seen_at. sources:
     source_id, label, channel. A source that isn't listed has its id for a label and no channel.
@@ -44,20 +44,34 @@ def per_source(offers: DataFrame, sources: DataFrame) -> DataFrame:
     return out.withColumns({"label": named, "channel": F.coalesce(F.trim("channel"), F.lit(""))})
 
 
-def by_source(parts: DataFrame) -> DataFrame:
-    """retailer_key, sources: its sources by active offers, offers and label. A retailer has no more entries than registered sources."""
+def per_retailer(parts: DataFrame) -> DataFrame:
+    """Sums of a retailer's sources, its sources by active offers, offers and label, and its channels (`other` where none) by
+    active offers and name. A retailer has no more entries than sources, so its lists are made in one grouping of the parts."""
     entry = F.struct((-F.col("active_count")).alias("a"), (-F.col("offer_count")).alias("o"), "label", "source_id", "channel", "last_at")
-    lists = parts.filter("source_id is not null").groupBy("retailer_key").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    out = parts.groupBy("retailer_key").agg(
+        *[F.sum(c).alias(c) for c in ("offer_count", "active_count", "safe_count", "usable_count", "confidence")], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("latest")["retailer_name"].alias("retailer_name"),
+        F.collect_list(entry).alias("__e"), F.array_compact(F.collect_set(F.nullif("channel", F.lit("")))).alias("__channels"),
+    )
     shown = lambda x: F.struct(x["source_id"].alias("source_id"), x["label"].alias("label"), x["channel"].alias("channel"), (-x["o"]).alias("offer_count"), (-x["a"]).alias("active_count"), x["last_at"].alias("last_at"))
-    return lists.select("retailer_key", F.transform("e", shown).alias("sources"))
-
-
-def by_channel(parts: DataFrame) -> DataFrame:
-    """retailer_key, channels: its channels (`other` where none) by active offers and name."""
-    channel = F.when(F.col("channel") == "", "other").otherwise(F.col("channel"))
-    sums = parts.groupBy("retailer_key", channel.alias("channel")).agg(F.sum("offer_count").alias("n"), F.sum("active_count").alias("active"))
-    lists = sums.groupBy("retailer_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("active")).alias("a"), "channel", "n"))).alias("e"))
-    return lists.select("retailer_key", F.transform("e", lambda x: F.struct(x["channel"].alias("channel"), x["n"].alias("offer_count"), (-x["a"]).alias("active_count"))).alias("channels"))
+    named = F.transform("__e", lambda x: F.struct(F.coalesce(F.nullif(x["channel"], F.lit("")), F.lit("other")).alias("channel"), x["a"].alias("a"), x["o"].alias("o")))
+    total = lambda name, c: F.aggregate(F.filter("__named", lambda x: x["channel"] == name), F.lit(0).cast("long"), lambda acc, x: acc - x[c])
+    by_channel = F.transform(F.array_distinct(F.transform("__named", lambda x: x["channel"])), lambda name: F.struct((-total(name, "a")).alias("a"), name.alias("channel"), total(name, "o").alias("n")))
+    listed = F.transform(F.array_sort(by_channel), lambda x: F.struct(x["channel"].alias("channel"), x["n"].alias("offer_count"), (-x["a"]).alias("active_count")))
+    known = F.array_sort(F.filter("__e", lambda x: x["source_id"].isNotNull()))
+    return out.withColumn("__named", named).withColumns({"sources": F.transform(known, shown), "channels": listed, "source_count": F.size(known), "channel_count": F.size("__channels")}).drop("__e", "__named", "__channels")
+
+
+def _varied(offers: DataFrame, sources: DataFrame) -> DataFrame:
+    """source_count and channel_count where offers have evidence: its sources and channels count beside the offers' own.
+    One more pass over the offers, reduced to distinct pairs before they are counted."""
+    blank = F.lit("")
+    own = F.struct(F.col("source_id").cast("string").alias("source"), F.lit(None).cast("string").alias("channel"), F.lit(True).alias("own"))
+    told = F.transform("evidence", lambda e: F.struct(F.nullif(e["source_id"].cast("string"), blank).alias("source"), F.nullif(e["channel"], blank).alias("channel"), F.lit(False).alias("own")))
+    pairs = offers.select("retailer_key", F.explode(F.concat(F.array(own), F.coalesce(told, F.slice(F.array(own), 1, 0)))).alias("p")).select("retailer_key", "p.source", "p.channel", "p.own").distinct()
+    listed = sources.select(F.col("source_id").cast("string").alias("source"), F.nullif(F.trim("channel"), blank).alias("listed"))
+    seen = pairs.join(listed, "source", "left")
+    own_channel = F.when(F.col("own"), F.col("listed"))
+    return seen.groupBy("retailer_key").agg(F.count_distinct("source").alias("source_count"), F.size(F.array_union(F.collect_set("channel"), F.collect_set(own_channel))).alias("channel_count"))
 
 
 def crawls(jobs: DataFrame) -> DataFrame:
@@ -83,22 +97,15 @@ def full(offers: DataFrame, sources: DataFrame, jobs: DataFrame, as_of: Column,
 
     Counts, shares with 3 decimals, sources and channels, crawl figures, signal, reasons, status and priority. Offers
     without a source count for the retailer, not for any source. Where offers have evidence (an array of structs with
-    source_id and channel), its sources and channels count as the retailer's too.
+    source_id and channel), its sources and channels count as the retailer's too. Without evidence the offers are read
+    and shuffled once.
     """
     parts = per_source(offers, sources)
-    sums = parts.groupBy("retailer_key").agg(
-        *[F.sum(c).alias(c) for c in ("offer_count", "active_count", "safe_count", "usable_count", "confidence")], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("latest")["retailer_name"].alias("retailer_name"),
-    )
-    seen = parts.select("retailer_key", F.col("source_id").cast("string").alias("source"), F.nullif("channel", F.lit("")).alias("channel"))
-    if "evidence" in offers.columns:
-        more = offers.select("retailer_key", F.explode("evidence").alias("e")).select("retailer_key", F.nullif(F.col("e.source_id").cast("string"), F.lit("")).alias("source"), F.nullif(F.col("e.channel"), F.lit("")).alias("channel"))
-        seen = seen.union(more).distinct()
-    variety = seen.groupBy("retailer_key").agg(F.count_distinct("source").alias("source_count"), F.count_distinct("channel").alias("channel_count"))
-    keys = sources.select("retailer_key").union(sums.select("retailer_key"))
+    keys = sources.select("retailer_key")
     keys = (keys.union(known.select("retailer_key")) if known is not None else keys).distinct()
-    out = keys
-    for more in (sums, variety, by_source(parts), by_channel(parts), crawls(jobs)):
-        out = out.join(more, "retailer_key", "left")
+    out = keys.join(per_retailer(parts), "retailer_key", "full").join(crawls(jobs), "retailer_key", "left")
+    if "evidence" in offers.columns:
+        out = out.drop("source_count", "channel_count").join(_varied(offers, sources), "retailer_key", "left")
     counts = ("offer_count", "active_count", "safe_count", "usable_count", "source_count", "channel_count", "runs", "good_runs", "failed_runs", "low_runs")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts} | {"target": coverage_target(F.col("retailer_key"))})
     active, target = F.col("active_count"), F.col("target")
@@ -129,3 +136,13 @@ def full(offers: DataFrame, sources: DataFrame, jobs: DataFrame, as_of: Column,
 def summary(registry: DataFrame) -> DataFrame:
     """One row of the coverage table's own figures: retailers, and how many are trusted, watched and gaps."""
     return registry.agg(F.count("*").alias("retailers"), *[F.count_if(F.col("status") == s).alias(s) for s in ("trusted", "watch", "gap")])
+
+
+def no_jobs(spark: SparkSession) -> DataFrame:
+    """An empty crawl log."""
+    return spark.createDataFrame([], "retailer_key string, job_id string, status string, started_at timestamp, finished_at timestamp, offers_stored long")
+
+
+def no_sources(spark: SparkSession) -> DataFrame:
+    """An empty table of sources."""
+    return spark.createDataFrame([], "source_id string, retailer_key string, label string, channel string")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import text
-from offerlens.operators import dedupe, enrich, metadata, normalize, overrides
+from offerlens.operators import coverage, dedupe, enrich, metadata, normalize, overrides
 from offerlens.sources import registry, store
 
 
@@ -38,17 +39,23 @@ def stored_offers(normalized: DataFrame, rules: DataFrame, as_of: Column) -> Dat
     return dedupe.canonical(rows)
 
 
-def tables(offers: DataFrame) -> dict[str, DataFrame]:
-    """What is published beside the offers: coverage by retailer, the cube and its roll-up."""
+def tables(offers: DataFrame, as_of: Column, sources: DataFrame | None = None, jobs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What is published beside the offers: coverage in full by retailer, the cube and its roll-up."""
     keyed = offers.withColumns({"main_key": F.col("main_category_key"), "sub_key": F.col("category_key")})
     cells = metadata.cube(keyed)
-    return {"offers": offers, "coverage": metadata.coverage(offers), "cube": cells, "main_categories": metadata.roll_up(cells)}
+    seen = offers.withColumn("seen_at", F.col("updated_at"))
+    known = sources if sources is not None else coverage.no_sources(offers.sparkSession)
+    covered = coverage.full(seen, known, jobs if jobs is not None else coverage.no_jobs(offers.sparkSession), as_of)
+    return {"offers": offers, "coverage": covered, "cube": cells, "main_categories": metadata.roll_up(cells)}
 
 
-def run(landed: Mapping[str, DataFrame], rules: DataFrame, root: str, as_of: Column) -> str:
+def run(landed: Mapping[str, DataFrame], rules: DataFrame, root: str, as_of: Column, sources: DataFrame | None = None, jobs: DataFrame | None = None) -> str:
     """Store and publish all tables of one crawl under root; returns the version. Each step reads what the one before wrote,
-    which keeps the plans small: rules read the normalized offers several times, the aggregates the stored ones."""
-    spark = rules.sparkSession
-    normalize.offers(promotions_of(landed), as_of).write.mode("overwrite").parquet(f"{root}/normalized")
-    stored_offers(spark.read.parquet(f"{root}/normalized"), rules, as_of).write.mode("overwrite").parquet(f"{root}/staged")
-    return store.publish(tables(spark.read.parquet(f"{root}/staged")), root)
+    which keeps the plans small: rules read the normalized offers several times, the aggregates the stored ones.
+
+    The steps stand in a folder of this run's own, so a run that fails, or another at the same time, leaves them alone.
+    """
+    spark, own = rules.sparkSession, f"{root}/staging/{uuid.uuid4().hex}"
+    normalize.offers(promotions_of(landed), as_of).write.parquet(f"{own}/normalized")
+    stored_offers(spark.read.parquet(f"{own}/normalized"), rules, as_of).write.parquet(f"{own}/staged")
+    return store.publish(tables(spark.read.parquet(f"{own}/staged"), as_of, sources, jobs), root)

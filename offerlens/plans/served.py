@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import numbers
-from offerlens.operators import audit, compare, metadata, ranking
+from offerlens.operators import audit, compare, coverage, metadata, ranking
 from offerlens.sources import memo, versions
 
 
@@ -127,8 +127,13 @@ def dashboard_snapshot(offers: DataFrame, as_of: Column) -> dict[str, DataFrame]
     return {"kpis": audit.kpis(offers, as_of), "latest": offers.orderBy(F.desc("updated_at"), F.desc("offer_id")).limit(24), **comparisons(offers)}
 
 
-def filter_retailers(offers: DataFrame) -> DataFrame:
-    return metadata.coverage(offers).orderBy(F.desc("priority"), "retailer_key")
+def filter_retailers(offers: DataFrame, as_of: Column, sources: DataFrame | None = None, jobs: DataFrame | None = None) -> DataFrame:
+    """coverage.full of the offers, most urgent first. Without sources or jobs, none are registered or logged."""
+    spark = offers.sparkSession
+    now = F.coalesce("valid_to", "valid_from") if "seen_at" not in offers.columns else F.col("seen_at")
+    named = offers.withColumns({"seen_at": now} | ({} if "retailer_name" in offers.columns else {"retailer_name": F.col("retailer_key")}))
+    table = coverage.full(named, sources if sources is not None else coverage.no_sources(spark), jobs if jobs is not None else coverage.no_jobs(spark), as_of)
+    return table.orderBy(F.desc("priority"), "retailer_key")
 
 
 def filter_categories(offers: DataFrame, retailers=()) -> DataFrame:

@@ -86,6 +86,37 @@ def test_ranking(offers):
     assert served.parse_limit("all") is None and served.parse_limit(1) == 5 and served.parse_limit("x") == 30
 
 
+def test_ranking_order_and_defaults(spark):
+    titles = ["Zebra", "Öl", "Obst", "obst", "äpfel", "Apfel", "Äpfel", "apfel"]
+    rows = [(i, t, "r", 2.0, "kg", True) for i, t in enumerate(titles)] + [(20, "Tee", "s", 1.0, "l", True), (21, "Tee alt", "s", 0.5, "l", False), (22, "Ohne Preis", "s", None, None, True)]
+    df = spark.createDataFrame(rows, "offer_id long, title string, retailer_key string, unit_price double, unit string, is_active boolean").withColumn("status", F.when(F.col("is_active"), "active"))
+    out = served.offer_ranking(df, limit=50)
+    assert [(r.title, r["rank"], r.rank_in_unit) for r in out["items"].collect()] == [
+        ("Tee", 1, 1), ("apfel", 2, 1), ("Apfel", 3, 2), ("äpfel", 4, 3), ("Äpfel", 5, 4), ("obst", 6, 5), ("Obst", 7, 6), ("Öl", 8, 7), ("Zebra", 9, 8), ("Ohne Preis", 10, 1)]
+    assert [(r.unit, r.n) for r in out["groups"].collect()] == [("l", 1), ("kg", 8), ("unbekannt", 1)] and [(r.retailer_key, r.n, r.best_price) for r in out["retailers"].collect()] == [("r", 8, 2.0), ("s", 2, 1.0)]
+    first = out["items"].first()
+    assert (first.retailer_name, first.effective_discount_type, first.source_types, first.minimum_purchase_qty, first.gap_to_best) == ("s", "unknown", [], 1, 0.0)
+    compared = df.withColumn("comparable_unit", F.when(F.col("title") == "Zebra", "l"))
+    assert [r.title for r in served.offer_ranking(compared, unit="l")["items"].collect()] == ["Tee", "Zebra"]
+    assert [u.unit for u in served.offer_ranking(compared, unit="l")["units"].collect()] == ["kg", "l"]
+    twice = df.unionByName(df.withColumn("offer_id", F.col("offer_id") + 100))
+    assert served.offer_ranking(twice, limit="all")["summary"].first().result_count == 10
+    none = served.offer_ranking(df.filter("false"))
+    assert none["items"].count() == 0 and none["summary"].first().result_count == 0 and none["groups"].count() == 0
+
+
+def test_coverage_reads_the_offers_once(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from offerlens.plans import catalog
+
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        catalog._coverage(spark, SF).explain("simple")
+    assert shown.getvalue().count("lineitem.parquet") == 1
+
+
 def test_basket_comparison_quality_dashboard(offers):
     title = offers.filter("is_active and comparison_safe and not program_required").first().title
     basket = served.basket_suggestions(offers, f"{title}, nothing like this")
@@ -97,7 +128,7 @@ def test_basket_comparison_quality_dashboard(offers):
     assert quality["offers"].count() <= 5 and quality["subcategories"].first().samples
     k = served.dashboard_snapshot(offers, view.as_of())["kpis"].first()
     assert k.offers == 6000 and k.active_by_status == k.active_by_date == 1608
-    assert served.filter_retailers(offers).count() == 10 and served.filter_categories(offers).count() == 6
+    assert served.filter_retailers(offers, view.as_of()).count() == 10 and served.filter_categories(offers).count() == 6
 
 
 def test_audit(spark):
@@ -155,7 +186,14 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert [e.source_id for e in milk.evidence] == ["s1", "s2"]
     assert (rows["Seife"].category_secondary, rows["Seife"].price, rows["Seife"].unit_price.amount) == ("Seifen", 2.5, 1.25) and "seifen" in rows["Seife"].search_text
     assert {r.retailer_key: r.active_count for r in store.current(spark, f"{tmp_path}/v", "coverage").collect()} == {"penny": 1, "dm": 1}
+    covered = {r.retailer_key: (r.source_count, r.channel_count) for r in store.current(spark, f"{tmp_path}/v", "coverage").collect()}
+    assert covered == {"penny": (2, 2), "dm": (1, 1)}  # the merged milk's evidence has a second source and channel
     assert store.current(spark, f"{tmp_path}/v", "main_categories").count() == 2
+    ranked = served.offer_ranking(served.flat(store.current(spark, f"{tmp_path}/v", "offers")), limit="all")
+    first = ranked["items"].first()
+    assert ranked["items"].columns == list(ranking.SHOWN) and (first.title, first.unit_price, first.rank, first.validity_label) == ("Frische Milch 1 l", 1.49, None, "aktuell verfuegbar, Enddatum nicht erkannt")  # the soap has conditions
+    assert {(r.title, r.savings_amount) for r in ranked["items"].collect()} == {("Seife", 0.5), ("Frische Milch 1 l", 0.5)}
+    assert ranked["summary"].first().asDict() == {"result_count": 2, "displayed_count": 2, "requested_display": "all", "complete_result_set_visible": True, "best_unit_price": 1.49, "worst_unit_price": 1.25, "spread_percent": -16.11}
 
 
 def test_store(spark, tmp_path):
