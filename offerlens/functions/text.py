@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,7 +28,17 @@ def _decomposed() -> tuple[str, str, str]:
     return "".join(one), "".join(plain), "".join(marked)
 
 
+def _one_of(chars: str) -> str:
+    """A pattern's class of the characters. Java asks a class's members one by one, so that each 128 code points and the
+    whole are behind the range in which they lie: most characters are out after one comparison."""
+    code = lambda c: f"\\x{{{ord(c):x}}}"
+    within = lambda cs, inner: f"[{code(min(cs))}-{code(max(cs))}&&[{inner}]]"
+    blocks = [list(cs) for _, cs in groupby(sorted(chars), lambda c: ord(c) // 128)]
+    return within(chars, "".join(within(cs, "".join(map(code, cs))) for cs in blocks))
+
+
 ACCENTED, PLAIN, MARKED = _decomposed()
+IS_MARKED = _one_of(MARKED)
 MARKS = "".join(map(chr, range(0x300, 0x370)))
 # Words that say nothing about a product.
 SIGNATURE_STOPWORDS = (
@@ -64,7 +75,7 @@ def ascii_lower(c: Column) -> Column:
 
 def search_words(c: Column) -> Column:
     """Words of a search text, after ae/oe/ue/ss; other marks part words: Crème is cre me."""
-    apart = F.regexp_replace(ascii_lower(c), f"([{MARKED}])", "$1 ")
+    apart = F.regexp_replace(ascii_lower(c), f"({IS_MARKED})", "$1 ")
     return F.trim(F.regexp_replace(F.translate(apart, ACCENTED, PLAIN), "[^a-z0-9]+", " "))
 
 

@@ -1,9 +1,13 @@
 """Registered queries against their SQL on small tables of what the smallest ones lack."""
 
+import time
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from offerlens.functions import text
 from offerlens.plans import catalog, changes, landed  # noqa: F401 - they register their queries
 from offerlens.plans import queries as plans
 
@@ -28,3 +32,24 @@ def test_cut_off_and_other_entities_stay_in_headings(spark, tmp_path):
     heads = ["a&amp; b&amp", "A &amp;lt; B &lt; &#39;c&#39; &quot", "&eacute; &copy &#38; &", "AT&T &amp"]
     got = compared(spark, tmp_path, "q_page_elements", pages=[{"page_id": i, "html": page.format(h)} for i, h in enumerate(heads)])
     assert got[0][5] == "a& b&amp"
+
+
+def test_marks_part_words_in_any_text_without_asking_each_character_for_each_mark(spark):
+    every = [c for c in map(chr, range(0xA0, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c]
+    df = spark.createDataFrame([(c, f"x{c}y") for c in every], "c string, t string")
+    words = {r.c: r.w for r in df.select("c", text.search_words(F.col("t")).alias("w")).collect()}
+    plain = dict(zip(text.ACCENTED, text.PLAIN)) | dict(zip("äöüß", ("ae", "oe", "ue", "ss")))
+    assert words == {c: f"x{plain[c]} y" if c in text.MARKED and c not in "äöüß" else f"x{plain[c]}y" if c in plain else "x y" for c in every}
+
+    long = spark.range(8).select(F.concat(F.repeat(F.lit("ein Wort da "), 30000), F.repeat(F.lit("а"), 30000), F.col("id").cast("string")).alias("t")).cache()
+
+    def best(c):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            long.agg(F.sum(F.length(c))).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    rest = F.trim(F.regexp_replace(F.translate(text.ascii_lower(F.col("t")), text.ACCENTED, text.PLAIN), "[^a-z0-9]+", " "))
+    assert best(text.search_words(F.col("t"))) < 5 * best(rest)
