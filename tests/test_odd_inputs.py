@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offerlens.functions import text
 from offerlens.plans import catalog, changes, landed  # noqa: F401 - they register their queries
 from offerlens.plans import queries as plans
+from offerlens.sources import nested
 
 
 def compared(spark, folder, name, **tables):
@@ -53,3 +54,13 @@ def test_marks_part_words_in_any_text_without_asking_each_character_for_each_mar
 
     rest = F.trim(F.regexp_replace(F.translate(text.ascii_lower(F.col("t")), text.ACCENTED, text.PLAIN), "[^a-z0-9]+", " "))
     assert best(text.search_words(F.col("t"))) < 5 * best(rest)
+
+
+def test_promotions_cut_payloads_once_and_sections_are_no_fallbacks(spark):
+    section = '{"title":"Beliebte Aktionen bei R","x":1}'
+    assert nested.fallback_of(f"1:{section}", nested.SECTION, "Beliebte Aktionen bei R") == [None]
+    assert nested.fallback_of('{"title":"open",{' + section, nested.SECTION, "Beliebte Aktionen bei R") == [section]
+    assert nested.fallback_of(None, nested.SECTION, "R") == nested.fallback_of(section[:-1], nested.SECTION, "Beliebte Aktionen bei R") == []
+    df = spark.createDataFrame([("s", "R", 0, section)], "source_id string, retailer_name string, record int, payload string")
+    plan = nested.promotions(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("try_parse_json") <= 4  # once for sections and groups, once for fallbacks
