@@ -50,7 +50,9 @@ def q_paged_items(spark, d):
     bodies = bodies.join(totals, "source_id")
     root = shared.new_path(spark, "paged-items")
     body = F.when((F.col("source_id") % 5 == 2) & (F.col("page") == 1), '{"results": [').otherwise(F.to_json(F.struct("results", "totalResults")))
-    bodies.select("source_id", "page", body.alias("value")).write.partitionBy("source_id", "page").text(root)
+    # a file each: what costs time is their number, not their size, by which Spark would put all of them into one task
+    spread = bodies.select("source_id", "page", body.alias("value")).repartition(4 * spark.sparkContext.defaultParallelism, "source_id", "page")
+    spread.write.partitionBy("source_id", "page").text(root)
     item = F.from_json("item", "id long, name string, balance double")
     found = paged.offset_items(spark, root, PAGE).withColumn("item", item)
     return found.select("source_id", F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"), "item.id", "item.name", numbers.cents(F.col("item.balance")).alias("cents"))

@@ -1,4 +1,4 @@
-"""Paged JSON sources as landed: one partition for each page, conditions on source and page pushed down, a stop rule.
+"""Paged JSON sources as landed: pages spread over partitions, conditions on source and page pushed down, a stop rule.
 
 A landing folder holds source_id=<id>/page=<k>/ with one response body each, as df.write.partitionBy("source_id",
 "page").text() leaves them. A source by offset tells its total on its first page, and pages beyond it aren't read; a
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThanOrEqual
 
 SCHEMA = "source_id string, page int, place int, n int, total long, item string"
+#: Partitions at most: up to so many pages each has its own, then they share alike, as a page costs less than a task.
+TASKS = 192
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -58,7 +60,7 @@ class PagedReader(DataSourceReader):
         found = found if isinstance(found, list) else []
         return found, total if isinstance(total, int) else len(found)
 
-    def partitions(self) -> list[OnePage]:
+    def partitions(self) -> list[SomePages]:
         where, folder = _folder(self.path)
         out = []
         for source in sorted((f for f in where.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("source_id=")), key=lambda f: f.base_name):
@@ -70,21 +72,22 @@ class PagedReader(DataSourceReader):
             if end is None and 0 in known:
                 total = self._entries(where, known[0])[1]
                 end = -(-total // self.limit) if total is not None else 1
-            out += [OnePage(source_id, k, known[k]) for k in sorted(known) if k >= self.first and (end is None or k < end) and (self.last is None or k <= self.last)]
-        return out or [OnePage(None, -1, "")]
-
-    def read(self, partition: OnePage) -> Iterator[pa.RecordBatch]:
-        if partition.source_id is None:
-            return
-        found, total = self._entries(_folder(self.path)[0], partition.folder)
-        rows = max(1, len(found))  # a page without entries is a row too, for the stop rule
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([partition.source_id] * rows), pa.array([partition.page] * rows, pa.int32()), pa.array(range(rows) if found else [None], pa.int32()), pa.array([len(found)] * rows, pa.int32()), pa.array([total] * rows, pa.int64()),
-                pa.array([json.dumps(x, ensure_ascii=False) for x in found] or [None], pa.string()),
-            ],
-            names=["source_id", "page", "place", "n", "total", "item"],
-        )
+            out += [(source_id, k, known[k]) for k in sorted(known) if k >= self.first and (end is None or k < end) and (self.last is None or k <= self.last)]
+        each = max(1, -(-len(out) // TASKS))
+        return [SomePages(out[i : i + each]) for i in range(0, len(out), each)] or [SomePages([])]
+
+    def read(self, partition: SomePages) -> Iterator[pa.RecordBatch]:
+        where = _folder(self.path)[0]
+        for source_id, page, folder in partition.pages:
+            found, total = self._entries(where, folder)
+            rows = max(1, len(found))  # a page without entries is a row too, for the stop rule
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([source_id] * rows), pa.array([page] * rows, pa.int32()), pa.array(range(rows) if found else [None], pa.int32()), pa.array([len(found)] * rows, pa.int32()), pa.array([total] * rows, pa.int64()),
+                    pa.array([json.dumps(x, ensure_ascii=False) for x in found] or [None], pa.string()),
+                ],
+                names=["source_id", "page", "place", "n", "total", "item"],
+            )
 
 
 class ChoosingPagedReader(PagedReader):

@@ -1,5 +1,6 @@
 """Registered queries against their SQL on small tables of what the smallest ones lack."""
 
+import os
 import time
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from offerlens.functions import text
 from offerlens.plans import catalog, changes, landed  # noqa: F401 - they register their queries
 from offerlens.plans import queries as plans
-from offerlens.sources import nested
+from offerlens.sources import nested, paged
 
 
 def compared(spark, folder, name, **tables):
@@ -64,3 +65,12 @@ def test_promotions_cut_payloads_once_and_sections_are_no_fallbacks(spark):
     df = spark.createDataFrame([("s", "R", 0, section)], "source_id string, retailer_name string, record int, payload string")
     plan = nested.promotions(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and plan.count("try_parse_json") <= 4  # once for sections and groups, once for fallbacks
+
+
+def test_many_small_pages_share_tasks(spark, tmp_path):
+    for k in range(2 * paged.TASKS + 1):
+        os.makedirs(f"{tmp_path}/l/source_id=a/page={k}")
+        open(f"{tmp_path}/l/source_id=a/page={k}/part-0.txt", "w").write(f'{{"results": [{k}], "totalResults": {2 * paged.TASKS + 1}}}')
+    found = paged.offset_items(spark, f"{tmp_path}/l", 1)
+    assert sorted((r.page, r.item) for r in found.collect()) == [(k, str(k)) for k in range(2 * paged.TASKS + 1)]
+    assert paged.pages(spark, f"{tmp_path}/l", limit=1).rdd.getNumPartitions() <= paged.TASKS
