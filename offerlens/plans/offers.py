@@ -18,17 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def offer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with its order, part, supplier and nation. Spark picks each join's side and kind by size."""
+def offer_view(spark: SparkSession, sf_dir: str, active: bool = False) -> DataFrame:
+    """lineitem with its order, part, supplier and nation; with active, only active offers.
+
+    Lines meet orders and parts in shuffled hash joins: of the two sides only orders and parts are held, by partition, and
+    lines aren't sorted. An active offer's two dates are tested in their own tables, before these are shuffled.
+    """
     t = lambda n: table(spark, sf_dir, n)
+    lines, orders = t("lineitem"), t("orders")
+    if active:
+        lines, orders = lines.filter(F.coalesce(F.col("l_shipdate") >= as_of(), F.lit(True))), orders.filter(F.coalesce(F.col("o_orderdate") <= as_of(), F.lit(True)))
     joined = (
-        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     )
     reference = F.col("l_extendedprice") / F.col("l_quantity")
     price = F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")
     state = dates.status(F.col("o_orderdate"), F.col("l_shipdate"), F.lit(False), as_of())
-    return joined.select(
+    out = joined.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offer_id"), F.col("l_suppkey").alias("source_id"), F.col("s_name").alias("retailer_key"), F.col("n_name").alias("region"),
         F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category_primary"), F.element_at(F.split("p_name", " "), -1).alias("category_secondary"),
         F.lower("p_type").alias("main_key"), F.lower(F.element_at(F.split("p_name", " "), -1)).alias("sub_key"), F.lower(F.element_at(F.split("p_name", " "), -1)).alias("category_key"),
@@ -37,6 +44,7 @@ def offer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("program_required"), (F.col("l_linestatus") == "F").alias("comparison_safe"), (1 - F.col("l_tax")).alias("confidence"), (F.col("l_linenumber") % 3).alias("channel_no"),
         F.concat_ws("::", "s_name", "p_name", "p_brand", numbers.cents(price).cast("string")).alias("dedupe_key"),
     )
+    return out.filter("is_active") if active else out
 
 
 def money_sql(x: str) -> str:
