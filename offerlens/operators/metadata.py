@@ -67,13 +67,14 @@ def category_tree(offers: DataFrame) -> DataFrame:
 
 
 def totals(offers: DataFrame) -> DataFrame:
-    """level (all, main, sub), main_key, sub_key, offer_count, active_count, retailer_count and the price sum in one pass of
-    grouping sets: partial sums of all three levels meet in one shuffle. Offers without a key count under an empty one.
-    An empty table has no totals."""
+    """level (all, main, sub), main_key, sub_key, offer_count, active_count, retailer_count and the price sum by
+    grouping sets over the cells of retailer, main and subcategory: offers are counted once, and only cells multiply by
+    level. Offers without a key count under an empty one. An empty table has no totals."""
     keyed = offers.withColumns({"main_key": F.coalesce("main_key", F.lit("")), "sub_key": F.coalesce("sub_key", F.lit(""))})
     main, sub = F.col("main_key"), F.col("sub_key")
-    out = keyed.groupingSets([[main, sub], [main], []], main, sub).agg(
-        F.count("*").alias("offer_count"), F.count_if("is_active").alias("active_count"), F.count_distinct("retailer_key").alias("retailer_count"), F.coalesce(F.sum(F.col("price").cast("decimal(18,2)")), F.lit(0)).alias("price_sum"),
+    cells = keyed.groupBy("retailer_key", "main_key", "sub_key").agg(F.count("*").alias("n"), F.count_if("is_active").alias("active"), F.sum(F.col("price").cast("decimal(18,2)")).alias("sum"))
+    out = cells.groupingSets([[main, sub], [main], []], main, sub).agg(
+        F.sum("n").alias("offer_count"), F.sum("active").alias("active_count"), F.count_distinct("retailer_key").alias("retailer_count"), F.coalesce(F.sum("sum"), F.lit(0)).cast("decimal(28,2)").alias("price_sum"),
         F.element_at(F.array(F.lit("sub"), F.lit("main"), F.lit("?"), F.lit("all")), F.grouping_id("main_key", "sub_key").cast("int") + 1).alias("level"),
     )
     return out.select("level", F.coalesce("main_key", F.lit("")).alias("main_key"), F.coalesce("sub_key", F.lit("")).alias("sub_key"), "offer_count", "active_count", "retailer_count", "price_sum")
