@@ -211,7 +211,9 @@ def q_fallback_match(spark, d):
 SELECT dedupe_key, offer_id, is_active, price, n_merged, first_seen, last_seen FROM r WHERE n = 1""")
 def q_canonical_dedupe(spark, d):
     channel = F.when(F.col("channel_no") == 0, "official-flyer").when(F.col("channel_no") == 1, "official-site").otherwise("aggregator")
-    offers = offer_view(spark, d).withColumns({"channel": channel, "completeness": F.col("size"), "filled": F.col("quantity"), "created_at": F.col("valid_from"), "updated_at": F.col("valid_to")})
+    offers = offer_view(spark, d).select(  # what the winner shows and is chosen by, as a whole row goes through the shuffle
+        "dedupe_key", "offer_id", "is_active", "price", "comparison_safe", "confidence", "source_id", channel.alias("channel"), F.col("size").alias("completeness"), F.col("quantity").alias("filled"), F.col("valid_from").alias("created_at"), F.col("valid_to").alias("updated_at"),
+    )
     return dedupe.canonical(offers).select("dedupe_key", "offer_id", "is_active", "price", "n_merged", "first_seen", "last_seen")
 
 
