@@ -22,14 +22,18 @@ def order() -> list[Column]:
     return [F.desc(F.coalesce("savings", F.lit(-1.0))), F.asc_nulls_last("unit_price"), F.collate("title", "de"), F.col("offer_id")]
 
 
+def entries(offers: DataFrame) -> DataFrame:
+    """The active offers with savings, in no order."""
+    return offers.filter("is_active").withColumn("savings", saved(F.col("price"), F.col("reference")))
+
+
 def rows(offers: DataFrame) -> DataFrame:
     """The active offers with bucket and savings, sorted by bucket and the bucket's order.
 
     One row per offer rather than one list per bucket: a range shuffle splits a bucket that holds much of the table, and
     readers take a bucket's first rows from the sorted files.
     """
-    kept = offers.filter("is_active").withColumn("savings", saved(F.col("price"), F.col("reference")))
-    return kept.sort(*BUCKET, *order())
+    return entries(offers).sort(*BUCKET, *order())
 
 
 def buckets(cached: DataFrame) -> DataFrame:
@@ -44,4 +48,5 @@ def holding(cached: DataFrame, categories: list[str], retailers: list[str] = ())
     if not categories:
         return asked
     hit = F.col("category_key").isin(*categories) | F.col("main_key").isin(*categories) | F.col("sub_key").isin(*categories)
-    return asked.join(asked.filter(hit).select(*BUCKET).distinct(), BUCKET, "left_semi")
+    buckets_hit = asked.filter(hit).select(*BUCKET).distinct()  # retailers times the taxonomy's categories at most
+    return asked.join(F.broadcast(buckets_hit), BUCKET, "left_semi")
