@@ -5,7 +5,8 @@ start. Most texts lie at distance 1 from each other, so pivots are taken where p
 
 1. The space of element hashes is cut into T + 1 + slack parts, T being the largest D = |x ^ y| that a link may have among
    sets of that size. D is the sum of its parts, so linked sets agree wholly in 1 + slack parts at least (sizes near the
-   border of a size class go to both classes; a set with very many empty parts has keys for those as well). A part
+   border of a size class go to both classes; a set with very many empty parts has keys for those as well). The slack is
+   half of T in all but small sets, so that many parts have to agree. A part
    that several points hold alike is an element below. Points that share fewer than linked sets do with all others
    together link with nothing and are left out; so are texts that have but a passage in common.
 2. Pivots: a shared element names the point of its list whose elements have the longest lists (their logarithms summed),
@@ -48,30 +49,40 @@ NEAREST, CELLS, SMALL, DEPTH = 2, 32, 64, 5
 FEW, CLOSE = 8, 0.7
 #: So many sets at most does a task remember so as to send the keys of equal sets once.
 REMEMBERED = 100_000
-#: Classes with T from LARGE on have SLACK parts and one for SPREAD of T beyond T + 1, the others FEW_PARTS. Linked sets
-#: agree in one more than that, and share SHARED keys at least, in small classes one: so many of the parts that they agree
-#: in may be empty. A set with more empty parts has keys for those too.
+#: Classes with T from LARGE on have T / 2 parts beyond T + 1 (SLACK and one for SPREAD of T where that is more, or where T / 2
+#: gains no keys), the others FEW_PARTS. Linked sets agree in one more than that. Of these parts as many may be empty as the
+#: least sets of the class seldom exceed (four standard deviations), but SHARED are not; in small classes one isn't. A set
+#: with more empty parts has keys for those too. So larger linked sets share many keys, unlike texts with but a passage in
+#: common.
 LARGE, SLACK, SPREAD, FEW_PARTS, SHARED = 6, 10, 20, 2, 5
+#: More than there are size classes.
+CLASSES = 128
+
+
+def _filled(first: int, most: int, slack: int) -> int:
+    """So many of slack + 1 parts aren't empty, as a rule, in sets of `first` elements that are cut into most + 1 + slack parts."""
+    usual = (most + 1 + slack) * np.exp(-first / (most + 1 + slack))
+    return slack + 1 - int(np.ceil(usual + 4 * np.sqrt(usual)))
 
 
 def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower bounds of the size classes, the parts that each is cut into, how many may be empty, and the keys shared at least."""
-    low, parts, empty, least = [1], [], [], []
+    low, parts, slack, least = [1], [], [], []
     while low[-1] < top:
-        low.append(max(low[-1] + 1, int(low[-1] * 1.4)))
+        first = low[-1]
+        low.append(max(first + 1, int(first * 1.4)))
         most = (100 - percent) * 2 * (low[-1] - 1) // (100 + percent)
-        slack = SLACK + most // SPREAD if most >= LARGE else FEW_PARTS
-        least.append(SHARED if most >= LARGE else 1)
-        empty.append(slack + 1 - least[-1])
-        parts.append(most + 1 + slack if most else 1)
-    return tuple(np.array(x, np.int64) for x in (low[:-1], parts, empty, least))
+        few = SLACK + most // SPREAD if most >= LARGE else FEW_PARTS
+        slack.append(most // 2 if most // 2 > few and _filled(first, most, most // 2) > SHARED else few)
+        parts.append(most + 1 + slack[-1] if most else 1)
+        least.append(max(SHARED, _filled(first, most, slack[-1])) if most >= LARGE else 1)
+    least = np.minimum.accumulate(least[::-1])[::-1]  # larger sets don't share fewer
+    return tuple(np.array(x, np.int64) for x in (low[:-1], parts, np.array(slack) + 1 - least, least))
 
 
-def _needed(n, percent: int):
-    """So many keys at least does a point of n elements share with one that it links with."""
-    low, _, _, least = size_classes(percent)
-    large = np.flatnonzero(least == SHARED)
-    return F.when(n >= int(low[large[0]]), SHARED).otherwise(1) if len(large) else F.lit(1)
+def _class_of(key):
+    """Number of the size class, which the key's last bits hold."""
+    return key.bitwiseAND(CLASSES - 1).cast("int")
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -112,7 +123,7 @@ def points(docs: DataFrame, words: int) -> DataFrame:
 
 
 def agreements(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, f): one row for each part of each point's set, in its size class and in the next where a link may reach."""
+    """(key, f): one row for each part of each point's set, in its size class and in the next where a link may reach (see _class_of)."""
     source = docs.select(F.col("text").cast("string").alias("__text"))
     low, parts, empty, _ = size_classes(percent)
 
@@ -142,7 +153,7 @@ def agreements(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     if m - len(use) > empty[c]:
                         use = np.arange(m)
                     v = (total[edge[1:]] - total[edge[:-1]])[use] + use.astype(np.uint64) * common.MIX_1 + np.uint64(c * int(common.MIX_2) & 0xFFFFFFFFFFFFFFFF)
-                    keys.append(common.mixed(v).astype(np.int64))
+                    keys.append((common.mixed(v) & ~np.uint64(CLASSES - 1) | np.uint64(c)).astype(np.int64))
                     marks.append(np.full(len(use), f, np.int64))
                     rows += len(use)
                 if rows > 50_000:
@@ -211,13 +222,18 @@ def named_pivots(shared: DataFrame, *by: str) -> DataFrame:
     return shared.groupBy(*by).agg(F.min(F.struct(-F.col("score"), "f"))["f"].alias("p"))
 
 
-def near_keys(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(key, f, n, keys, score) of the shared keys, for points that have enough of them: n is the size, keys their number,
-    score how long their lists are."""
+def near_keys(shared: DataFrame, percent: int) -> DataFrame:
+    """(key, f, need, keys, score) of the shared keys, in size classes in which a point has enough of them: need is how many
+    a link takes at least, keys their number, score how long their lists are."""
+    _, _, _, least = size_classes(percent)
+    kind = _class_of(F.col("key")).alias("kind")
     lists = shared.groupBy("key").agg(F.count("*").alias("met"))
-    enough = shared.join(lists, "key").groupBy("f").agg(F.count("*").alias("keys"), F.sum(F.floor(16 * F.log2("met"))).alias("score"))
-    enough = enough.join(classes.select("f", "n"), "f").filter(F.col("keys") >= _needed(F.col("n"), percent))
-    return common.materialize(shared.join(common.materialize(enough, "enough"), "f").select("key", "f", "n", "keys", "score"), "near_keys")
+    enough = shared.join(lists, "key").groupBy("f", kind).agg(F.count("*").alias("keys"), F.sum(F.floor(16 * F.log2("met"))).alias("score"))
+    enough = enough.withColumn("need", F.element_at(F.array(*map(F.lit, least.tolist())), F.col("kind") + 1)).filter("keys >= need")
+    enough = common.materialize(enough, "enough")
+    total = enough.groupBy("f").agg(F.min("need").alias("need"), F.sum("keys").alias("keys"), F.sum("score").alias("score"))
+    near = shared.select("key", "f", kind).join(enough.select("f", "kind"), ["f", "kind"]).join(total, "f")
+    return common.materialize(near.select("key", "f", "need", "keys", "score"), "near_keys")
 
 
 def sets_needed(docs: DataFrame, classes: DataFrame, used: DataFrame, words: int) -> DataFrame:
@@ -295,7 +311,7 @@ def one_way(border: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v) fingerprints of linked points: links enough to connect whatever links connect."""
     shared = common.materialize(shared_keys(agreements(docs, words, percent)), "shared")
-    mine = near_keys(shared, classes, percent)
+    mine = near_keys(shared, percent)
     pivots = common.materialize(named_pivots(mine, "key"), "pivots")
     sets = sets_needed(docs, classes, mine.select("f").distinct(), words)
     common.discard(shared)
@@ -316,21 +332,22 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     common.discard(met)
 
     # borders: who shares enough elements with another cell, of those elements that points of several groups have
-    at = mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home"), "group"), "f").select("key", F.col("f").alias("x"), "n", "home", "group")
+    at = mine.join(home.select(F.col("x").alias("f"), F.col("p").alias("home"), "group"), "f").select("key", F.col("f").alias("x"), "need", "home", "group")
     at = common.materialize(at, "at")
     mixed = at.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
-    at = at.join(mixed, "key")
-    enough = at.groupBy("x").agg(F.count("*").alias("keys"), F.first("n").alias("n")).filter(F.col("keys") >= _needed(F.col("n"), percent)).select("x")
+    dealt, at = at, at.join(mixed, "key")
+    enough = at.groupBy("x").agg(F.count("*").alias("keys"), F.first("need").alias("need")).filter("keys >= need").select("x")
     at = common.materialize(at.join(enough, "x", "left_semi").drop("group"), "at")
+    common.discard(mine, dealt)
     cells = common.materialize(at.select("key", F.col("home").alias("p")).distinct(), "cells")
     crowded = common.materialize(cells.groupBy("key").count().filter(F.col("count") > CELLS).select("key"), "crowded")
-    across = at.join(cells.join(crowded, "key", "left_anti"), "key").filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("home").alias("home"))
+    across = at.join(cells.join(crowded, "key", "left_anti"), "key").filter("p <> home").groupBy("x", "p").agg(F.count("*").alias("met"), F.first("need").alias("need"), F.first("home").alias("home"))
     in_crowds = at.join(crowded, "key", "left_semi")
-    more = in_crowds.groupBy("x").agg(F.count("*").alias("more"))
-    border = across.join(more, "x", "left").filter(F.col("met") + F.coalesce("more", F.lit(0)) >= _needed(F.col("n"), percent)).select("p", "x", "home")
+    more = in_crowds.groupBy("x").agg(F.count("*").alias("more"), F.first("need").alias("least"))
+    border = across.join(more, "x", "left").filter(F.col("met") + F.coalesce("more", F.lit(0)) >= F.col("need")).select("p", "x", "home")
     border = one_way(common.materialize(border, "border")).select("p", "x", F.lit(False).alias("own"))
     # pairs of which one has fewer crowded elements than links share have others in common, and meet at a border
-    crowds = in_crowds.join(more, "x").filter(F.col("more") >= _needed(F.col("n"), percent)).select("key", "x").join(pivots, "key").select("p", "x", F.lit(True).alias("own")).distinct()
+    crowds = in_crowds.join(more, "x").filter("more >= least").select("key", "x").join(pivots, "key").select("p", "x", F.lit(True).alias("own")).distinct()
     edges = border.union(crowds).groupBy("p", "x").agg(F.max("own").alias("own")).join(home.select("p", "x"), ["p", "x"], "left_anti")
     radius = home.groupBy("p").agg(F.max("d").alias("radius"))
     edges = edges.join(home.select("x", "group"), "x")

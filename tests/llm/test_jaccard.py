@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from offerlens.llm import jaccard, minhash
+from offerlens.llm import common, jaccard, minhash
 
 
 def brute(rows, k, percent):
@@ -122,3 +123,50 @@ def test_first_documents_around_null_ids(spark, around_null):
     nameless = [t for i, t in kept if i is None]
     assert len(nameless) == 4 and {edited("d"), None, " "} < set(nameless)
     assert ({*nameless} - {edited("d"), None, " "}).pop() in (edited("c"), edited("c", 30), edited("c", 70))
+
+
+def test_texts_with_half_in_common_are_not_measured(spark, monkeypatch):
+    """They share a few parts by chance, but far fewer than links do: no set is read for them, only for the linked pair."""
+    r = random.Random(7)
+    rows = [(k, " ".join([f"k{k}x{i}" for i in range(400)] + [f"h{k // 2}x{i}" for i in range(400)])) for k in range(30)]
+    a = [f"a{i}" for i in range(800)]
+    rows += [(100, " ".join(a)), (101, " ".join(a[:-60] + [f"b{i}" for i in range(60)]))]
+    r.shuffle(rows)
+    kept, read = {}, common.materialize
+
+    def materialize(df, name):
+        kept[name] = out = read(df, name)
+        return out
+
+    monkeypatch.setattr(common, "materialize", materialize)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {i: 100 if i >= 100 else i for i, _ in rows}
+    assert kept["sets"].count() == 2
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99])
+def test_linked_sets_share_the_keys_that_a_link_needs(spark, percent):
+    """Pairs at the limit, of sizes on both sides of class borders; in some class they share the keys that a link takes."""
+    low = jaccard.size_classes(percent, 3000)[0].tolist()
+    assert len(jaccard.size_classes(percent)[0]) <= jaccard.CLASSES
+    rows = []
+    for n in sorted({max(1, x + d) for x in low for d in (-1, 0, 7)}):
+        same = -(-n * 2 * percent // (100 + percent))
+        for m in {n, max(same, -(-n * percent // 100))}:
+            both = -(-(n + m) * percent // (100 + percent))
+            if both <= min(n, m):
+                words = [f"n{n}m{m}x{i}" for i in range(n + m - both)]
+                rows += [(2 * len(rows), " ".join(words[:n])), (2 * len(rows) + 1, " ".join(words[n - both : n - both + m]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {}
+    for r in jaccard.agreements(docs, 1, percent).collect():
+        keys.setdefault(r.f, set()).add(r.key)
+    least = jaccard.size_classes(percent)[3]
+    marks = [jaccard.mark(s) for _, s in jaccard._sets(docs.select("text").withColumnRenamed("text", "__text").toArrow().combine_chunks().to_batches()[0], 1)]
+    linked = 0
+    for u, v in zip(marks[::2], marks[1::2]):
+        if u != v:
+            linked += 1
+            met = np.bincount([k & jaccard.CLASSES - 1 for k in keys.get(u, set()) & keys.get(v, set())], minlength=len(least))
+            assert (met >= least).any()
+    assert linked > 20
