@@ -211,8 +211,11 @@ def measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The distinct (key, f) whose key several points have; one shuffle serves both the count and the rows."""
-    dealt = keyed.repartition("key")
+    """The distinct (key, f) whose key several points have; one shuffle serves both the count and the rows.
+
+    It is by far the largest, so its tasks get a quarter of the usual share.
+    """
+    dealt = keyed.repartition(4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     several = dealt.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low < high").select("key")
     return dealt.join(several, "key").distinct()
 
