@@ -26,7 +26,7 @@ start. Most texts lie at distance 1 from each other, so pivots are taken where p
    distances D = |x ^ y|. By the triangle inequality a link (x, y) needs |x ^ p| and |y ^ p| to lie in a window and to
    overlap so much that the first few elements of both (those outside p first) have some in common. Points that share
    such an element form a subregion. One of few points (SMALL) is joined by itself: its points meet those in their
-   window, and pairs that share enough are measured. A larger one is a region again, with a pivot of its own, and is
+   window, and of the pairs that share enough those are measured whose sketches don't differ in more than a link may. A larger one is a region again, with a pivot of its own, and is
    joined recursively (to DEPTH levels; what is left then is joined by itself).
 """
 
@@ -51,12 +51,15 @@ FEW, CLOSE = 8, 0.7
 REMEMBERED = 100_000
 #: Classes with T from LARGE on have T / 2 parts beyond T + 1 (SLACK and one for SPREAD of T where that is more, or where T / 2
 #: gains no keys), the others FEW_PARTS. Linked sets agree in one more than that. Of these parts as many may be empty as the
-#: least sets of the class seldom exceed (four standard deviations), but SHARED are not; in small classes one isn't. A set
-#: with more empty parts has keys for those too. So larger linked sets share many keys, unlike texts with but a passage in
-#: common.
+#: least sets of the class seldom exceed (four standard deviations), but SHARED are not; in small classes one isn't. Sets
+#: below the largest of the class agree in more parts and may have more empty ones. A set with yet more empty parts has keys
+#: for those too; all such sets share them, so they have to be few. So larger linked sets share many keys, unlike texts with
+#: but a passage in common.
 LARGE, SLACK, SPREAD, FEW_PARTS, SHARED = 6, 10, 20, 2, 5
 #: More than there are size classes.
 CLASSES = 128
+#: Bits of a set's sketch.
+SKETCH = 1024
 
 
 def _filled(first: int, most: int, slack: int) -> int:
@@ -80,6 +83,19 @@ def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarr
     return tuple(np.array(x, np.int64) for x in (low[:-1], parts, np.array(slack) + 1 - least, least))
 
 
+def _may_be_empty(n: int, c: int, percent: int, classes: tuple[np.ndarray, ...]) -> int:
+    """So many parts of a set of n elements may be empty in size class c, and it still shares `least` others with what it links with there.
+
+    A partner has 100 / percent as many elements at most, and is of the class or smaller; so fewer parts differ than in
+    the largest sets of the class, for which the parts are made.
+    """
+    low, parts, _, least = classes
+    partner = 100 * n // percent
+    if c + 1 < len(low):
+        partner = min(partner, int(low[c + 1]) - 1)
+    return int(parts[c]) - (100 - percent) * (n + partner) // (100 + percent) - int(least[c])
+
+
 def _class_of(key):
     """Number of the size class, which the key's last bits hold."""
     return key.bitwiseAND(CLASSES - 1).cast("int")
@@ -125,7 +141,7 @@ def points(docs: DataFrame, words: int) -> DataFrame:
 def agreements(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, f): one row for each part of each point's set, in its size class and in the next where a link may reach (see _class_of)."""
     source = docs.select(F.col("text").cast("string").alias("__text"))
-    low, parts, empty, _ = size_classes(percent)
+    classes = low, parts, _, _ = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -150,7 +166,7 @@ def agreements(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
                     edge = np.searchsorted(part, np.arange(m + 1))
                     use = np.flatnonzero(edge[1:] > edge[:-1])
-                    if m - len(use) > empty[c]:
+                    if m - len(use) > _may_be_empty(len(s), c, percent, classes):
                         use = np.arange(m)
                     v = (total[edge[1:]] - total[edge[:-1]])[use] + use.astype(np.uint64) * common.MIX_1 + np.uint64(c * int(common.MIX_2) & 0xFFFFFFFFFFFFFFFF)
                     keys.append((common.mixed(v) & ~np.uint64(CLASSES - 1) | np.uint64(c)).astype(np.int64))
@@ -165,30 +181,38 @@ def agreements(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return source.mapInArrow(run, "key long, f long")
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """For each value of the hashes' last bits whether an odd number of elements has it, as longs: two sketches differ in
+    no more bits than their sets in elements."""
+    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(f, elements) of every text with a word."""
+    """(f, elements, sketch) of every text with a word."""
     source = docs.select(F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, parts, size = [], [], 0
+            f, parts, sketches, size = [], [], [], 0
             for _, s in _sets(batch, words):
                 if len(s):
                     f.append(mark(s))
                     parts.append(s.astype(np.int64))
+                    sketches.append(sketch(s))
                     size += len(s)
                 if size > 500_000:
-                    yield _lists(f, parts)
-                    f, parts, size = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), _lists(parts), _lists(sketches)], names=["f", "elements", "sketch"])
+                    f, parts, sketches, size = [], [], [], 0
             if f:
-                yield _lists(f, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), _lists(parts), _lists(sketches)], names=["f", "elements", "sketch"])
 
-    return source.mapInArrow(run, "f long, elements array<long>")
+    return source.mapInArrow(run, "f long, elements array<long>, sketch array<long>")
 
 
-def _lists(f: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)))], names=["f", "elements"])
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)))
 
 
 def measured(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +264,7 @@ def near_keys(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_needed(docs: DataFrame, classes: DataFrame, used: DataFrame, words: int) -> DataFrame:
-    """(f, elements) of the points in used (f)."""
+    """(f, elements, sketch) of the points in used (f)."""
     ids = common.materialize(classes.join(used, "f", "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.at").alias("rep_at")), "candidates")
     same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("at").eqNullSafe(F.col("rep_at"))
     return common.materialize(sets_of(placed(docs.select("doc_id", "text")).join(ids, same, "left_semi"), words).dropDuplicates(["f"]), "sets")
@@ -270,8 +294,13 @@ def joined(small: DataFrame, large: DataFrame | None, sets: DataFrame, percent:
     y = small.filter("other").select("g", "e", F.col("x").alias("y"), F.col("group").alias("group_y"), F.col("size").alias("size_y"), F.col("link").alias("link_y"), F.col("far").alias("far_y"), F.col("own").alias("own_y"), F.col("least").alias("least_y"))
     windows = f"""group <> group_y and (link_y or x < y) and (own or own_y) and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)
         and abs(far - far_y) * {100 + percent} <= {100 - percent} * (size + size_y)"""
-    pairs = x.join(y, ["g", "e"]).filter(windows).groupBy("g", "x", "y").agg(F.count("*").alias("met"), F.min(F.least("least", "least_y")).alias("least"))
-    pairs = common.materialize(pairs.filter("met >= least").select("x", "y").distinct(), "pairs")
+    apart = F.floor((100 - percent) * (F.col("size") + F.col("size_y")) / F.lit(100 + percent) + 1e-9)
+    pairs = x.join(y, ["g", "e"]).filter(windows).groupBy("g", "x", "y").agg(F.count("*").alias("met"), F.min(F.least("least", "least_y")).alias("least"), F.first(apart).alias("apart"))
+    pairs = common.materialize(pairs.filter("met >= least").select("x", "y", "apart").distinct(), "met_pairs")
+    # sketches first: they are far shorter than sets, and in a large group of copies most pairs have many edits between them
+    drawn = pairs.join(sets.select(F.col("f").alias("x"), F.col("sketch").alias("sx")), "x").join(sets.select(F.col("f").alias("y"), F.col("sketch").alias("sy")), "y")
+    differ = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
+    pairs = common.materialize(drawn.filter(differ <= F.col("apart")).select("x", "y"), "pairs")
     both = pairs.join(sets.select(F.col("f").alias("x"), F.col("elements").alias("xs")), "x").join(sets.select(F.col("f").alias("y"), F.col("elements").alias("ys")), "y")
     shared = F.size(F.array_intersect("xs", "ys"))
     return both.filter(100 * shared >= percent * (F.size("xs") + F.size("ys") - shared)).select(F.col("x").alias("u"), F.col("y").alias("v"))

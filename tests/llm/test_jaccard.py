@@ -170,3 +170,52 @@ def test_linked_sets_share_the_keys_that_a_link_needs(spark, percent):
             met = np.bincount([k & jaccard.CLASSES - 1 for k in keys.get(u, set()) & keys.get(v, set())], minlength=len(least))
             assert (met >= least).any()
     assert linked > 20
+
+
+def test_texts_with_nothing_in_common_share_no_empty_parts(spark, monkeypatch):
+    """Most sets of this size have many empty parts in the next size class. Those parts are no keys: no set is read but the linked pair's."""
+    rows = [(k, " ".join(f"k{k}x{i}" for i in range(950 + k % 40))) for k in range(80)]
+    a = [f"a{i}" for i in range(960)]
+    rows += [(100, " ".join(a)), (101, " ".join(a + [f"b{i}" for i in range(230)]))]
+    kept, read = {}, common.materialize
+
+    def materialize(df, name):
+        kept[name] = out = read(df, name)
+        return out
+
+    monkeypatch.setattr(common, "materialize", materialize)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {i: 100 if i >= 100 else i for i, _ in rows}
+    assert kept["sets"].count() == 2
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    r = np.random.default_rng(3)
+    for n, edits in ((5, 0), (5, 3), (300, 40), (300, 300), (5000, 900)):
+        x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.concatenate([x[edits:], r.integers(0, 1 << 63, edits // 2, dtype=np.uint64)])
+        bits = sum(int(v).bit_count() for v in (jaccard.sketch(x) ^ jaccard.sketch(y)).view(np.uint64))
+        assert bits <= len(np.setxor1d(x, y)) and (bits > edits // 2 or n > 1000 or not edits)
+
+
+def test_edits_of_a_copied_text_are_told_apart_by_their_sketches(spark, monkeypatch):
+    """Far edits of one text meet in pairs that no link takes; their sets aren't read for that."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(120):
+        t = list(base)
+        for _ in range(r.choice([2, 9, 12, 14])):
+            t[r.randrange(len(t))] = f"e{k}x{r.random()}"
+        rows.append((k, " ".join(t)))
+    kept, read = {}, common.materialize
+
+    def materialize(df, name):
+        kept.setdefault(name, []).append(read(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(common, "materialize", materialize)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 5, 80).items()}
+    met, measured = (sum(t.count() for t in kept[n]) for n in ("met_pairs", "pairs"))
+    assert met > 100 and measured < met / 4
